@@ -117,6 +117,14 @@ def split(text: Text, word: np.ndarray, lower: bool = False) -> Words:
     return Words(data[inside], at, np.searchsorted(starts, offsets), starts)
 
 
+def joined(words: Words) -> bytes:
+    """All words, each with one space behind it; word w begins at offsets[w] + w."""
+    n = len(words)
+    out = np.full(len(words.data) + n, 0x20, np.uint8)
+    out[np.arange(len(words.data)) + np.repeat(np.arange(n), words.lengths)] = words.data
+    return out.tobytes()
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, back to back."""
     lengths = np.asarray(lengths, np.int64)
