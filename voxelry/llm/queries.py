@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import topk
 from .decontaminate import op10_decontaminate
+from .jaccard_join import op5_jaccard_join
 from .language import op2_language
 from .line_dedup import op6_line_dedup
 from .licenses import op8_licenses
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_topk": op3_topk,
     "op4_quality": op4_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_pack": op7_pack,
     "op8_licenses": op8_licenses,
