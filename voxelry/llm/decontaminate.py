@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import table
+from .store import small, table, written
 
 WINDOW = 10
 #: Words of the test set's texts, in bytes, that are searched for in one pass.
@@ -292,8 +292,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
 
     Documents are told apart by ``doc_id``; a document without an id stays.
     """
-    found = search(build_index(docs, doc_id, text), items, slop=0).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs[doc_id].cast("bigint") == found["__hit"], "left_anti")
+    found = search(build_index(docs, doc_id, text), items, slop=0).filter("contaminated")
+    hit = written(found.select(F.col("doc_id").alias("__hit")).distinct(), "hit")
+    return docs.join(small(hit), docs[doc_id].cast("bigint") == hit["__hit"], "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .store import table
@@ -38,11 +39,11 @@ LANGUAGES = 64
 #: Log probability taken off for each character by which an n-gram falls short.
 BACKOFF = 0.5
 UNKNOWN = "und"
+#: Best score below which a text is rejected.
+MIN_SCORE = 0.3
 #: Words' scores that a Python worker remembers between batches.
 CACHED = 200_000
 
-SCHEMA = "doc_id bigint, lang_pred string, score double"
-
 
 class Model:
     """Scores of words and n-grams: one value for each language."""
@@ -139,13 +140,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(languages, priors, units["w"], units["g"], floors["g"])
 
 
-def _predicted(shared):
+def _predicted(shared, at: int, lang_pred: str, score_name: str):
+    """``at``: the column that holds the text; all columns are handed on, with two behind."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         k = len(model.languages)
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            for text in W.chunks(batch.column(1)):
+            for text in W.chunks(batch.column(at)):
                 w = W.split(text, W.SPACE_WORD)
                 rows = len(text.offsets) - 1
                 code, distinct = w.coded()
@@ -157,23 +160,41 @@ def _predicted(shared):
                     np.cumsum(np.column_stack((own, said))[code], axis=0, out=sums[1:])
                     by_row = sums[w.rows[1:]] - sums[w.rows[:-1]]
                     n = by_row[:, k]
-                    some = np.flatnonzero(n > 0)
+                    some = np.flatnonzero(n > 0.5)
                     z = by_row[some, :k] + model.priors
                     z = (z - z.max(axis=1, keepdims=True)) / np.sqrt(n[some, None])
                     p = np.exp(z)
                     p /= p.sum(axis=1, keepdims=True)
                     best[some] = np.argmax(z, axis=1)
                     score[some] = p.max(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(text.first, rows), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                own = batch.slice(text.first, rows)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names, lang_pred, score_name])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language and score (0 to 1) of every whole text."""
+def identified(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs``, with the language and the score (0 to 1) of every whole text."""
     # At most LANGUAGES x (WORDS + GRAMS) scores, whatever the table's size.
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(_predicted(shared), SCHEMA)
+    columns = T.StructType([*docs.schema.fields, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_predicted(shared, docs.columns.index(text), lang_pred, score), columns)
+
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score of every text."""
+    return identified(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), model).drop("text")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows whose text is in a known language, columns as they were.
+
+    Rejected are texts without a letter and those whose best language scores less than
+    ``min_score``.  A model that has learnt nothing rejects only texts without a letter.
+    """
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(text), F.lit("")).rlike(r"\p{L}"))
+    return identified(docs, model, text, "__lang_pred", "__score").filter((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= min_score)).drop("__lang_pred", "__score")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -17,7 +17,7 @@ documents were copied stay, and are left to document dedup.
 
 Counts are summed before they are shuffled, at most once for each template and family;
 whole lines are only moved where their leaf recurs and its lines differ.  The list of
-templates is broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond.
+templates is broadcast up to a fixed number of rows and joined by a shuffle beyond.
 
 Edge cases: a null text stays null and has no lines; blank lines are never dropped nor
 counted; a document may lose all of its lines, then its text is empty; rows of one doc_id
@@ -30,13 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table, written
+from .store import small, table, written
 
 DEPTH = 3
 MIN_FAMILIES = 5
 MOST_SHARE = 0.5
 SIMILAR = 0.6
-BROADCAST_ROWS = 200_000
 
 _VARIABLE = r"[^ ]*[0-9][^ ]*"
 
@@ -70,19 +69,14 @@ def _recurring(pairs: DataFrame, unit: str, families: int, share: float) -> Data
     return sums.filter((F.col("families") >= families) & (F.col("most") <= share * F.col("docs"))).select(unit)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """With a broadcast hint, if its size allows it; ``df``: a written table."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _generalised(docs: DataFrame, lines: DataFrame, plain: DataFrame, families: int, share: float, similar: float) -> DataFrame:
     """doc_id, key and line number of lines under templates with generalised fields."""
     leaves = _recurring(lines.select("family", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["leaf"]))).alias("leaf")), "leaf", families, share)
     # Of these, only leaves that hold lines of several templates have fields to generalise.
     own = lines.select(F.explode("lines").alias("line")).filter("line is not null").groupBy("line.leaf").agg(F.min("line.template").alias("a"), F.max("line.template").alias("b")).filter("a <> b").select("leaf")
-    leaves = _small(written(leaves.join(own, "leaf"), "leaves"))
+    leaves = small(written(leaves.join(own, "leaf"), "leaves"))
     text = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.transform(F.split("text", "\n", -1), masked)).alias("at", "line")).filter(F.col("line") != "")
-    some = text.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf").withColumn("template", F.xxhash64("line", F.lit(1))).join(_small(plain), "template", "left_anti")
+    some = text.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf").withColumn("template", F.xxhash64("line", F.lit(1))).join(small(plain), "template", "left_anti")
     some = written(some.select("doc_id", "key", "at", "leaf", F.split("line", " ", -1).alias("tokens")), "lines")
     some = some.join(lines.select("doc_id", "key", "family").distinct(), ["doc_id", "key"])
     # Which token each family has at each place, and which of them holds half of the families.
@@ -103,7 +97,7 @@ def boilerplate(docs: DataFrame, min_families: int = MIN_FAMILIES, most_share: f
     have = F.filter("lines", lambda x: x.isNotNull())
     plain = written(_recurring(lines.select("family", F.explode(F.array_distinct(F.transform(have, lambda x: x["template"]))).alias("template")), "template", min_families, most_share), "templates")
     at = lines.select("doc_id", "key", F.posexplode("lines").alias("at", "line")).filter("line is not null").select("doc_id", "key", "at", F.col("line.template").alias("template"))
-    hits = at.join(_small(plain), "template").select("doc_id", "key", "at").union(_generalised(docs, lines, plain, min_families, most_share, similar))
+    hits = at.join(small(plain), "template").select("doc_id", "key", "at").union(_generalised(docs, lines, plain, min_families, most_share, similar))
     return hits.groupBy("doc_id", "key").agg(F.collect_set("at").alias("dropped"))
 
 

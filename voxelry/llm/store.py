@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +58,14 @@ class Written:
         _remove(self.spark, self.path)
 
 
+#: Rows of a few numbers up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table, with a broadcast hint if its size allows it; else joins shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     return Written(df, label).df
