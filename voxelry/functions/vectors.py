@@ -66,7 +66,21 @@ class Vec(NamedTuple):
         return [c.alias(f"{prefix}{k}{suffix}") for k, c in zip("xyz", self, strict=True)]
 
 
-ZERO = (0.0, 0.0, 0.0)
+class Named:
+    """The vector of the columns <prefix>x, <prefix>y, <prefix>z, for use as a module's name:
+    its expressions are made when they are asked for, as columns need a running session."""
+
+    def __init__(self, prefix: str = ""):
+        self._prefix = prefix
+
+    def __getattr__(self, name: str):
+        return getattr(Vec.of(self._prefix), name)
+
+    def __iter__(self):
+        return iter(Vec.of(self._prefix))
+
+    def __getitem__(self, k: int) -> Column:
+        return Vec.of(self._prefix)[k]
 
 
 def finite(c: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, closest_on_triangle
+from ..functions.vectors import Named, Vec, closest_on_triangle
 from ..plans.lineage import cut
 from ..sources.surfaces import Surface
 from .geometry import A, B, C, corners, normal
@@ -21,8 +21,7 @@ from .geometry import A, B, C, corners, normal
 FEW = 4096
 RINGS = 6
 
-P = Vec.of("p")
-Q = Vec.of("q")
+P, Q = Named("p"), Named("q")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, clamp, clamp_length, project_to_tangent
+from ..functions.vectors import Named, Vec, clamp, clamp_length, project_to_tangent
 
-N, V = Vec.of("n"), Vec.of("v")
+N, V = Named("n"), Named("v")
 
 
 @dataclass(frozen=True)

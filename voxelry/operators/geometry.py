@@ -6,13 +6,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, finite, triangle_area
+from ..functions.vectors import Named, Vec, finite, triangle_area
 from ..sources.surfaces import Surface
 
 #: Vertices up to which the table is broadcast to its triangles; beyond, joins shuffle.
 BROADCAST_VERTICES = 1_000_000
 
-A, B, C = (Vec.of(k) for k in "abc")
+A, B, C = (Named(k) for k in "abc")
 
 
 def small(df: DataFrame, most: int = BROADCAST_VERTICES) -> DataFrame:

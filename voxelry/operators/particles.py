@@ -12,9 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Vec, clamp, clamp_speed
+from ..functions.vectors import Named, Vec, clamp, clamp_speed
 
-X, V = Vec.of(), Vec.of("v")
+X, V = Named(), Named("v")
 COLUMNS = ("particle_idx", "x", "y", "z", "vx", "vy", "vz", "radius", "inverse_mass", "age")
 
 
