@@ -9,13 +9,15 @@ are, the fewer documents meet.  The order goes by counts over all documents, kep
 sketch of ``COUNTERS`` counters (a fixed size, whatever the corpus), ties by hash.  Prefix
 shingles are shuffled by hash; whoever meets there must pass the length filter, the
 positional filter and a suffix filter (how many shingles each has in ``RANGES`` ranges of
-hashes).  Each pair that is left is verified once, on the full sets.
+hashes: the differences add up to no more than the sets differ).  Each pair that is left
+is verified once, on the full sets.
 
 Large groups of near copies: pairs inside a group are never all made.  A first round
-verifies a few pairs for each document (with the least changed document of its rarest
-shared shingle, and with its neighbour there).  A second round makes only the pairs across
-the components found so far, so it is exact, and what is already linked costs nothing.
-Lists longer than ``BLOCK`` are compared block by block.
+verifies a few pairs for each document (with the least changed documents that share a
+prefix shingle with it, and with its neighbour under its rarest one), a second one pairs
+the components that have been found, by their least changed members.  The last round
+makes only the pairs across the components that are left, so it is exact, and what is
+already linked costs nothing.  Lists longer than ``BLOCK`` are compared block by block.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts of fewer
 words than a shingle have one shingle; a row without a doc_id is handed on with no
@@ -37,16 +39,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import Written, table, written
+from .store import Written, small, table, written
 
 GRAM = 5
 PERCENT = 80
 #: Counters of the sketch: 16 MB, in slices.
 COUNTERS, SLICE = 1 << 22, 1 << 16
-RANGES = 8
+RANGES = 256
 BLOCK = 4096
-#: Ids up to which a list of documents is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Pairs of one document that are verified in one group.
 GROUP = 512
 
@@ -120,22 +120,19 @@ def _signed(shared, gram: int, percent: int):
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     own = s[np.argsort(counts[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
                     prefix.append(own[: len(s) - _least(len(s), percent) + 1].tobytes() if len(s) else b"")
-                    ranges.append(np.diff(np.searchsorted(s, _EDGES), append=len(s)).astype("<i4").tobytes())
+                    ranges.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(text.first, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "ranges", "prefix"])
 
     return run
 
 
-_EDGES = (np.arange(RANGES, dtype=np.uint64) << np.uint64(61)).astype(np.uint64)
-
-
 def signed(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Set size, digest, range counts and rare-first prefix of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, gram))
     return docs.select("doc_id", "text").mapInArrow(_signed(shared, gram, percent), SIGNED)
 
 
-_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4"), ("ranges", "<i4", (RANGES,))])
+_POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def _posted(buckets: int):
@@ -157,11 +154,11 @@ def _posted(buckets: int):
             for b in np.flatnonzero(np.diff(ends)):
                 own = all_[order[ends[b] : ends[b + 1]]]
                 # A document's numbers repeat from posting to posting: written column by column they all but vanish.
-                raw = b"".join(np.ascontiguousarray(own[k]).tobytes() for k in ("token", "doc", "n", "at", "ranges"))
+                raw = b"".join(np.ascontiguousarray(own[k]).tobytes() for k in _POSTING.names)
                 yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), pa.array([press.compress(raw)], pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
-            data, offsets = W.flat(batch.column(3))
+            data, offsets = W.flat(batch.column(2))
             counts = np.diff(offsets) // 8
             own = np.zeros(int(counts.sum()), _POSTING)
             own["token"] = np.frombuffer(data.tobytes(), "<u8")
@@ -169,8 +166,6 @@ def _posted(buckets: int):
             own["doc"] = batch.column(0).to_numpy()[row]
             own["n"] = batch.column(1).to_numpy()[row]
             own["at"] = W.ranges(np.zeros(len(counts), np.int64), counts)
-            ranges, _ = W.flat(batch.column(2))
-            own["ranges"] = np.frombuffer(ranges.tobytes(), "<i4").reshape(-1, RANGES)[row]
             waiting.append(own)
             size += len(own)
             if size > 500_000:
@@ -185,14 +180,14 @@ def _unpacked(raw: bytes) -> np.ndarray:
     body = zstandard.ZstdDecompressor().decompress(raw)
     out = np.zeros(len(body) // _POSTING.itemsize, _POSTING)
     at = 0
-    for k in ("token", "doc", "n", "at", "ranges"):
+    for k in _POSTING.names:
         size = out[k].nbytes
-        out[k] = np.frombuffer(body, _POSTING[k].base, size // _POSTING[k].base.itemsize, at).reshape(out[k].shape)
+        out[k] = np.frombuffer(body, _POSTING[k], len(out), at)
         at += size
     return out
 
 
-_LISTED = "token bigint, doc_id bigint, n int, at int, ranges binary"
+_LISTED = "token bigint, doc_id bigint, n int, at int"
 
 
 def _listed(percent: int):
@@ -214,8 +209,7 @@ def _listed(percent: int):
             own = own[keep]
             for k in range(0, len(own), 50_000):
                 x = own[k : k + 50_000]
-                raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * 4 * RANGES).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x["ranges"]).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(x["token"].view(np.int64)), pa.array(x["doc"]), pa.array(x["n"]), pa.array(x["at"]), raw], ["token", "doc_id", "n", "at", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x["token"]).view(np.int64)), pa.array(x["doc"]), pa.array(x["n"]), pa.array(x["at"])], ["token", "doc_id", "n", "at"])
 
     return run
 
@@ -227,7 +221,7 @@ def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
         own = {}
         for k, name in enumerate(columns):
             c = batch.column(k)
-            own[name] = np.frombuffer(W.flat(c)[0].tobytes(), "<i4").reshape(-1, RANGES) if name == "ranges" else c.to_numpy()
+            own[name] = np.frombuffer(W.flat(c)[0].tobytes(), np.uint8).reshape(-1, RANGES) if name == "ranges" else c.to_numpy(zero_copy_only=False)
         if rest is not None:
             own = {k: np.concatenate((rest[k], v)) for k, v in own.items()}
         token = own["token"]
@@ -243,26 +237,64 @@ def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
         yield rest
 
 
-def _first_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each posting: the least changed document of the list, and the neighbour in order of length."""
-    for own in _lists(batches, ("token", "doc_id", "n", "at")):
-        if len(own["doc_id"]) < 2:
-            continue
-        order = np.lexsort((own["doc_id"], own["n"]))
-        doc, at = own["doc_id"][order], own["at"][order]
-        hub = doc[np.lexsort((doc, at))[0]]
-        for a, b in ((np.full(len(doc), hub), doc), (doc[:-1], doc[1:])):
-            ok = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], ["a", "b"])
+def _may_link(percent: int, n1, at1, n2, at2, ranges1=None, ranges2=None) -> np.ndarray:
+    """Length, positional and suffix filters: false only where two sets can't link and this
+    is the first shingle that they share."""
+    need = (percent * (n1 + n2) + 99 + percent) // (100 + percent)
+    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - at1, n2 - at2) >= need)
+    if ranges1 is not None and ok.any():
+        k = np.flatnonzero(ok)
+        one = ranges1[k] if ranges1.ndim == 2 else ranges1[None, :]
+        two = ranges2[k] if ranges2.ndim == 2 else ranges2[None, :]
+        differ = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(axis=1)
+        ok[k] = differ <= (n1 + n2 - 2 * need)[k]
+    return ok
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _first_pairs(percent: int):
+    """For each posting: the least changed document of the list; under a document's rarest
+    shingle (``first``) also the neighbour in order of length."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _lists(batches, ("token", "doc_id", "n", "at", "first")):
+            order = np.lexsort((own["doc_id"], own["n"]))
+            doc, n, at, first = (own[k][order] for k in ("doc_id", "n", "at", "first"))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            hub = np.lexsort((doc, at))[0]
+            ok = _may_link(percent, n, at, n[hub], at[hub]) & (doc != doc[hub])
+            yield _pairs(np.full(int(ok.sum()), doc[hub]), doc[ok])
+            ok = _may_link(percent, n[1:], at[1:], n[:-1], at[:-1]) & (doc[1:] != doc[:-1]) & first[1:]
+            yield _pairs(doc[:-1][ok], doc[1:][ok])
+
+    return run
+
+
+def _component_pairs(percent: int):
+    """For each list, its least changed document with that of each other component."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _lists(batches, ("token", "doc_id", "n", "at", "component", "ranges")):
+            order = np.lexsort((own["doc_id"], own["at"]))
+            doc, n, at, component, ranges = (own[k][order] for k in ("doc_id", "n", "at", "component", "ranges"))
+            _, least = np.unique(component, return_index=True)  # the first of each: the least changed
+            least = least[component[least] != component[0]]
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            ok = least[_may_link(percent, n[least], at[least], n[0], at[0], ranges[least], ranges[0])]
+            yield _pairs(np.full(len(ok), doc[0]), doc[ok])
+
+    return run
 
 
 def _cross_pairs(percent: int):
     """Pairs across components that pass the filters, block against block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _lists(batches, ("token", "doc_id", "n", "at", "ranges", "component")):
-            component = own["component"]
-            if len(component) < 2 or (component == component[0]).all():
+        for own in _lists(batches, ("token", "doc_id", "n", "at", "component", "ranges")):
+            if (own["component"] == own["component"][0]).all():
                 continue
             order = np.lexsort((own["doc_id"], own["n"]))
             doc, n, at, ranges, component = (own[k][order] for k in ("doc_id", "n", "at", "ranges", "component"))
@@ -279,14 +311,10 @@ def _cross_pairs(percent: int):
                         if first >= last:
                             continue
                         x = slice(first, last)
-                        need = (percent * (n[x] + n[k]) + 99 + percent) // (100 + percent)
-                        ok = component[x] != component[k]
-                        ok &= np.minimum(n[x] - at[x], n[k] - at[k]) >= need
-                        ok &= np.abs(ranges[x] - ranges[k]).sum(axis=1) <= n[x] + n[k] - 2 * need
-                        if ok.any():
-                            y = doc[x][ok]
-                            y = y[y != doc[k]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(y, doc[k])), pa.array(np.maximum(y, doc[k]))], ["a", "b"])
+                        other = first + np.flatnonzero(component[x] != component[k])
+                        if len(other):
+                            y = doc[other[_may_link(percent, n[other], at[other], n[k], at[k], ranges[other], ranges[k])]]
+                            yield _pairs(np.full(len(y), doc[k]), y)
 
     return run
 
@@ -354,19 +382,28 @@ class Join:
         some = self.signed.filter("doc_id is not null and n > 0")
         self.classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "classes")
 
+    def firsts(self) -> DataFrame:
+        """The classes' first documents."""
+        return self.signed.join(self.classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+
     def listed(self) -> DataFrame:
-        """Shared prefix shingles of the classes' first documents."""
+        """Their prefix shingles that are shared."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        first = self.signed.join(self.classes.select("digest", F.col("first").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-        posted = first.select("doc_id", "n", "ranges", "prefix").mapInArrow(_posted(buckets), "bucket int, blob binary")
+        posted = self.firsts().select("doc_id", "n", "prefix").mapInArrow(_posted(buckets), "bucket int, blob binary")
         return posted.repartitionById(buckets, "bucket").mapInArrow(_listed(self.percent), _LISTED)
 
+    def open_lists(self, listed: DataFrame, joined: DataFrame) -> DataFrame:
+        """The postings of shingles that documents of several components share."""
+        labelled = listed.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
+        rest = labelled.join(open_, "token", "left_semi").select("token", "doc_id", "n", "at", "component")
+        return rest.join(self.firsts().select("doc_id", "ranges"), "doc_id").select("token", "doc_id", "n", "at", "component", "ranges")
+
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
         pairs = written(pairs.distinct(), f"{label}-pairs")
         ids = Written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{label}-ids").df
-        ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-        sets = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows(self.gram), "doc_id bigint, items binary")
+        sets = self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows(self.gram), "doc_id bigint, items binary")
         sets = written(sets.groupBy("doc_id").agg(F.min("items").alias("items")), f"{label}-sets")
         # A document with many pairs is verified in several groups, each with its own copy of the set.
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
@@ -378,20 +415,17 @@ class Join:
 
     def links(self) -> DataFrame:
         """Verified links (a, b), a < b, between classes' first documents, as far as needed:
-        all links across what the first round has joined, and enough to join that."""
+        all links across what the first two rounds have joined, and enough to join that."""
         listed = written(self.listed(), "listed")
-        by_token = lambda df: df.repartition("token").sortWithinPartitions("token")
-        # Each document's rarest shared shingle.
-        rarest = listed.groupBy("doc_id").agg(F.min(F.struct("at", "token")).alias("r")).select("doc_id", F.col("r.token").alias("token"))
-        some = listed.select("token", "doc_id", "n", "at").join(rarest, ["doc_id", "token"], "left_semi").select("token", "doc_id", "n", "at")
-        one = written(self.verified(by_token(some).mapInArrow(_bundled(_first_pairs), "a bigint, b bigint"), "first"), "first-links")
-        joined = components(one)
-        labelled = listed.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        # Lists that lie within one component are done.
-        open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        rest = labelled.join(open_, "token", "left_semi").select("token", "doc_id", "n", "at", "ranges", "component")
-        two = self.verified(by_token(rest).mapInArrow(_bundled(_cross_pairs(self.percent)), "a bigint, b bigint"), "cross")
-        return written(one.union(two), "links")
+        rarest = listed.groupBy("doc_id").agg(F.min(F.struct("at", "token")).alias("r")).select("doc_id", F.col("r.token").alias("token"), F.lit(True).alias("first"))
+        rows = listed.join(rarest, ["doc_id", "token"], "left").select("token", "doc_id", "n", "at", F.coalesce("first", F.lit(False)).alias("first"))
+        links = None
+        for label, make in (("first", _first_pairs), ("component", _component_pairs), ("cross", _cross_pairs)):
+            rows = rows if links is None else self.open_lists(listed, components(links))
+            pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_bundled(make(self.percent)), "a bigint, b bigint")
+            found = self.verified(pairs, label)
+            links = written(found if links is None else links.union(found), f"{label}-links")
+        return links
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles, class_id, n_links (of the class, as far as verified) and component_id of every row."""
@@ -412,8 +446,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
     """The first document (smallest id) of each component; documents with empty sets or no
     id all stay, and a repeated row stays as often as it occurs."""
     found = near_duplicates(docs, doc_id, text, gram, percent)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("bigint") == gone["__gone"], "left_anti")
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(small(gone), docs[doc_id].cast("bigint") == gone["__gone"], "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
