@@ -53,9 +53,14 @@ def scaled(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     return rows.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("bigint")).alias("v"))
 
 
+def _bound(x: np.ndarray, q: np.ndarray) -> float:
+    """No inner product of rows of x and q is greater."""
+    return (float(np.abs(x.astype(np.float64)).max(initial=0)) + 1) * (float(np.abs(q.astype(np.float64)).max(initial=0)) + 1) * max(1, x.shape[1])
+
+
 def _product(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Exact integer inner products of the rows of x with those of q."""
-    bound = (float(np.abs(x.astype(np.float64)).max(initial=0)) + 1) * (float(np.abs(q.astype(np.float64)).max(initial=0)) + 1) * max(1, x.shape[1])
+    bound = _bound(x, q)
     if bound < 2.0**53:
         return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
     if bound < 2.0**62:
@@ -79,6 +84,8 @@ def _rows(batches: Iterable[pa.RecordBatch], dims: int, queries: int) -> Iterato
 
 
 def _partials(x: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    if _bound(x, q) >= 2.0**62:  # sums of parts could overflow: one list of whole scores
+        return [_product(x, q)]
     cuts = np.linspace(0, x.shape[1], min(PARTS, max(1, x.shape[1])) + 1).astype(int)
     return [_product(x[:, a:b], q[:, a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
