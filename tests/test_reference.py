@@ -108,3 +108,26 @@ def test_perturbations_in_order(spark):
     schedule = spark.createDataFrame(rows, "ord long, node_idx long, start_step int, duration int, effect string, field_id string, amount double").withColumns({f"p{k}": F.lit(0.0) for k in "xyz"})
     got = {r.node_idx: round(r.value, 6) for r in fields.perturbed_scalars(values, schedule, 1).collect()}
     assert got == {0: 1.1, 1: 0.5, 2: 0.6}
+
+
+def test_walk_prefers_the_surface(spark):
+    """Two sheets one above the other: the nearest along the surface are on one's own."""
+    from voxelry.operators import walk
+
+    sheet = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    surface = surfaces.literal(spark, [(x, y, z) for z in (0.0, 0.01) for x, y in sheet], [(0, 1, 2), (0, 2, 3), (4, 5, 6), (4, 6, 7)])
+    samples = sampling.samples(surface, 12, 7)
+    got = walk.neighbors(surface, samples, 3).join(samples.select(F.col("sample_idx").alias("from_node"), F.col("z").alias("az")), "from_node").join(samples.select(F.col("sample_idx").alias("to_node"), F.col("z").alias("bz")), "to_node").collect()
+    assert len(got) == 36 and all(r.az == r.bz for r in got)
+
+
+def test_displacement_stays_in_the_ellipsoid(spark):
+    from voxelry.functions.vectors import Vec
+    from voxelry.operators import coordinates
+
+    framed = coordinates.frames(sampling.samples(surfaces.unit_square(spark), 4), (0.02, 0.03, 0.04))
+    assert all(r.rejection is None for r in rules.checked(framed, rules.local_frame()).collect())
+    moved = coordinates.displaced(framed, Vec.lit(0.5, -0.25, 2.0)).join(framed.select("sample_idx", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az")), "sample_idx")
+    for r in moved.collect():
+        n = math.sqrt(0.25 + 0.0625 + 1)
+        assert close(math.dist((r.x, r.y, r.z), (r.ax, r.ay, r.az)), math.sqrt((0.5 * 0.02) ** 2 + (0.25 * 0.03) ** 2 + 0.04**2) / n)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import Vec, rounded
-from .operators import adf, circuit, distance, fields, geometry, particles, sampling, scenario, sdf, skinning
+from .operators import adf, circuit, coordinates, distance, fields, geometry, particles, sampling, scenario, sdf, skinning, walk
 from .plans import rules
 from .sources import surfaces
 
@@ -585,3 +585,44 @@ def _(spark, d):
 @query("A40_duplicate_ids", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def _(spark, d):
     return rules.duplicates(spark.read.parquet(f"{d}/events.parquet"), "user_id")
+
+
+# Frames, walks and exports.
+
+
+@query("F13_P11_local_frames")
+def _(spark, d):
+    return told(coordinates.frames(sampling.samples(wavy(spark), 64)), "sample_idx", *[f"{a}{k}" for a in "uvw" for k in "xyz"])
+
+
+@query("F14_F15_displaced")
+def _(spark, d):
+    return told(coordinates.displaced(coordinates.frames(sampling.samples(wavy(spark), 64)), Vec.lit(0.5, -0.25, 2.0)), "sample_idx", "x", "y", "z")
+
+
+@query("J37_updated_samples")
+def _(spark, d):
+    anchors = sampling.samples(wavy(spark), 64)
+    return told(coordinates.updated(anchors, surfaces.wavy_grid(spark, N, 0.5)), "sample_idx", "x", "y", "z")
+
+
+@query("T16_T17_surface_changes", "SELECT 'updated' AS outcome")
+def _(spark, d):
+    return coordinates.surface_changes(wavy(spark), surfaces.wavy_grid(spark, N, 0.5))
+
+
+@query("J06_J07_walk_tiers")
+def _(spark, d):
+    square = surfaces.unit_square(spark)
+    return told(walk.tiers(square, sampling.samples(square, 12, 48161, sampling.LOW_DISCREPANCY), 3, 3), "from_node", "to_node", "rank", "tier")
+
+
+@query("S20_S24_packed_nodes", f"WITH {_PART} SELECT i AS idx, x, y, z FROM p")
+def _(spark, d):
+    packed = coordinates.packed_nodes(surfaces.particles(spark, d), "particle_idx", "x", "y", "z")
+    return packed.select("idx", *[F.get("packed", k).alias(n) for k, n in enumerate("xyz")])
+
+
+@query("S25_region_lists", f"WITH {_REGION}, c AS (SELECT region::BIGINT AS region, count(*) AS n FROM rg GROUP BY region) SELECT region, n, (sum(n) OVER (ORDER BY region) - n)::BIGINT AS first FROM c")
+def _(spark, d):
+    return told(coordinates.region_lists(_body(spark)[0].select("region", "node_idx")), "region", "n", "first")
