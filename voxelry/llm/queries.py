@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk
+from . import oracles, topk
 from .decontaminate import op10_decontaminate
 from .jaccard_join import op5_jaccard_join
 from .language import op2_language
@@ -32,5 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
     "op3_topk": topk.ORACLE,
+    "op5_jaccard_join": oracles.OP5,
+    "op10_decontaminate": oracles.OP10,
 }
