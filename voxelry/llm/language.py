@@ -42,7 +42,7 @@ UNKNOWN = "und"
 #: Best score below which a text is rejected.
 MIN_SCORE = 0.3
 #: Words' scores that a Python worker remembers between batches.
-CACHED = 200_000
+CACHED = 100_000
 
 
 class Model:
@@ -169,6 +169,7 @@ def _predicted(shared, at: int, lang_pred: str, score_name: str):
                     score[some] = p.max(axis=1)
                 own = batch.slice(text.first, rows)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names, lang_pred, score_name])
+        model.cache.clear()  # the worker lives on, and other stages need its memory
 
     return run
 

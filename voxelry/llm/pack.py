@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import Written, table
+from .store import Written, small, table, written
 
 LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Ids of chunks that a Python worker remembers between batches.
-CACHED = 400_000
+#: Chunks whose ids a Python worker remembers between batches (about 150 bytes each).
+CACHED = 250_000
 
 TOKENS_SCHEMA = "doc_id bigint, ids binary, n_tokens bigint, part bigint, local_start bigint"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -63,9 +63,11 @@ class Encoder:
         self.plain = Tokenizer(self.full.model)  # for chunks of lower-case ASCII letters alone
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.marks = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.full.get_added_tokens_decoder().values()) or b"(?!)")
-        self.known: dict[bytes, np.ndarray] = {}
+        self.kind = np.dtype("<u2") if self.full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.known: dict[bytes, bytes] = {}
 
-    def chunk_ids(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk, as the bytes of numbers of ``kind``."""
         if len(self.known) > CACHED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
@@ -75,7 +77,7 @@ class Encoder:
             for at in range(0, len(own), 20_000):
                 some = own[at : at + 20_000]
                 got = encoder.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-                self.known.update((c, np.array(e.ids, np.uint16 if max(e.ids, default=0) < 65536 else np.uint32)) for c, e in zip(some, got, strict=True))
+                self.known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(some, got, strict=True))
         return [self.known[c] for c in chunks]
 
     def ids(self, text: W.Text) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +105,9 @@ class Encoder:
         coded = chunks.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         own = self.chunk_ids(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in own], np.int64)
+        sizes = np.array([len(x) for x in own], np.int64) // self.kind.itemsize
         places = np.cumsum(sizes) - sizes
-        pool = np.concatenate(own).astype(np.uint32) if own else np.zeros(0, np.uint32)
+        pool = np.frombuffer(b"".join(own), self.kind).astype(np.uint32)
         ids = pool[W.ranges(places[code], sizes[code])]
         counts = np.concatenate(([0], np.cumsum(sizes[code])))
         counts = counts[by_row[1:]] - counts[by_row[:-1]]
@@ -184,7 +186,7 @@ def packed(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     # One row for each input partition: the only thing that a single task sees.
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    placed = tokens.join(base, "part").select("doc_id", "ids", (F.col("base") + F.col("local_start")).alias("at"))
+    placed = tokens.join(small(written(base, "bases")), "part").select("doc_id", "ids", (F.col("base") + F.col("local_start")).alias("at"))
     return placed.mapInArrow(_pieces(length), PIECE_SCHEMA)
 
 

@@ -35,6 +35,8 @@ from .store import table
 
 WINDOW = 50
 GRAM = 8
+#: Text bytes among which a repeated string is sent once.
+BATCH_BYTES = 3 << 20
 #: Packed bytes that a map task gathers before it sends them on.
 SEND_BYTES = 64 << 20
 #: Packed bytes that are sorted at once.
@@ -117,7 +119,7 @@ def _send(window: int, gram: int, buckets: int):
 
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for text in W.chunks(batch.column(2)):
+            for text in W.chunks(batch.column(2), BATCH_BYTES):
                 found = _super_kmers(text, window, gram)
                 if found is None:
                     continue

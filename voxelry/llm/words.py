@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at once; a longer single document is taken whole.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
