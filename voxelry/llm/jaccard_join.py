@@ -9,7 +9,7 @@ are, the fewer documents meet.  The order goes by counts over all documents, kep
 sketch of ``COUNTERS`` counters (a fixed size, whatever the corpus), ties by hash.  Prefix
 shingles are shuffled by hash; whoever meets there must pass the length filter, the
 positional filter and a suffix filter (how many shingles each has in ``RANGES`` ranges of
-hashes: the differences add up to no more than the sets differ).  Each pair that is left
+hashes, modulo 16: the differences add up to no more than the sets differ).  Each pair that is left
 is verified once, on the full sets.
 
 Large groups of near copies: pairs inside a group are never all made.  A first round
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import Written, small, table, written
+from .store import small, table, written
 
 GRAM = 5
 PERCENT = 80
@@ -120,7 +120,8 @@ def _signed(shared, gram: int, percent: int):
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     own = s[np.argsort(counts[(s % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")]
                     prefix.append(own[: len(s) - _least(len(s), percent) + 1].tobytes() if len(s) else b"")
-                    ranges.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
+                    in_range = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES) % 16
+                    ranges.append((in_range[0::2] * 16 + in_range[1::2]).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(text.first, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ranges, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "ranges", "prefix"])
 
     return run
@@ -214,6 +215,11 @@ def _listed(percent: int):
     return run
 
 
+def _halves(raw: np.ndarray) -> np.ndarray:
+    """The counts of each range, two to a byte."""
+    return np.column_stack((raw >> 4, raw & 15)).reshape(-1, RANGES).astype(np.int8)
+
+
 def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
     """The postings of each token, from rows that are sorted by token."""
     rest: dict[str, np.ndarray] | None = None
@@ -221,7 +227,7 @@ def _lists(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
         own = {}
         for k, name in enumerate(columns):
             c = batch.column(k)
-            own[name] = np.frombuffer(W.flat(c)[0].tobytes(), np.uint8).reshape(-1, RANGES) if name == "ranges" else c.to_numpy(zero_copy_only=False)
+            own[name] = _halves(np.frombuffer(W.flat(c)[0].tobytes(), np.uint8)) if name == "ranges" else c.to_numpy(zero_copy_only=False)
         if rest is not None:
             own = {k: np.concatenate((rest[k], v)) for k, v in own.items()}
         token = own["token"]
@@ -246,7 +252,8 @@ def _may_link(percent: int, n1, at1, n2, at2, ranges1=None, ranges2=None) -> np.
         k = np.flatnonzero(ok)
         one = ranges1[k] if ranges1.ndim == 2 else ranges1[None, :]
         two = ranges2[k] if ranges2.ndim == 2 else ranges2[None, :]
-        differ = np.abs(one.astype(np.int16) - two.astype(np.int16)).sum(axis=1)
+        differ = np.abs(one - two)
+        differ = np.minimum(differ, 16 - differ).sum(axis=1, dtype=np.int64)  # counts are modulo 16
         ok[k] = differ <= (n1 + n2 - 2 * need)[k]
     return ok
 
@@ -358,7 +365,8 @@ def _verified(percent: int):
             for k, other in enumerate(b):
                 items = np.frombuffer(data[offsets[k] : offsets[k + 1]].tobytes(), "<u8")
                 if other is None:
-                    key, own = (a[k], part[k]), items
+                    if key != (a[k], part[k]):  # of rows that repeat an id, the first
+                        key, own = (a[k], part[k]), items
                     continue
                 assert key == (a[k], part[k])
                 place = np.minimum(np.searchsorted(own, items), len(own) - 1)
@@ -402,16 +410,16 @@ class Join:
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
         pairs = written(pairs.distinct(), f"{label}-pairs")
-        ids = Written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{label}-ids").df
-        sets = self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows(self.gram), "doc_id bigint, items binary")
-        sets = written(sets.groupBy("doc_id").agg(F.min("items").alias("items")), f"{label}-sets")
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{label}-ids")
+        sets = written(self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows(self.gram), "doc_id bigint, items binary"), f"{label}-sets")
         # A document with many pairs is verified in several groups, each with its own copy of the set.
-        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-        asked = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-        others = asked.join(sets, asked["b"] == sets["doc_id"]).select("a", "part", "b", "items")
-        own = parts.join(sets, parts["a"] == sets["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "items")
-        grouped = others.union(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return grouped.mapInArrow(_verified(self.percent), "a bigint, b bigint")
+        parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), f"{label}-parts")
+        asked = written(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), f"{label}-asked")
+        # Pairs are broadcast to the sets while they are few, so that each set moves once for each pair.
+        others = sets.join(small(asked), asked["b"] == sets["doc_id"]).select("a", "part", "b", "items")
+        own = sets.join(small(parts), parts["a"] == sets["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "items")
+        grouped = others.union(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first(), "items")
+        return grouped.mapInArrow(_verified(self.percent), "a bigint, b bigint").distinct()
 
     def links(self) -> DataFrame:
         """Verified links (a, b), a < b, between classes' first documents, as far as needed:
@@ -451,4 +459,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), gram=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return near_duplicates(table(spark, sf_dir, "documents"), gram=4, percent=85).select("doc_id", "n_shingles", "component_id")
