@@ -11,7 +11,7 @@ lines that agree in those share one template.
 
 A template that recurs in at least ``MIN_FAMILIES`` *families* of documents is boilerplate,
 and its lines are dropped from all documents.  A family is what copies and near copies of
-one document have in common (the smallest leaf among its lines), and no family may hold
+one document have in common (the smallest leaves among its lines), and no family may hold
 more than ``MOST_SHARE`` of a template's documents: lines that recur only because whole
 documents were copied stay, and are left to document dedup.
 
@@ -34,6 +34,7 @@ from .store import small, table, written
 
 DEPTH = 3
 MIN_FAMILIES = 5
+FAMILY_LEAVES = 3
 MOST_SHARE = 0.5
 SIMILAR = 0.6
 
@@ -51,12 +52,18 @@ def leaf_of(line: Column) -> Column:
     return F.xxhash64(count, F.substring_index(line, " ", DEPTH))
 
 
+def _family() -> Column:
+    """The smallest leaves together: one alone could be of a line that recurs."""
+    leaves = F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["leaf"])
+    return F.xxhash64(F.slice(F.array_sort(F.array_distinct(leaves)), 1, FAMILY_LEAVES))
+
+
 def parsed(docs: DataFrame) -> DataFrame:
     """doc_id, key, family and, by line, its template and leaf (null: blank)."""
     lines = F.transform(F.split("text", "\n", -1), masked)
     both = F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x, F.lit(1)).alias("template"), leaf_of(x).alias("leaf"))))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", both.alias("lines"))
-    return rows.select("doc_id", "key", F.array_min(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["leaf"])).alias("family"), "lines")
+    return rows.select("doc_id", "key", _family().alias("family"), "lines")
 
 
 def _recurring(pairs: DataFrame, unit: str, families: int, share: float) -> DataFrame:
