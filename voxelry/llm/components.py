@@ -40,14 +40,15 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, native: bool = False) -> DataFrame:
     """doc_id and component (the smallest id that links reach) of every linked id.
 
     Labels spread along the links and, by looking up the label's own label, along the
     paths that they have made; the rounds grow with the logarithm of the longest path.
-    Every round is written down, so its lineage ends there.
+    Every round is written down, so its lineage ends there.  ``native``: by DataFrame
+    functions only, so links aren't thinned out first.
     """
-    stars = links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+    stars = links.select("a", "b") if native else links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
     edges = Written(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = Written(edges.df.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:

@@ -2,18 +2,22 @@
 
 Everything here is built of DataFrame functions.
 
-A line goes down a tree of fixed depth: by its number of tokens, then by its ``DEPTH``
-leading tokens.  Tokens with a digit are variable fields from the start.  The lines of a
-leaf that agree in all other tokens have one template.  In a leaf where lines recur but
-differ, further fields are generalised: a place where no token holds half of the leaf's
-document families is variable, and if at least ``SIMILAR`` of the places stay constant, the
-lines that agree in those share one template.
+A line goes down a tree of fixed depth: by its number of tokens (parted by any white
+space), then by its ``DEPTH`` leading tokens.  Short tokens with a digit are variable
+fields from the start; of tokens that are long or not ASCII only the digits are.  A line of
+which less than ``CONSTANT`` of the tokens have a letter left stays as it is.  The lines of
+a leaf that agree in all other tokens have one template.  In a leaf where lines recur but
+differ, the lines are grouped further: where at least ``SIMILAR`` of a group's places have
+a token that most of its document families hold, the lines that agree in those share one
+template.  The others part by the place with the most frequent token, again and again,
+until no token recurs.  So a leaf can have any number of templates.
 
 A template that recurs in at least ``MIN_FAMILIES`` *families* of documents is boilerplate,
-and its lines are dropped from all documents.  A family is what copies and near copies of
-one document have in common (the smallest leaves among its lines), and no family may hold
-more than ``MOST_SHARE`` of a template's documents: lines that recur only because whole
-documents were copied stay, and are left to document dedup.
+and its lines are dropped from all documents, however many copies one family has.  A family
+is a class of near copies: documents with the same leaves are one, and documents that share
+a leaf are linked if at least ``NEAR`` of their words are the same (by a sketch of the
+``SKETCH`` smallest hashes).  Lines that recur only because whole documents were copied
+stay, and are left to document dedup.
 
 Counts are summed before they are shuffled, at most once for each template and family;
 whole lines are only moved where their leaf recurs and its lines differ.  The list of
@@ -30,20 +34,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .store import small, table, written
 
 DEPTH = 3
 MIN_FAMILIES = 5
-FAMILY_LEAVES = 3
-MOST_SHARE = 0.5
 SIMILAR = 0.6
+#: Share of tokens with a letter that a line with variable fields needs.
+CONSTANT = 0.5
+#: Words that documents must share to be near copies, and hashes of them that are compared.
+NEAR = 0.85
+SKETCH = 64
 
-_VARIABLE = r"[^ ]*[0-9][^ ]*"
+_SPACE = r"[\s\p{Z}&&[^\n]]+"
+_VARIABLE = r"(?<![^ ])(?=[!-~]{1,40}(?: |$))[^ 0-9]*[0-9][^ ]*"
+
+
+def split_lines(text: Column) -> Column:
+    """The lines, with one space for each run of white space."""
+    return F.split(F.regexp_replace(text, _SPACE, " "), "\n", -1)
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens, those with a digit as one sign."""
-    return F.regexp_replace(F.trim(line), _VARIABLE, "<*>")
+    """The line's tokens, variable ones as one sign; the line itself if too few are constant."""
+    own = F.trim(line)
+    new = F.regexp_replace(F.regexp_replace(own, _VARIABLE, "<*>"), "[0-9]+", "<*>")
+    tokens = F.split(new, " ", -1)
+    enough = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}"))) >= CONSTANT * F.size(tokens)
+    return F.when(~own.rlike("[0-9]"), own).when(enough, new).otherwise(own)
 
 
 def leaf_of(line: Column) -> Column:
@@ -52,59 +70,90 @@ def leaf_of(line: Column) -> Column:
     return F.xxhash64(count, F.substring_index(line, " ", DEPTH))
 
 
-def _family() -> Column:
-    """The smallest leaves together: one alone could be of a line that recurs."""
-    leaves = F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["leaf"])
-    return F.xxhash64(F.slice(F.array_sort(F.array_distinct(leaves)), 1, FAMILY_LEAVES))
-
-
 def parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, family and, by line, its template and leaf (null: blank)."""
-    lines = F.transform(F.split("text", "\n", -1), masked)
+    """doc_id, key, print (of all leaves) and, by line, its template and leaf (null: blank)."""
+    lines = F.transform(split_lines(F.col("text")), masked)
     both = F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x, F.lit(1)).alias("template"), leaf_of(x).alias("leaf"))))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", both.alias("lines"))
-    return rows.select("doc_id", "key", _family().alias("family"), "lines")
+    return rows.select("doc_id", "key", F.xxhash64(F.array_sort(_distinct("leaf"))).alias("print"), "lines")
+
+
+def _distinct(name: str) -> Column:
+    return F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x[name]))
+
 
+def _recurring(pairs: DataFrame, unit: str, by: str, least: int) -> DataFrame:
+    """Units of ``pairs`` that are with at least so many different ``by``."""
+    return pairs.groupBy(unit, by).agg(F.lit(1).alias("n")).groupBy(unit).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(unit)
 
-def _recurring(pairs: DataFrame, unit: str, families: int, share: float) -> DataFrame:
-    """Units that enough families share, none of which has most of the documents.
 
-    ``pairs``: a unit and a family for each document that has it.
-    """
-    counts = pairs.groupBy(unit, "family").agg(F.count("*").alias("n"))
-    sums = counts.groupBy(unit).agg(F.sum("n").alias("docs"), F.max("n").alias("most"), F.count("*").alias("families"))
-    return sums.filter((F.col("families") >= families) & (F.col("most") <= share * F.col("docs"))).select(unit)
+def _families(docs: DataFrame, lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """print, family: of the prints that are linked with others."""
+    held = lines.select("print", F.explode(_distinct("leaf")).alias("leaf")).groupBy("leaf", "print").agg(F.count("*").alias("n"))
+    # Only documents with a leaf that recurs are asked for their family.
+    some = small(written(held.join(leaves, "leaf", "left_semi").select("print").distinct(), "prints"))
+    held = written(held.join(some, "print", "left_semi"), "held")
+    # In each leaf, everyone is compared with the print of most documents and with the least one.
+    hubs = held.groupBy("leaf").agg(F.max(F.struct("n", "print"))["print"].alias("x"), F.min("print").alias("y"), F.count("*").alias("all")).filter("all > 1").select("leaf", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
+    pairs = written(held.join(hubs, "leaf").filter("print <> hub").select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct(), "pairs")
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), " ", -1))
+    sketch = F.slice(F.array_sort(F.transform(words, lambda x: F.xxhash64(x))), 1, SKETCH)
+    asked = lines.join(some, "print", "left_semi").groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("d"))
+    asked = small(written(asked.select("print", F.col("d.doc_id").alias("doc_id"), F.col("d.key").alias("key")), "asked"))
+    same = F.col("text").isNotNull() & docs["doc_id"].eqNullSafe(asked["doc_id"]) & (docs["key"] == asked["key"])
+    sketches = written(docs.join(asked, same).select("print", sketch.alias("sketch")).groupBy("print").agg(F.min("sketch").alias("sketch")), "sketches")
+    both = pairs.join(sketches.select(F.col("print").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("print").alias("b"), F.col("sketch").alias("t")), "b")
+    union = F.slice(F.array_sort(F.array_union("s", "t")), 1, SKETCH)
+    alike = F.size(F.array_intersect(union, F.array_intersect("s", "t"))) >= NEAR * F.size(union)
+    links = written(both.filter(alike).select("a", "b"), "links")
+    return components(links, native=True).select(F.col("doc_id").alias("print"), F.col("component").alias("family"))
 
 
-def _generalised(docs: DataFrame, lines: DataFrame, plain: DataFrame, families: int, share: float, similar: float) -> DataFrame:
+def _generalised(docs: DataFrame, lines: DataFrame, leaves: DataFrame, plain: DataFrame, families: int, similar: float) -> DataFrame:
     """doc_id, key and line number of lines under templates with generalised fields."""
-    leaves = _recurring(lines.select("family", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["leaf"]))).alias("leaf")), "leaf", families, share)
-    # Of these, only leaves that hold lines of several templates have fields to generalise.
+    # Only leaves that hold lines of several templates have fields to generalise.
     own = lines.select(F.explode("lines").alias("line")).filter("line is not null").groupBy("line.leaf").agg(F.min("line.template").alias("a"), F.max("line.template").alias("b")).filter("a <> b").select("leaf")
-    leaves = small(written(leaves.join(own, "leaf"), "leaves"))
-    text = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.transform(F.split("text", "\n", -1), masked)).alias("at", "line")).filter(F.col("line") != "")
+    leaves = small(written(leaves.join(own, "leaf"), "open-leaves"))
+    text = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.transform(split_lines(F.col("text")), masked)).alias("at", "line")).filter(F.col("line") != "")
     some = text.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf").withColumn("template", F.xxhash64("line", F.lit(1))).join(small(plain), "template", "left_anti")
-    some = written(some.select("doc_id", "key", "at", "leaf", F.split("line", " ", -1).alias("tokens")), "lines")
-    some = some.join(lines.select("doc_id", "key", "family").distinct(), ["doc_id", "key"])
-    # Which token each family has at each place, and which of them holds half of the families.
-    places = some.select("leaf", "family", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-    held = places.groupBy("leaf", "place", "token", "n").agg(F.approx_count_distinct("family", 0.02).alias("families"))
-    total = some.groupBy("leaf").agg(F.approx_count_distinct("family", 0.02).alias("total"))
-    constant = held.join(total, "leaf").filter((F.col("families") > 0.5 * F.col("total")) & (F.col("total") >= families))
-    templates = constant.groupBy("leaf", "n").agg(F.collect_list(F.struct("place", "token")).alias("constants")).filter(F.size("constants") >= similar * F.col("n"))
-    agree = F.forall("constants", lambda c: F.get("tokens", c["place"]) == c["token"])
-    under = written(some.join(templates, "leaf").filter(agree).select("doc_id", "key", "at", "leaf", "family"), "under")
-    found = _recurring(under.select("doc_id", "key", "leaf", "family").distinct(), "leaf", families, share)
-    return under.join(found, "leaf").select("doc_id", "key", "at")
-
-
-def boilerplate(docs: DataFrame, min_families: int = MIN_FAMILIES, most_share: float = MOST_SHARE, similar: float = SIMILAR) -> DataFrame:
+    some = written(some.select("doc_id", "key", "at", F.col("leaf").alias("unit"), F.split("line", " ", -1).alias("tokens")), "lines")
+    same = some["doc_id"].eqNullSafe(lines["doc_id"]) & (some["key"] == lines["key"])
+    open_ = written(some.join(lines.select("doc_id", "key", "family").distinct(), same).select(some["doc_id"], some["key"], "at", "unit", "tokens", "family"), "open")
+    out = None
+    while True:
+        open_ = open_.join(_recurring(open_, "unit", "family", families), "unit", "left_semi")
+        # In how many families each token is, by place.
+        total = open_.groupBy("unit").agg(F.countDistinct("family").alias("total"))
+        held = open_.select("unit", "family", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).groupBy("unit", "n", "place", "token").agg(F.countDistinct("family").alias("held"))
+        held = written(held.join(total, "unit").filter(F.col("held") >= families), "held")
+        constant = F.when(2 * F.col("held") > F.col("total"), F.struct("place", "token"))
+        # Where to part: several tokens, or one that not everyone has.
+        places = held.groupBy("unit", "n", "place").agg(F.max("held").alias("most"), F.count("*").alias("tokens"), F.max("total").alias("total"), F.collect_list(constant).alias("constants"), F.collect_list("token").alias("frequent"))
+        part = F.when((F.col("tokens") > 1) | (F.col("most") < F.col("total")), F.struct("most", (-F.col("place")).alias("back"), "frequent"))
+        nodes = written(places.groupBy("unit", "n").agg(F.flatten(F.collect_list("constants")).alias("constants"), F.max(part).alias("part")), "nodes")
+        agree = (F.size("constants") >= similar * F.col("n")) & F.forall("constants", lambda c: F.get("tokens", c["place"]) == c["token"])
+        rows = written(open_.join(nodes, "unit").withColumn("agree", agree), "agree")
+        found = written(_recurring(rows.filter("agree"), "unit", "family", families).withColumn("found", F.lit(True)), "found")
+        rows = rows.join(found, "unit", "left")
+        hits = written(rows.filter("agree and found").select("doc_id", "key", "at"), "under")
+        out = hits if out is None else out.union(hits)
+        token = F.get("tokens", -F.col("part.back"))
+        branch = F.when(F.array_contains("part.frequent", token), token)
+        left = rows.filter("not (agree and coalesce(found, false)) and (found or part is not null)")
+        open_ = written(left.select("doc_id", "key", "at", F.xxhash64("unit", -F.col("part.back"), branch).alias("unit"), "tokens", "family"), "open")
+        if open_.isEmpty():
+            return out
+
+
+def boilerplate(docs: DataFrame, min_families: int = MIN_FAMILIES, similar: float = SIMILAR) -> DataFrame:
     """doc_id, key and the numbers of the lines that recur; ``docs``: doc_id, key, text."""
     lines = written(parsed(docs), "parsed")
-    have = F.filter("lines", lambda x: x.isNotNull())
-    plain = written(_recurring(lines.select("family", F.explode(F.array_distinct(F.transform(have, lambda x: x["template"]))).alias("template")), "template", min_families, most_share), "templates")
+    leaves = written(_recurring(lines.select("print", F.explode(_distinct("leaf")).alias("leaf")), "leaf", "print", min_families), "leaves")
+    lines = lines.join(small(written(_families(docs, lines, leaves), "families")), "print", "left").withColumn("family", F.coalesce("family", "print"))
+    units = lambda name: _recurring(lines.select("family", F.explode(_distinct(name)).alias(name)), name, "family", min_families)
+    plain = written(units("template"), "templates")
     at = lines.select("doc_id", "key", F.posexplode("lines").alias("at", "line")).filter("line is not null").select("doc_id", "key", "at", F.col("line.template").alias("template"))
-    hits = at.join(small(plain), "template").select("doc_id", "key", "at").union(_generalised(docs, lines, plain, min_families, most_share, similar))
+    hits = at.join(small(plain), "template").select("doc_id", "key", "at").union(_generalised(docs, lines, units("leaf"), plain, min_families, similar))
     return hits.groupBy("doc_id", "key").agg(F.collect_set("at").alias("dropped"))
 
 
