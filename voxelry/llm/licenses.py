@@ -2,7 +2,7 @@
 
 Rules are regular expressions over a text's words (lower-cased, joined by one space).
 Each licence name goes into each of the phrasings below, and some notices have rules of
-their own.  A rule runs only if all of its keywords are in the text.  Where detections
+their own.  A rule runs only if its keyword is in the text, and one of those of its licence name.  Where detections
 overlap, priority decides: one whose interval lies inside that of a detection of a higher
 priority, or of the same priority and greater length, is suppressed.  The base phrases
 have the highest priority and are never suppressed.
@@ -44,9 +44,9 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Licence names as they read in words: label, pattern, keyword.
+# Licence names as they read in words: label, pattern, keyword (or several: any of them).
 NAMES = (
-    ("mit", "(?:mit|expat)", "mit"),
+    ("mit", "(?:mit|expat)", ("mit", "expat")),
     ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache"),
     ("apache-2", "(?:apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2(?: 0)?|al2(?: 0)?)", "2"),
     ("apache", "apache(?: software)?", "apache"),
@@ -76,7 +76,7 @@ NAMES = (
     ("isc", "isc", "isc"),
     ("zlib", "zlib(?: libpng)?", "zlib"),
     ("libpng", "libpng", "libpng"),
-    ("boost", "(?:boost software|bsl 1 0)", "bo"),
+    ("boost", "(?:boost software|bsl 1 0)", ("boost", "bsl")),
     ("artistic-1", "artistic(?: license)? 1(?: 0)?", "artistic"),
     ("artistic-2", "artistic(?: license)? 2(?: 0)?", "artistic"),
     ("artistic", "artistic", "artistic"),
@@ -155,7 +155,7 @@ def rules() -> tuple[Rule, ...]:
         return Rule(name, label, re.compile(f"(?<= )(?:{pattern})(?= )".encode()), tuple(k.encode() for k in keywords), priority, score)
 
     made = [rule(f"base-{label}", label, phrase, (phrase,), BASE_PRIORITY, BASE_SCORE) for phrase, label in BASE]
-    made += [rule(f"{how}-{label}", label, form.format(name), (key, word), priority, score) for label, name, word in NAMES for how, form, key, priority, score in PHRASINGS]
+    made += [rule(f"{how}-{label}", label, form.format(name), (key, *((word,) if isinstance(word, str) else word)), priority, score) for label, name, word in NAMES for how, form, key, priority, score in PHRASINGS]
     made += [rule(name, label, pattern, (key,), priority, score) for name, label, pattern, key, priority, score in NOTICES]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
@@ -181,10 +181,10 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
         present: dict[bytes, bool] = {}
         for k, r in own:
             if len(r.keywords) > 1:
-                word = r.keywords[1]
-                if word not in present:
-                    present[word] = word in words
-                if not present[word]:
+                for word in r.keywords[1:]:
+                    if word not in present:
+                        present[word] = word in words
+                if not any(present[word] for word in r.keywords[1:]):
                     continue
             found += [(k, m.start(), m.end(), r) for m in r.pattern.finditer(words)]
     # Higher priority first, then longer, then earlier; what lies inside one that stays goes.
