@@ -10,17 +10,18 @@ window of a test item the posting lists of its words are intersected, offset-adj
 from the rarest word of that segment on.  Documents never leave their segment, so there
 is no shuffle and no skew; the only thing sent around is the test set.  It is measured
 first: up to ``BLOCK_BYTES`` it is broadcast whole, and beyond that it goes in blocks of
-that size, whose findings are merged by document.
+that size, whose findings are merged by segment and row.
 
 Edge cases: null or empty texts (documents or items) have no words, so they neither hit
 nor are hit; items without an id are left out, rows of one item id count as one item;
-a repeated document row is a document of its own while the test set is one block;
+a repeated document row is a document of its own;
 columns other than the id and the text are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,10 +41,10 @@ GAP = 64
 #: How far from its place a word may stand in a proximity match.
 SLOP = 2
 
-INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms array<binary>, posting_ends binary, positions binary"
+INDEX_SCHEMA = "doc_ids array<bigint>, n_words array<bigint>, terms array<binary>, posting_ends binary, positions binary, segment string"
 MATCH_SCHEMA = "doc_id bigint, item_id bigint, doc_start bigint, length int, kind string"
 RESULT_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near_items bigint"
-FOUND_SCHEMA = "doc_id bigint, n_words bigint, hits binary, items array<bigint>, near array<bigint>"
+FOUND_SCHEMA = "segment string, row bigint, doc_id bigint, n_words bigint, hits binary, items array<bigint>, near array<bigint>"
 
 
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,8 +64,9 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.binary())),
                     pa.array([ends.tobytes()], pa.binary()),
                     pa.array([place[by_term].tobytes()], pa.binary()),
+                    pa.array([uuid.uuid4().hex]),
                 ],
-                ["doc_ids", "n_words", "terms", "posting_ends", "positions"],
+                ["doc_ids", "n_words", "terms", "posting_ends", "positions", "segment"],
             )
 
 
@@ -131,7 +133,7 @@ def _intersected(phrases: Phrases, numbers: np.ndarray, posting_ends: np.ndarray
 
 
 def _found(index: Iterable[pa.RecordBatch], phrases: Phrases, slop: int) -> Iterator[tuple]:
-    """For each segment: ids, words, row bases, (window, start) of phrases, and of near ones."""
+    """For each segment: its id, and ids, words, row bases, (window, start) of phrases, and of near ones."""
     vocabulary = pa.array(list(phrases.vocabulary), pa.binary())
     for batch in index:
         for k in range(batch.num_rows):
@@ -148,7 +150,7 @@ def _found(index: Iterable[pa.RecordBatch], phrases: Phrases, slop: int) -> Iter
                 numbers[own[has].astype(np.int64)] = has
                 exact = _intersected(phrases, numbers, ends, positions, 0)
                 near = _intersected(phrases, numbers, ends, positions, slop) if slop else exact
-            yield ids, counts, base, exact, near
+            yield batch.column(5)[k].as_py(), ids, counts, base, exact, near
 
 
 def _marked(lengths: np.ndarray, base: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +209,7 @@ def matches(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", tex
 
         def run(batches, shared=shared):
             phrases = shared.value
-            for ids, _, base, exact, near in _found(batches, phrases, slop):
+            for _, ids, _, base, exact, near in _found(batches, phrases, slop):
                 rows = []
                 done = set(zip(exact[0].tolist(), exact[1].tolist(), strict=True))
                 seen = {(w, s, "phrase") for w, s in done} | {(w, s, "proximity") for w, s in zip(near[0].tolist(), near[1].tolist(), strict=True) if (w, s) not in done}
@@ -238,7 +240,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
 
         def whole(batches):
             phrases = shared.value
-            for ids, counts, base, exact, near in _found(batches, phrases, slop):
+            for _, ids, counts, base, exact, near in _found(batches, phrases, slop):
                 hit = np.zeros(len(counts), np.int64)
                 row, runs = _marked(phrases.lengths[exact[0]], base, counts, exact[1])
                 np.add.at(hit, row, runs[:, 1])
@@ -250,20 +252,21 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
     def partial(shared, first):
         def run(batches):
             phrases = shared.value
-            for ids, counts, base, exact, near in _found(batches, phrases, slop):
+            for segment, ids, counts, base, exact, near in _found(batches, phrases, slop):
                 row, runs = _marked(phrases.lengths[exact[0]], base, counts, exact[1])
                 own, close = _items_by_row(phrases, base, *exact), _items_by_row(phrases, base, near[0], near[1] + slop)
                 rows = range(len(counts)) if first else sorted({*own, *close})
-                cols = list(zip(*((ids[r].as_py(), int(counts[r]), runs[row == r].tobytes(), sorted(own.get(r, ())), sorted(close.get(r, ()))) for r in rows), strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["doc_id", "n_words", "hits", "items", "near"])
+                cols = list(zip(*((segment, r, ids[r].as_py(), int(counts[r]), runs[row == r].tobytes(), sorted(own.get(r, ())), sorted(close.get(r, ()))) for r in rows), strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], ["segment", "row", "doc_id", "n_words", "hits", "items", "near"])
 
         return run
 
+    index = written(index, "index")  # so that segments keep their ids from block to block
     found = None
     for k, shared in enumerate(blocks):
         part = index.mapInArrow(partial(shared, k == 0), FOUND_SCHEMA)
         found = part if found is None else found.union(part)
-    merged = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    merged = found.groupBy("segment", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def finished(batches):
         for b in batches:
@@ -276,7 +279,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
                     np.add.at(covered, runs[:, 0], 1)
                     np.add.at(covered, runs[:, 0] + runs[:, 1], -1)
                 hit.append(int((np.cumsum(covered)[:n] > 0).sum()))
-            yield _result(b.column(0), x["n_words"], hit, x["items"], x["near"])
+            yield _result(b.column("doc_id"), x["n_words"], hit, x["items"], x["near"])
 
     return merged.mapInArrow(finished, RESULT_SCHEMA)
 
