@@ -118,7 +118,7 @@ def test_walk_prefers_the_surface(spark):
     surface = surfaces.literal(spark, [(x, y, z) for z in (0.0, 0.01) for x, y in sheet], [(0, 1, 2), (0, 2, 3), (4, 5, 6), (4, 6, 7)])
     samples = sampling.samples(surface, 12, 7)
     got = walk.neighbors(surface, samples, 3).join(samples.select(F.col("sample_idx").alias("from_node"), F.col("z").alias("az")), "from_node").join(samples.select(F.col("sample_idx").alias("to_node"), F.col("z").alias("bz")), "to_node").collect()
-    assert len(got) == 36 and all(r.az == r.bz for r in got)
+    assert len(got) == 36 and all((r.az < 0.005) == (r.bz < 0.005) for r in got)
 
 
 def test_displacement_stays_in_the_ellipsoid(spark):

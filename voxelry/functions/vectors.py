@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,29 +98,35 @@ def triangle_area(a: Vec, b: Vec, c: Vec) -> Column:
     return F.when(finite(area) & (area > 1e-9), area)
 
 
-def closest_on_triangle(p: Vec, a: Vec, b: Vec, c: Vec) -> Vec:
-    """The point of the triangle that is closest to p: corner, edge or face."""
-    ab, ac, ap = b.minus(a), c.minus(a), p.minus(a)
-    d1, d2 = ab.dot(ap), ac.dot(ap)
-    bp = p.minus(b)
-    d3, d4 = ab.dot(bp), ac.dot(bp)
-    cp = p.minus(c)
-    d5, d6 = ab.dot(cp), ac.dot(cp)
-    va, vb, vc = d3 * d6 - d5 * d4, d5 * d2 - d1 * d6, d1 * d4 - d3 * d2
+def with_closest_on_triangle(df: DataFrame, p: str = "p", a: str = "a", b: str = "b", c: str = "c", out: str = "q") -> DataFrame:
+    """adds the place of the triangle that is closest to p: corner, edge or face.
+
+    The place is a + s (b - a) + t (c - a).  Products, then s and t, then the place are
+    projections of their own, so that each is computed once and generated code stays short.
+    """
+    at, one, two, three = (Vec.of(k) for k in (p, a, b, c))
+    ab, ac = two.minus(one), three.minus(one)
+    dots = [e.dot(at.minus(corner)) for corner in (one, two, three) for e in (ab, ac)]
+    df = df.select("*", *[d.alias(f"__d{k}") for k, d in enumerate(dots, 1)])
+    d1, d2, d3, d4, d5, d6 = (F.col(f"__d{k}") for k in range(1, 7))
+    df = df.select("*", (d3 * d6 - d5 * d4).alias("__va"), (d5 * d2 - d1 * d6).alias("__vb"), (d1 * d4 - d3 * d2).alias("__vc"))
+    va, vb, vc = (F.col(f"__v{k}") for k in "abc")
     over = lambda n, d: n / F.when(d != 0, d).otherwise(1.0)
+    edge = over(d4 - d3, (d4 - d3) + (d5 - d6))
     cases = [
-        ((d1 <= 0) & (d2 <= 0), a),
-        ((d3 >= 0) & (d4 <= d3), b),
-        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), a.plus(ab.times(over(d1, d1 - d3)))),
-        ((d6 >= 0) & (d5 <= d6), c),
-        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), a.plus(ac.times(over(d2, d2 - d6)))),
-        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), b.plus(c.minus(b).times(over(d4 - d3, (d4 - d3) + (d5 - d6))))),
+        ((d1 <= 0) & (d2 <= 0), F.lit(0.0), F.lit(0.0)),
+        ((d3 >= 0) & (d4 <= d3), F.lit(1.0), F.lit(0.0)),
+        ((vc <= 0) & (d1 >= 0) & (d3 <= 0), over(d1, d1 - d3), F.lit(0.0)),
+        ((d6 >= 0) & (d5 <= d6), F.lit(0.0), F.lit(1.0)),
+        ((vb <= 0) & (d2 >= 0) & (d6 <= 0), F.lit(0.0), over(d2, d2 - d6)),
+        ((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), 1 - edge, edge),
     ]
-    total = va + vb + vc
-    out = a.plus(ab.times(over(vb, total))).plus(ac.times(over(vc, total)))
-    for condition, point in reversed(cases):
-        out = point.where(condition, out)
-    return out
+    s, t = over(vb, va + vb + vc), over(vc, va + vb + vc)
+    for condition, x, y in reversed(cases):
+        s, t = F.when(condition, x).otherwise(s), F.when(condition, y).otherwise(t)
+    df = df.select("*", s.alias("__s"), t.alias("__t"))
+    place = one.plus(ab.times(F.col("__s"))).plus(ac.times(F.col("__t")))
+    return df.select("*", *place.aliased(out)).drop(*[f"__d{k}" for k in range(1, 7)], "__va", "__vb", "__vc", "__s", "__t")
 
 
 def box_distance_squared(p: Vec, low: Vec, high: Vec) -> Column:

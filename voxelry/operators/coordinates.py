@@ -13,19 +13,25 @@ from .sampling import evaluated
 UP, RIGHT = (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)
 
 
-def axes(normal: Vec) -> tuple[Vec, Vec, Vec]:
-    """three axes about a normal; the helper is up unless the normal nearly is."""
+def with_axes(df: DataFrame, normal: Vec) -> DataFrame:
+    """three axes about a normal (ux .. wz); the helper is up unless the normal nearly is.
+
+    Each axis is a projection of its own: written into one another, the expressions grow as
+    a power of their nesting.
+    """
     up, right = Vec.lit(*UP), Vec.lit(*RIGHT)
-    z = normal.normalized_or(up)
-    helper = up.where(F.abs(z.dot(up)) < 0.92, right)
-    x = helper.cross(z).normalized_or(right)
-    return x, z.cross(x).normalized_or(up), z
+    w, u, helper = Vec.of("w"), Vec.of("u"), Vec.of("__h")
+    out = df.select("*", *normal.normalized_or(up).aliased("w"))
+    out = out.select("*", *up.where(F.abs(w.dot(up)) < 0.92, right).aliased("__h"))
+    out = out.select("*", *helper.cross(w).aliased("__c")).select("*", *Vec.of("__c").normalized_or(right).aliased("u"))
+    out = out.drop(*[f"__c{k}" for k in "xyz"]).select("*", *w.cross(u).aliased("__c"))
+    return out.select("*", *Vec.of("__c").normalized_or(up).aliased("v")).drop(*[f"__{n}{k}" for n in "hc" for k in "xyz"])
 
 
 def frames(samples: DataFrame, most: tuple[float, float, float] = (0.05, 0.05, 0.05)) -> DataFrame:
     """An anchor, three axes (ux .. wz) and the greatest displacement along each."""
-    u, v, w = axes(Vec.of("n"))
-    return samples.select("sample_idx", *Vec.of().aliased(), *u.aliased("u"), *v.aliased("v"), *w.aliased("w"), *Vec.lit(*most).aliased("m"))
+    out = with_axes(samples, Vec.of("n"))
+    return out.select("sample_idx", *Vec.of().aliased(), *[f"{a}{k}" for a in "uvw" for k in "xyz"], *Vec.lit(*most).aliased("m"))
 
 
 def clamped_driver(driver: Vec, ellipsoid: bool = True) -> Vec:
@@ -37,11 +43,11 @@ def clamped_driver(driver: Vec, ellipsoid: bool = True) -> Vec:
 
 def displaced(framed: DataFrame, driver: Vec, ellipsoid: bool = True) -> DataFrame:
     """each anchor moved along its axes."""
-    d = clamped_driver(driver, ellipsoid)
+    out = framed.select("*", *clamped_driver(driver, ellipsoid).aliased("__d"))
     p = Vec.of()
-    for axis, k, most in (("u", d.x, "mx"), ("v", d.y, "my"), ("w", d.z, "mz")):
-        p = p.plus(Vec.of(axis).times(k * F.col(most)))
-    return framed.select("sample_idx", *p.aliased())
+    for axis, k in zip("uvw", "xyz", strict=True):
+        p = p.plus(Vec.of(axis).times(F.col(f"__d{k}") * F.col(f"m{k}")))
+    return out.select("sample_idx", *p.aliased())
 
 
 def updated(anchors: DataFrame, surface: Surface) -> DataFrame:

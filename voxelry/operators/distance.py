@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Named, Vec, closest_on_triangle
+from ..functions.vectors import Named, Vec, with_closest_on_triangle
 from ..plans.lineage import cut
 from ..sources.surfaces import Surface
-from .geometry import A, B, C, corners, normal
+from .geometry import corners, normal
 
 FEW = 4096
 RINGS = 6
@@ -26,8 +26,7 @@ P, Q = Named("p"), Named("q")
 
 def _exact(pairs: DataFrame) -> DataFrame:
     """Squared distance and closest place for pairs with px .. pz and a triangle's corners."""
-    q = closest_on_triangle(P, A, B, C)
-    out = pairs.select("*", *q.aliased("q"))
+    out = with_closest_on_triangle(pairs)
     d = P.minus(Q)
     return out.select("*", d.dot(d).alias("d2"))
 
