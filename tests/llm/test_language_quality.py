@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+from conftest import SPACE
+
 from voxelry.llm import language as G
 from voxelry.llm import quality as Q
 
@@ -32,16 +35,72 @@ def test_held_out_languages(spark, none):
     assert G.predict(none, model).count() == 0 and G.train(none).languages == []
 
 
-def test_unknown_words_back_off_to_shorter_grams():
-    import numpy as np
+def test_scores_against_brute_force(spark, docs, texts):
+    """Scores by the definition, word by word, from the model's own tables."""
+    import math
+
+    model = G.train(docs, words=60, grams=80)
+    names = model.languages
+    words, grams = {}, {}
+    for units, out, keys in ((model.words, words, model.words.keys.to_pylist()), (model.grams, grams, model.grams.keys.tolist())):
+        for u, key in enumerate(keys):
+            at, _ = units.entries(np.array([u]))
+            out[key] = {int(units.language[k]): float(units.score[k]) for k in at}
+
+    def code(g):
+        return int(G._gram_codes(np.frombuffer(g.encode("utf-32-le"), np.uint32), len(g))[0])
+
+    def word_scores(w):
+        if w in words:
+            return [model.words.floor[k] + words[w].get(k, 0) for k in range(len(names))], [float(k in words[w]) for k in range(len(names))]
+        padded, at, parts, total, cover = f"^{w}$", 0, 0, [0.0] * len(names), [0.0] * len(names)
+        while at < len(padded):
+            n = next((n for n in range(min(4, len(padded) - at), 0, -1) if code(padded[at : at + n]) in grams), 1)
+            own = grams.get(code(padded[at : at + n]), {})
+            for k in range(len(names)):
+                total[k] += model.grams.floor[k] + own.get(k, 0)
+                cover[k] += n / len(padded) if n >= 3 and k in own else 0
+            at, parts = at + n, parts + 1
+        return [x / parts for x in total], cover
+
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in G.predict(docs, model).collect())
+    want = []
+    for d, t in texts:
+        own = ["".join(c for c in w.lower() if c.isalpha()) for w in SPACE.findall(t or "")]
+        own = [w for w in own if w]
+        if not own:
+            want.append((d, "und", 0.0))
+            continue
+        z = [sum(word_scores(w)[0][k] for w in own) + model.priors[k] for k in range(len(names))]
+        z = [(x - max(z)) / math.sqrt(len(own)) for x in z]
+        p = [math.exp(x) / sum(map(math.exp, z)) for x in z]
+        want.append((d, names[p.index(max(p))], round(max(p), 6)))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert all(abs(x[2] - y[2]) < 1e-5 for x, y in zip(got, sorted(want), strict=True))
 
-    floor = np.array([-9.0, -9.0])
-    model = G.Model(["a", "b"], np.zeros(2), {"known": np.array([-1.0, -5.0])}, {"ab": np.array([-2.0, -8.0]), "c": np.array([-3.0, -3.5])}, floor)
-    assert model.word(b"Known!").tolist() == [-1, -5]
-    # ^ab$ is cut into ^ (unknown), ab (a gram two short of the longest) and $ (unknown).
-    want = (floor + (np.array([-2.0, -8.0]) - 2 * G.BACKOFF) + floor) / 3
-    assert np.allclose(model.word(b"ab"), want)
-    assert model.word(b"123").tolist() == [0, 0]
+
+def test_every_label_is_learnt(spark):
+    r = random.Random(3)
+    rows = []
+    for k in range(90):
+        own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(4 * k + i, " ".join(r.choice(own) for _ in range(30)), f"l{k:02}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = G.train(docs)
+    assert len(model.languages) == 90
+    got = G.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(x.lang == x.lang_pred for x in got)
+
+
+def test_unlearnt_languages_and_junk_are_rejected(spark):
+    docs = made(spark)
+    model = G.train(docs)
+    r = random.Random(2)
+    other = " ".join("".join(r.choice(["qwx", "zzk", "vrxq", "kjw"]) for _ in range(2)) for _ in range(60))
+    junk = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60))
+    odd = spark.createDataFrame([(1, other), (2, junk), (3, "привет как дела " * 20), (4, "der und keit sch")], "doc_id long, text string")
+    assert [x.doc_id for x in G.accepted(odd, model).collect()] == [4]
+    assert G.accepted(docs, model).count() == docs.count()
 
 
 def test_held_out_quality(spark, none):
@@ -61,7 +120,6 @@ def test_held_out_quality(spark, none):
 
 
 def test_features_are_finite(texts):
-    import numpy as np
     import pyarrow as pa
 
     from voxelry.llm import words as W

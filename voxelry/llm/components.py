@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Written
+from .workers import mapped
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +49,7 @@ def components(links: DataFrame, native: bool = False) -> DataFrame:
     Every round is written down, so its lineage ends there.  ``native``: by DataFrame
     functions only, so links aren't thinned out first.
     """
-    stars = links.select("a", "b") if native else links.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+    stars = links.select("a", "b") if native else links.select("a", "b").transform(mapped, _forest, "a bigint, b bigint")
     edges = Written(stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = Written(edges.df.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:

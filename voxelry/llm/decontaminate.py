@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .store import small, table, written
+from .workers import mapped
 
 WINDOW = 10
 #: Words of the test set's texts, in bytes, that are searched for in one pass.
@@ -72,7 +73,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The positional index of the texts: one row for each segment of whole documents."""
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(_segments, INDEX_SCHEMA)
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).transform(mapped, _segments, INDEX_SCHEMA)
 
 
 class Phrases:
@@ -218,7 +219,7 @@ def matches(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", tex
                     rows += [(ids[r].as_py(), i, s - int(base[r]), int(phrases.lengths[w]), kind) for i in phrases.items[w]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "item_id", "doc_start", "length", "kind"])
 
-        parts.append(index.mapInArrow(run, MATCH_SCHEMA))
+        parts.append(index.transform(mapped, run, MATCH_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -247,7 +248,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
                 own, close = _items_by_row(phrases, base, *exact), _items_by_row(phrases, base, near[0], near[1] + slop)
                 yield _result(ids, counts, hit, [own.get(r, ()) for r in range(len(counts))], [close.get(r, ()) for r in range(len(counts))])
 
-        return index.mapInArrow(whole, RESULT_SCHEMA)
+        return index.transform(mapped, whole, RESULT_SCHEMA)
 
     def partial(shared, first):
         def run(batches):
@@ -264,7 +265,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
     index = written(index, "index")  # so that segments keep their ids from block to block
     found = None
     for k, shared in enumerate(blocks):
-        part = index.mapInArrow(partial(shared, k == 0), FOUND_SCHEMA)
+        part = index.transform(mapped, partial(shared, k == 0), FOUND_SCHEMA)
         found = part if found is None else found.union(part)
     merged = found.groupBy("segment", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
@@ -281,7 +282,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
                 hit.append(int((np.cumsum(covered)[:n] > 0).sum()))
             yield _result(b.column("doc_id"), x["n_words"], hit, x["items"], x["near"])
 
-    return merged.mapInArrow(finished, RESULT_SCHEMA)
+    return merged.transform(mapped, finished, RESULT_SCHEMA)
 
 
 def _shared_blocks(sc, items, item_id, text, window, block_bytes):

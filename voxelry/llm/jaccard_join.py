@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .store import small, table, written
+from .workers import mapped
 
 GRAM = 5
 PERCENT = 80
@@ -97,9 +98,9 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_counts(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
     """In how many documents the shingles of each counter are: over all documents."""
-    slices = docs.select("text").mapInArrow(_counted(gram), "slice int, counts binary").repartition("slice")
+    slices = docs.select("text").transform(mapped, _counted(gram), "slice int, counts binary").repartition("slice")
     out = np.zeros(COUNTERS, np.uint32)
-    for r in slices.mapInArrow(_summed, "slice int, counts binary").collect():  # COUNTERS numbers
+    for r in slices.transform(mapped, _summed, "slice int, counts binary").collect():  # COUNTERS numbers
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint32)
     return out
 
@@ -130,7 +131,7 @@ def _signed(shared, gram: int, percent: int):
 def signed(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Set size, digest, range counts and rare-first prefix of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, gram))
-    return docs.select("doc_id", "text").mapInArrow(_signed(shared, gram, percent), SIGNED)
+    return docs.select("doc_id", "text").transform(mapped, _signed(shared, gram, percent), SIGNED)
 
 
 _POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
@@ -397,8 +398,8 @@ class Join:
     def listed(self) -> DataFrame:
         """Their prefix shingles that are shared."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        posted = self.firsts().select("doc_id", "n", "prefix").mapInArrow(_posted(buckets), "bucket int, blob binary")
-        return posted.repartitionById(buckets, "bucket").mapInArrow(_listed(self.percent), _LISTED)
+        posted = self.firsts().select("doc_id", "n", "prefix").transform(mapped, _posted(buckets), "bucket int, blob binary")
+        return posted.repartitionById(buckets, "bucket").transform(mapped, _listed(self.percent), _LISTED)
 
     def open_lists(self, listed: DataFrame, joined: DataFrame) -> DataFrame:
         """The postings of shingles that documents of several components share."""
@@ -411,7 +412,7 @@ class Join:
         """Those of the distinct pairs (a, b) that are links."""
         pairs = written(pairs.distinct(), f"{label}-pairs")
         ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{label}-ids")
-        sets = written(self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_set_rows(self.gram), "doc_id bigint, items binary"), f"{label}-sets")
+        sets = written(self.docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text").transform(mapped, _set_rows(self.gram), "doc_id bigint, items binary"), f"{label}-sets")
         # A document with many pairs is verified in several groups, each with its own copy of the set.
         parts = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), f"{label}-parts")
         asked = written(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), f"{label}-asked")
@@ -419,7 +420,7 @@ class Join:
         others = sets.join(small(asked), asked["b"] == sets["doc_id"]).select("a", "part", "b", "items")
         own = sets.join(small(parts), parts["a"] == sets["doc_id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "items")
         grouped = others.union(own).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first(), "items")
-        return grouped.mapInArrow(_verified(self.percent), "a bigint, b bigint").distinct()
+        return grouped.transform(mapped, _verified(self.percent), "a bigint, b bigint").distinct()
 
     def links(self) -> DataFrame:
         """Verified links (a, b), a < b, between classes' first documents, as far as needed:
@@ -430,7 +431,7 @@ class Join:
         links = None
         for label, make in (("first", _first_pairs), ("component", _component_pairs), ("cross", _cross_pairs)):
             rows = rows if links is None else self.open_lists(listed, components(links))
-            pairs = rows.repartition("token").sortWithinPartitions("token").mapInArrow(_bundled(make(self.percent)), "a bigint, b bigint")
+            pairs = rows.repartition("token").sortWithinPartitions("token").transform(mapped, _bundled(make(self.percent)), "a bigint, b bigint")
             found = self.verified(pairs, label)
             links = written(found if links is None else links.union(found), f"{label}-links")
         return links

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .store import table
+from .workers import mapped
 
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, detections array<struct<label: string, rule: string, first: bigint, words: bigint>>"
 
@@ -220,7 +221,7 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What each whole text says of its licence, with every detection that stays."""
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(_scan, SCHEMA)
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).transform(mapped, _scan, SCHEMA)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .store import Written, small, table, written
+from .workers import mapped
 
 LENGTH = 4096
 END_ID = 2
@@ -154,7 +155,7 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(some.first, len(counts)).cast(pa.int64()), raw, pa.array(counts), pa.array(np.full(len(counts), part, np.int64)), pa.array(sent + at[:-1])], ["doc_id", "ids", "n_tokens", "part", "local_start"])
                 sent += int(at[-1])
 
-    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).mapInArrow(run, TOKENS_SCHEMA)
+    return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).transform(mapped, run, TOKENS_SCHEMA)
 
 
 def _pieces(length: int):
@@ -187,7 +188,7 @@ def packed(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     # One row for each input partition: the only thing that a single task sees.
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     placed = tokens.join(small(written(base, "bases")), "part").select("doc_id", "ids", (F.col("base") + F.col("local_start")).alias("at"))
-    return placed.mapInArrow(_pieces(length), PIECE_SCHEMA)
+    return placed.transform(mapped, _pieces(length), PIECE_SCHEMA)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, end_id: int | None = END_ID) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .language import held_out
 from .store import table
+from .workers import mapped
 
 POSITIVES = 20_000
 UNLABELLED = 20_000
@@ -163,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = rows.filter(F.col("__id").isNotNull() | (hashed(F.col("__doc"), 13) <= min(1.0, unlabelled / n_docs)))
     kind = F.col("__id").isNotNull().cast("int") + 2 * (hashed(F.col("__doc"), 13) <= min(1.0, unlabelled / n_docs)).cast("int")
     # About POSITIVES + UNLABELLED rows of N_FEATURES numbers.
-    got = chosen.select(kind.alias("good"), "__text").mapInArrow(_featured, "good int, x array<float>").toArrow()
+    got = chosen.select(kind.alias("good"), "__text").transform(mapped, _featured, "good int, x array<float>").toArrow()
     kind_of = got.column("good").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
     order = np.lexsort((*x.T[:8], kind_of))  # the same sums in any order of rows
@@ -190,7 +191,7 @@ def _scored(shared):
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The score (0 to 1, higher: better) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(_scored(shared), "doc_id bigint, score double")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).transform(mapped, _scored(shared), "doc_id bigint, score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .store import table
+from .workers import mapped
 
 WINDOW = 50
 GRAM = 8
@@ -255,8 +256,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     ``docs``: doc_id bigint, key bigint (tells rows of one doc_id apart), text.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.filter("doc_id is not null").mapInArrow(_send(window, gram, buckets), "bucket int, blob binary")
-    return sent.repartitionById(buckets, "bucket").mapInArrow(_receive(window), "doc_id bigint, key bigint, start bigint, windows bigint")
+    sent = docs.filter("doc_id is not null").transform(mapped, _send(window, gram, buckets), "bucket int, blob binary")
+    return sent.repartitionById(buckets, "bucket").transform(mapped, _receive(window), "doc_id bigint, key bigint, start bigint, windows bigint")
 
 
 def _kept(window: int):
@@ -296,7 +297,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     n_words, n_removed, and what is kept, its words joined by one space."""
     own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     runs = repeated_windows(own, window, gram).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return own.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "runs").mapInArrow(_kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return own.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "runs").transform(mapped, _kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import table, written
+from .workers import mapped
 
 K = 10
 PARTS = 4
@@ -192,13 +193,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if pending is not None:  # more than one block: each is written before the next
             parts.append(written(pending, "topk"))
         shared = sc.broadcast(block)
-        lists = vectors.mapInArrow(_lists(shared, k), "slice int, best binary")
-        merged = lists.repartition("slice").mapInArrow(_merged(k), "slice int, best binary").collect()
+        lists = vectors.transform(mapped, _lists(shared, k), "slice int, best binary")
+        merged = lists.repartition("slice").transform(mapped, _merged(k), "slice int, best binary").collect()
         least = np.full(len(block[0]), _LEAST, np.int64)
         for r in merged:
             own = np.frombuffer(r["best"], np.int64)
             least[r["slice"] * SLICE : r["slice"] * SLICE + len(own)] = own
-        pending = vectors.mapInArrow(_resolved(shared, sc.broadcast(least), k), RESULT_SCHEMA)
+        pending = vectors.transform(mapped, _resolved(shared, sc.broadcast(least), k), RESULT_SCHEMA)
     if pending is None:
         parts.append(spark.createDataFrame([], RESULT_SCHEMA))
     else:
