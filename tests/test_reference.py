@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from voxelry.operators import adf, circuit, distance, fields, geometry, particles, sampling, sdf
+from voxelry.operators import adf, distance, edits, fields, geometry, particles, sampling, sdf
 from voxelry.plans import rules
 from voxelry.sources import surfaces
 
@@ -95,11 +95,40 @@ def test_damaged_inputs(spark):
     assert rules.rig_weights(spark.createDataFrame([(0, 0, 1, 1.5)], "vertex_idx long, slot int, joint int, weight double"), 4).first().rejection == "mesh.invalid_weight"
 
 
+EDITS = "circuit_id long, event_idx long, expected_revision long, operation string, target long, amount double, amount2 double, slope double, max_tier int, falloff double, term_id string, start_step int, duration int"
+
+
+def edited(spark, rows):
+    """Edits given as (event, expected revision, operation, target, amount, more...) of one circuit on a path of four nodes."""
+    full = [(1, e, r, op, t, v, *more, *(None,) * (7 - len(more))) for e, r, op, t, v, *more in rows]
+    nodes = spark.createDataFrame([(1, k, 0.1 * k, 0.0) for k in range(4)], "circuit_id long, node_idx long, voltage double, memory double")
+    edges = spark.createDataFrame([(1, k, k, k + 1, 1 + k % 2, 1.0, 1.0, 0.07 if k == 0 else None, 0.1, 0.3, 1.6) for k in range(3)], "circuit_id long, edge_idx long, from_node long, to_node long, tier int, base double, conductance double, threshold double, slope double, low double, high double")
+    circuits = spark.createDataFrame([(1, 0, 4, 3, True)], "circuit_id long, revision long, nodes int, edges int, has_memory boolean")
+    asked = spark.createDataFrame(full, EDITS)
+    results = edits.judged(asked, circuits, edges)
+    return sorted((r.event_idx, r.accepted, r.reason, r.revision_before, r.revision_after) for r in results.collect()), edits.accepted(asked, results), nodes, edges
+
+
 def test_edits_need_the_current_revision(spark):
-    rows = [(1, 0, 0, "set_voltage", 0, 1.25), (1, 1, 0, "set_voltage", 0, 1.0), (1, 2, 1, "set_memory", 99, 1.0), (1, 3, 1, "set_memory", 1, 1.0)]
-    edits = spark.createDataFrame(rows, "circuit_id long, event_idx long, expected_revision long, operation string, node_idx long, amount double")
-    got = [(r.accepted, r.reason, r.revision_before, r.revision_after) for r in circuit.applied_edits(edits, 4).orderBy("event_idx").collect()]
-    assert got == [(True, None, 0, 1), (False, "revision_mismatch", 1, 1), (False, "target_unavailable", 1, 1), (True, None, 1, 2)]
+    got, *_ = edited(spark, [(0, 0, "set_voltage", 0, 1.25), (1, 0, "set_voltage", 0, 1.0), (2, 1, "set_memory", 99, 1.0), (3, None, "set_memory", 1, 1.0), (4, 9, "set_voltage", 0, float("nan")), (5, 2, "set_gate_threshold", 1, 0.5), (6, 2, "set_gate_threshold", 0, 0.5)])
+    assert got == [(0, True, None, 0, 1), (1, False, "revision_mismatch", 1, 1), (2, False, "invalid_target", 1, 1), (3, True, None, 1, 2), (4, False, "invalid_value", 2, 2), (5, False, "target_unavailable", 2, 2), (6, True, None, 2, 3)]
+
+
+def test_a_term_id_is_taken_once(spark):
+    term = (None, None, None, None, "t", 0, 5)
+    got, accepted, *_ = edited(spark, [(0, None, "transient_current", 0, 1.0, *term), (1, None, "transient_current", 1, 1.0, *term), (2, None, "transient_current", 1, 1.0, None, None, None, None, " ", 0, 5)])
+    assert [x[1:3] for x in got] == [(True, None), (False, "target_unavailable"), (False, "invalid_value")]
+    assert [(r.term_id, r.current, r.node_idx) for r in edits.added_terms(accepted).collect()] == [("t", 1.0, 0)]
+
+
+def test_edits_change_values_in_order(spark):
+    rows = [(0, None, "set_voltage", 1, 3.0), (1, None, "add_voltage", 1, -0.25), (2, None, "add_neighborhood", 1, -0.5, None, None, 1, 0.5), (3, None, "scale_conductance", 1, 10.0), (4, None, "scale_conductance", 0, 0.5)]
+    _, accepted, nodes, edges = edited(spark, rows)
+    voltages = edits.applied_voltages(accepted, nodes, edges)
+    assert {r.idx: round(r.value, 6) for r in edits.latest(voltages).collect()} == {0: -0.25, 1: 0.25}
+    assert {r.event_idx: (r.affected, r.clamped_values) for r in edits.effects(voltages).collect()} == {0: (1, 1), 1: (1, 0), 2: (2, 0)}
+    scaled = edits.scaled_conductances(accepted, edges)
+    assert {(r.what, r.idx): r.value for r in edits.latest(scaled).collect()} == {(w, k): v for w in ("base", "conductance") for k, v in ((0, 2.0), (1, 4.0))}
 
 
 def test_perturbations_in_order(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import Vec, rounded
-from .operators import adf, circuit, coordinates, distance, fields, geometry, particles, sampling, scenario, sdf, skinning, walk
+from .operators import adf, circuit, coordinates, distance, edits, fields, geometry, particles, sampling, scenario, sdf, skinning, walk
 from .plans import rules
 from .sources import surfaces
 
@@ -433,7 +433,7 @@ def _(spark, d):
     return circuit.diagnostics(out, edges).select("updated_nodes", rounded(F.col("max_voltage_delta")).alias("max_voltage_delta"), rounded(F.col("net_current_abs_sum"), 4).alias("net_current_abs_sum"), "visited_edges")
 
 
-@query("J30_J31_voltage_neighborhood", f"WITH {_TIERS}, u AS (SELECT to_node AS n, tier FROM edge WHERE from_node = 5 UNION ALL SELECT from_node, tier FROM edge WHERE to_node = 5) SELECT n AS node_idx, min(tier)::BIGINT AS tier, round(pow(0.5,min(tier)),6)+0.0 AS weight FROM u WHERE n <> 5 GROUP BY n UNION ALL SELECT 5, 0, 1.0")
+@query("J30_voltage_neighborhood", f"WITH {_TIERS}, u AS (SELECT to_node AS n, tier FROM edge WHERE from_node = 5 UNION ALL SELECT from_node, tier FROM edge WHERE to_node = 5) SELECT n AS node_idx, min(tier)::BIGINT AS tier, round(pow(0.5,min(tier)),6)+0.0 AS weight FROM u WHERE n <> 5 GROUP BY n UNION ALL SELECT 5, 0, 1.0")
 def _(spark, d):
     return told(circuit.voltage_neighborhood(sampling.tiers(_nodes(spark, d)), 5), "node_idx", "tier", "weight")
 
@@ -444,12 +444,86 @@ def _(spark, d):
     return circuit.latest_events(e, 12, "user_id").select("user_id", F.col("event_idx").alias("event_id"))
 
 
-@query("T14_T15_applied_edits")
+# Edits of 50 circuits of 64 nodes on rings.
+NODES = 64
+_EDITS = f"""ed AS (SELECT user_id % 50 AS c, event_id AS e, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 29 END AS expected, event_id % 8 AS op, CASE WHEN event_id % 8 = 7 AND event_id % 5 = 0 THEN NULL ELSE event_id % 131 % 67 END AS target, CASE WHEN event_id % 37 = 0 THEN NULL ELSE value / 10.0::DOUBLE - CASE WHEN event_id % 8 = 4 THEN 0 ELSE 1 END END AS amount, value / 5.0::DOUBLE - 1 AS amount2, CASE WHEN event_id % 4 = 1 THEN 0.1::DOUBLE END AS slope, event_id % 2 + 1 AS max_tier, 0.5::DOUBLE AS falloff, 'term' || (event_id % 90) AS term, event_id % 20 AS duration FROM events),
+nd AS (SELECT c, n, (n * 7 % 11 - 5) / 10.0::DOUBLE AS voltage FROM range(50) a(c), range({NODES}) b(n)),
+eg AS (SELECT c, 2 * n + t - 1 AS edge, n AS f, (n + CASE WHEN t = 1 THEN 1 ELSE 5 END) % {NODES} AS g, t AS tier, CASE WHEN t = 1 THEN 0.16::DOUBLE ELSE 0.045::DOUBLE END AS base FROM range(50) a(c), range({NODES}) b(n), range(1, 3) d(t)),
+inv AS (SELECT *, CASE WHEN NOT (op = 7 AND target IS NULL) AND NOT coalesce(target BETWEEN 0 AND CASE WHEN op IN (5, 6) THEN {2 * NODES - 1} ELSE {NODES - 1} END, false) THEN 'invalid_target' WHEN amount IS NULL OR isnan(amount) THEN 'invalid_value' WHEN op = 4 AND amount < 0 THEN 'invalid_value' WHEN op = 6 AND NOT coalesce(amount >= 0 AND amount <= amount2, false) THEN 'invalid_value' WHEN op = 7 AND duration <= 0 THEN 'invalid_value' END AS invalid, (op IN (5, 6) AND target % 2 = 1) OR (op = 3 AND c % 7 = 0) AS unavailable, row_number() OVER (PARTITION BY c ORDER BY e) AS r FROM ed),
+run AS (SELECT c, r, e, ok, reason, before, before + ok::BIGINT AS after, CASE WHEN ok AND op = 7 THEN [term] ELSE []::VARCHAR[] END AS terms FROM (SELECT *, reason IS NULL AS ok FROM (SELECT *, c % 3 AS before, coalesce(invalid, CASE WHEN expected <> c % 3 THEN 'revision_mismatch' WHEN unavailable THEN 'target_unavailable' END) AS reason FROM inv WHERE r = 1))
+ UNION ALL SELECT c, r, e, ok, reason, before, before + ok::BIGINT, CASE WHEN ok AND op = 7 THEN list_append(terms, term) ELSE terms END FROM (SELECT *, reason IS NULL AS ok FROM (SELECT i.*, p.after AS before, p.terms, coalesce(invalid, CASE WHEN expected <> p.after THEN 'revision_mismatch' WHEN unavailable OR (op = 7 AND list_contains(p.terms, term)) THEN 'target_unavailable' END) AS reason FROM run p JOIN inv i ON i.c = p.c AND i.r = p.r + 1))),
+acc AS (SELECT ed.* FROM ed JOIN run USING (c, e) WHERE ok)"""
+_OPS = f"""{_EDITS}, near AS (SELECT c, f AS n, g AS m, tier FROM eg UNION ALL SELECT c, g, f, tier FROM eg),
+op AS (SELECT c, e, target AS n, CASE WHEN op = 0 THEN amount END AS put, amount AS add FROM acc WHERE op IN (0, 1, 2) UNION ALL SELECT a.c, e, m, NULL, amount * pow(falloff, min(tier)) FROM acc a JOIN near USING (c) WHERE op = 2 AND near.n = target AND tier <= max_tier AND m <> target GROUP BY a.c, e, m, amount, falloff),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c, n ORDER BY e) AS r FROM op),
+fold AS (SELECT k.c, k.n, k.r, k.e, coalesce(put, voltage + add) AS raw, least(greatest(coalesce(put, voltage + add), -1), 1) AS v FROM ranked k JOIN nd ON nd.c = k.c AND nd.n = k.n WHERE r = 1 UNION ALL SELECT k.c, k.n, k.r, k.e, coalesce(put, v + add), least(greatest(coalesce(put, v + add), -1), 1) FROM fold f JOIN ranked k ON k.c = f.c AND k.n = f.n AND k.r = f.r + 1)"""
+_SCALED = f"""{_EDITS}, ends AS (SELECT c, edge, base, f AS n FROM eg UNION SELECT c, edge, base, g FROM eg), ranked AS (SELECT s.c, e, edge, base, amount, row_number() OVER (PARTITION BY s.c, edge ORDER BY e) AS r FROM ends s JOIN acc a ON a.c = s.c AND a.op = 4 AND a.target = s.n),
+fold AS (SELECT c, edge, r, least(greatest(base * amount, 0), 4) AS v FROM ranked WHERE r = 1 UNION ALL SELECT k.c, k.edge, k.r, least(greatest(v * amount, 0), 4) FROM fold f JOIN ranked k ON k.c = f.c AND k.edge = f.edge AND k.r = f.r + 1)"""
+
+
+def _edited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edits, circuits, nodes and edges."""
+    e, i = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    op = F.element_at(F.array(*[F.lit(x) for x in edits.OPERATIONS]), (i % 8 + 1).cast("int"))
+    target = F.when((i % 8 == 7) & (i % 5 == 0), None).otherwise(i % 131 % 67)
+    amount = F.when(i % 37 == 0, None).otherwise(F.col("value") / 10 - F.when(i % 8 == 4, 0).otherwise(1))
+    asked = e.select(
+        (F.col("user_id") % 50).alias("circuit_id"), i.alias("event_idx"), F.when(i % 3 == 0, None).otherwise(i % 29).alias("expected_revision"), op.alias("operation"), target.alias("target"), amount.alias("amount"),
+        (F.col("value") / 5 - 1).alias("amount2"), F.when(i % 4 == 1, 0.1).alias("slope"), (i % 2 + 1).alias("max_tier"), F.lit(0.5).alias("falloff"), F.concat(F.lit("term"), (i % 90).cast("string")).alias("term_id"), F.lit(0).alias("start_step"), (i % 20).alias("duration"),
+    )
+    circuits = spark.range(50).select(F.col("id").alias("circuit_id"), (F.col("id") % 3).alias("revision"), F.lit(NODES).alias("nodes"), F.lit(2 * NODES).alias("edges"), (F.col("id") % 7 != 0).alias("has_memory"))
+    n, c = F.col("id") % NODES, F.floor(F.col("id") / NODES)
+    nodes = spark.range(50 * NODES).select(c.alias("circuit_id"), n.alias("node_idx"), ((n * 7 % 11 - 5) / 10).alias("voltage"), F.lit(0.0).alias("memory"))
+    k, m = F.col("id") % 2 + 1, F.floor(F.col("id") / 2) % NODES
+    edges = spark.range(100 * NODES).select(F.floor(F.col("id") / (2 * NODES)).alias("circuit_id"), (2 * m + k - 1).alias("edge_idx"), m.alias("from_node"), ((m + F.when(k == 1, 1).otherwise(5)) % NODES).alias("to_node"), k.alias("tier"), F.when(k == 1, 0.16).otherwise(0.045).alias("base"))
+    edges = edges.select("*", F.col("base").alias("conductance"), F.when(F.col("tier") == 1, 0.07).alias("threshold"), F.lit(0.018).alias("slope"), F.lit(0.3).alias("low"), F.lit(1.65).alias("high"))
+    return asked, circuits, nodes, edges
+
+
+def _accepted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked, circuits, nodes, edges = _edited(spark, d)
+    return edits.accepted(asked, edits.judged(asked, circuits, edges)), nodes, edges
+
+
+@query("T14_judged_edits", f"WITH RECURSIVE {_EDITS} SELECT c AS circuit_id, e AS event_idx, ok AS accepted, reason, before AS revision_before, after AS revision_after FROM run")
 def _(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    op = F.element_at(F.array(*[F.lit(x) for x in circuit.OPERATIONS]), (F.col("event_id") % 8 + 1).cast("int"))
-    edits = e.select((F.col("user_id") % 50).alias("circuit_id"), F.col("event_id").alias("event_idx"), (F.col("event_id") % 4).alias("expected_revision"), op.alias("operation"), (F.col("event_id") % 70).alias("node_idx"), F.col("value").alias("amount"))
-    return circuit.applied_edits(edits, 64)
+    asked, circuits, _, edges = _edited(spark, d)
+    return edits.judged(asked, circuits, edges)
+
+
+@query("T15_N105_N107_applied_voltages", f"WITH RECURSIVE {_OPS} SELECT c AS circuit_id, n AS node_idx, round(arg_max(v, r), 6) + 0.0 AS voltage FROM fold GROUP BY c, n")
+def _(spark, d):
+    out = edits.latest(edits.applied_voltages(*_accepted(spark, d)))
+    return out.select("circuit_id", F.col("idx").alias("node_idx"), rounded(F.col("value")).alias("voltage"))
+
+
+@query("T15_N112_clamped_values", f"WITH RECURSIVE {_OPS} SELECT c AS circuit_id, e AS event_idx, count(*) AS affected, count(*) FILTER (raw <> v) AS clamped_values FROM fold GROUP BY c, e")
+def _(spark, d):
+    return edits.effects(edits.applied_voltages(*_accepted(spark, d)))
+
+
+@query("T15_N108_set_memories", f"WITH RECURSIVE {_EDITS} SELECT c AS circuit_id, target AS node_idx, round(least(greatest(arg_max(amount, e), 0), 1), 6) + 0.0 AS memory FROM acc WHERE op = 3 GROUP BY c, target")
+def _(spark, d):
+    out = edits.latest(edits.set_memories(_accepted(spark, d)[0]))
+    return out.select("circuit_id", F.col("idx").alias("node_idx"), rounded(F.col("value")).alias("memory"))
+
+
+@query("J31_N155_scaled_conductances", f"WITH RECURSIVE {_SCALED} SELECT c AS circuit_id, edge AS edge_idx, round(arg_max(v, r), 6) + 0.0 AS conductance FROM fold GROUP BY c, edge")
+def _(spark, d):
+    asked, _, edges = _accepted(spark, d)
+    out = edits.latest(edits.scaled_conductances(asked, edges)).filter("what = 'conductance'")
+    return out.select("circuit_id", F.col("idx").alias("edge_idx"), rounded(F.col("value")).alias("conductance"))
+
+
+@query("T15_N109_N110_applied_gates", f"WITH RECURSIVE {_EDITS}, t AS (SELECT c, target AS edge, arg_max(amount, e) FILTER (op = 5) AS t, arg_max(slope, e) FILTER (op = 5 AND slope IS NOT NULL) AS s, arg_max(amount, e) FILTER (op = 6) AS lo, arg_max(amount2, e) FILTER (op = 6) AS hi FROM acc WHERE op IN (5, 6) GROUP BY c, target) SELECT c AS circuit_id, edge AS edge_idx, round(coalesce(t, 0.07), 6) + 0.0 AS threshold, round(coalesce(s, 0.018), 6) + 0.0 AS slope, round(coalesce(lo, 0.3), 6) + 0.0 AS low, round(coalesce(hi, 1.65), 6) + 0.0 AS high FROM eg LEFT JOIN t USING (c, edge) WHERE tier = 1")
+def _(spark, d):
+    asked, _, edges = _accepted(spark, d)
+    return told(edits.applied_gates(asked, edges), "circuit_id", "edge_idx", "threshold", "slope", "low", "high")
+
+
+@query("T15_N111_added_terms", f"WITH RECURSIVE {_EDITS} SELECT c AS circuit_id, term AS term_id, round(amount, 6) + 0.0 AS current, target AS node_idx, duration FROM acc WHERE op = 7")
+def _(spark, d):
+    return told(edits.added_terms(_accepted(spark, d)[0]), "circuit_id", "term_id", "current", "node_idx", "duration")
 
 
 # Scenarios.
@@ -560,28 +634,11 @@ def _(spark, d):
 # Contracts.
 
 
-@query("P45_P46_public_paths", "SELECT page_id, CASE WHEN trim(coalesce(url,'')) = '' THEN 'path.blank' WHEN NOT (" + " OR ".join(f"starts_with(url, '{r}')" for r in rules.ROOTS) + ") THEN 'path.root' WHEN contains(url, '..') THEN 'path.parent' WHEN contains(url, '\\') THEN 'path.backslash' WHEN " + " OR ".join(f"contains(lower(url), '{w}')" for w in rules.PRIVATE) + " THEN 'path.private' END AS rejection FROM pages")
-def _(spark, d):
-    return rules.checked(spark.read.parquet(f"{d}/pages.parquet"), rules.public_path(F.col("url"))).select("page_id", "rejection")
-
-
 @query("P05_P06_ids", "SELECT event_id, CASE WHEN NOT regexp_matches(event_type, '" + rules.DOTTED + "') THEN 'model.invalid_id' END AS rejection FROM events")
 def _(spark, d):
     return rules.checked(spark.read.parquet(f"{d}/events.parquet"), rules.dotted_id(F.col("event_type"))).select("event_id", "rejection")
 
 
-@query("P24_P25_particles", f"WITH {_PART} SELECT i AS particle_idx, CAST(NULL AS VARCHAR) AS rejection FROM p")
-def _(spark, d):
-    p = surfaces.particles(spark, d).withColumn("particle_id", F.concat(F.lit("particle."), F.col("particle_idx").cast("string")))
-    return rules.checked(p, rules.particle()).select("particle_idx", "rejection")
-
-
-@query("P29_neighbor_lists", f"WITH {_TIERS} SELECT from_node, to_node, CAST(NULL AS VARCHAR) AS rejection FROM edge")
-def _(spark, d):
-    edges = sampling.tiers(_nodes(spark, d))
-    return rules.neighbor_lists(edges, spark.read.parquet(f"{d}/embeddings.parquet").count())
-
-
 @query("A40_duplicate_ids", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def _(spark, d):
     return rules.duplicates(spark.read.parquet(f"{d}/events.parquet"), "user_id")

@@ -1,4 +1,4 @@
-"""Bioelectric circuits: currents, gated conductances, memory, readouts and edits.
+"""Bioelectric circuits: currents, gated conductances, memory and readouts.
 
 state(node_idx, voltage, memory, readout), edges(edge_idx, from_node, to_node, tier, base,
 conductance), terms(term_idx, kind, p1, p2, p3, p4, node_idx or null for all, start_step,
@@ -65,9 +65,10 @@ def conductances(edges: DataFrame, tier1: float = 0.16, tier2: float = 0.045) ->
     return edges.select(F.xxhash64(key).alias("edge_idx"), "from_node", "to_node", "tier", g.alias("base"), g.alias("conductance"))
 
 
-def term_current(v: Column) -> Column:
+def term_current(v: Column, term: Column | None = None) -> Column:
     """leak and pump pull to a voltage, constant pushes, gated opens above a threshold."""
-    k, p = F.col("kind"), [F.col(f"p{i}") for i in (1, 2, 3, 4)]
+    of = F.col if term is None else term.__getitem__
+    k, p = of("kind"), [of(f"p{i}") for i in (1, 2, 3, 4)]
     gated = p[0] / (1 + F.exp(-clamp((v - p[2]) / F.coalesce(p[3], F.lit(1.0)), -50, 50))) * (p[1] - v)
     return F.when(k == "leak", p[0] * (p[1] - v)).when(k == "constant", p[0]).when(k == "pump", p[0] * (p[1] - v)).when(k == "gated", gated)
 
@@ -87,13 +88,13 @@ def step(state: DataFrame, edges: DataFrame, terms: DataFrame, index: int, gate:
     now = gated_edges(state, edges, gate, c)
     limit = lambda i: clamp(i, -c.current, c.current)
     flow = now.groupBy(F.col("from_node").alias("node_idx")).agg(F.sum(limit(F.col("conductance") * (F.col("v_to") - F.col("v_from")))).alias("flow"))
-    due = F.broadcast(terms.filter((F.col("start_step") <= index) & (F.col("duration").isNull() | (F.lit(index) < F.col("start_step") + F.col("duration")))).drop("start_step", "duration"))
-    everywhere, somewhere = due.filter("node_idx is null").drop("node_idx"), due.filter("node_idx is not null")
+    due = terms.filter((F.col("start_step") <= index) & (F.col("duration").isNull() | (F.lit(index) < F.col("start_step") + F.col("duration")))).drop("start_step", "duration")
     v = F.col("voltage")
-    own = state.select("node_idx", "voltage")
-    named = own.join(somewhere, "node_idx").select("node_idx", limit(term_current(v)).alias("i"))
-    common = own.crossJoin(everywhere).select("node_idx", limit(term_current(v)).alias("i"))  # a circuit's few terms
-    applied = named.union(common).groupBy("node_idx").agg(F.sum("i").alias("applied"))
+    named = state.select("node_idx", "voltage").join(due.filter("node_idx is not null"), "node_idx").groupBy("node_idx").agg(F.sum(limit(term_current(v))).alias("applied"))
+    # The terms of all nodes: one row that holds them all.
+    common = due.filter("node_idx is null").agg(F.collect_list(F.struct("kind", "p1", "p2", "p3", "p4")).alias("common"))
+    everywhere = F.aggregate("common", F.lit(0.0), lambda a, t: a + F.coalesce(limit(term_current(v, t)), F.lit(0.0)))
+    applied = state.select("node_idx", "voltage").crossJoin(F.broadcast(common)).join(named, "node_idx", "left").select("node_idx", (F.coalesce("applied", F.lit(0.0)) + everywhere).alias("applied"))
     all_ = state.join(flow, "node_idx", "left").join(applied, "node_idx", "left")
     current = F.coalesce("flow", F.lit(0.0)) + F.coalesce("applied", F.lit(0.0))
     raw = v + c.dt * current
@@ -128,26 +129,3 @@ def latest_events(events: DataFrame, keep: int = 12, key: str = "circuit_id") ->
     """The last events of each circuit."""
     order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("event_idx")))
     return events.withColumn("recency", order).filter(F.col("recency") <= keep)
-
-
-OPERATIONS = ("set_voltage", "add_voltage", "add_neighborhood", "set_memory", "scale_conductance", "set_gate_threshold", "set_gate_bounds", "transient_current")
-
-
-def applied_edits(edits: DataFrame, nodes: int, key: str = "circuit_id") -> DataFrame:
-    """Edits in order with optimistic concurrency; a row with the outcome of each.
-
-    edits(circuit_id, event_idx, expected_revision, operation, node_idx, amount).  An edit
-    whose revision is not the circuit's, or whose target is unavailable, is rejected and
-    changes nothing; an accepted one adds one to the revision.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("event_idx", "expected_revision", "operation", "node_idx", "amount")))
-    result = "array<struct<event_idx: bigint, accepted: boolean, reason: string, revision_before: bigint, revision_after: bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("revision"), F.array().cast(result).alias("out"))
-
-    def add(a, x):
-        wrong = F.when(x["expected_revision"] != a["revision"], "revision_mismatch").when(~x["operation"].isin(*OPERATIONS), "unknown_operation").when((x["node_idx"] < 0) | (x["node_idx"] >= nodes), "target_unavailable").when(x["amount"].isNull() | F.isnan(x["amount"]), "invalid_value")
-        after = a["revision"] + wrong.isNull().cast("bigint")
-        one = F.struct(x["event_idx"].cast("bigint").alias("event_idx"), wrong.isNull().alias("accepted"), wrong.alias("reason"), a["revision"].alias("revision_before"), after.alias("revision_after"))
-        return F.struct(after.alias("revision"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    return edits.groupBy(key).agg(F.aggregate(ordered, start, add, lambda a: a["out"]).alias("out")).select(key, F.inline("out"))

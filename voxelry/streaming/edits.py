@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.circuit import OPERATIONS
+from ..operators.edits import OPERATIONS
 
 RESULT = "circuit_id long, event_idx long, accepted boolean, reason string, revision_before long, revision_after long"
 
@@ -17,8 +18,8 @@ RESULT = "circuit_id long, event_idx long, accepted boolean, reason string, revi
 def applied_edits(edits: DataFrame, nodes: int) -> DataFrame:
     """T14 over a stream: each circuit's revision is kept between batches.
 
-    edits(circuit_id, event_idx, expected_revision, operation, node_idx, amount); within a
-    batch a circuit's edits are taken by event_idx.
+    edits(circuit_id, event_idx, expected_revision or null for any, operation, target,
+    amount), all of them on nodes; within a batch a circuit's edits are taken by event_idx.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,14 +28,14 @@ def applied_edits(edits: DataFrame, nodes: int) -> DataFrame:
         out = []
         for e in rows.itertuples():
             reason = None
-            if e.expected_revision != revision:
-                reason = "revision_mismatch"
-            elif e.operation not in OPERATIONS:
+            if e.operation not in OPERATIONS:
                 reason = "unknown_operation"
-            elif not 0 <= e.node_idx < nodes:
-                reason = "target_unavailable"
-            elif e.amount is None or e.amount != e.amount:
+            elif not 0 <= e.target < nodes:
+                reason = "invalid_target"
+            elif e.amount is None or not math.isfinite(e.amount):
                 reason = "invalid_value"
+            elif not pd.isna(e.expected_revision) and e.expected_revision != revision:
+                reason = "revision_mismatch"
             after = revision + (reason is None)
             out.append((key[0], e.event_idx, reason is None, reason, revision, after))
             revision = after
