@@ -141,11 +141,6 @@ def _(spark, d):
     return told(geometry.surface_center(wavy(spark)), "x", "y", "z")
 
 
-@query("A05_topology_key")
-def _(spark, d):
-    return geometry.topology_key(surfaces.unit_square(spark))
-
-
 @query("P01_P02_valid_surface", "SELECT CAST(NULL AS VARCHAR) AS rejection")
 def _(spark, d):
     return geometry.valid_surface(wavy(spark))
@@ -234,11 +229,6 @@ def _(spark, d):
 # Samples and neighbours.
 
 
-@query("F51_J29_W02_surface_samples")
-def _(spark, d):
-    return told(sampling.samples(wavy(spark), 256), "sample_idx", "tri_idx", "x", "y", "z", "nx", "ny", "nz", "b0", "b1", "b2")
-
-
 @query("J29_selected_triangles", f"WITH {wavy_sql()}, cum AS (SELECT tri_idx, sum(area) OVER (ORDER BY tri_idx) AS high FROM area WHERE area > 1e-9), s AS (SELECT i AS sample_idx, (i+0.37)/250.0::DOUBLE * (SELECT max(high) FROM cum) AS target FROM range(250) t(i)) SELECT sample_idx, min(tri_idx) AS tri_idx FROM s JOIN cum ON high >= target GROUP BY sample_idx")
 def _(spark, d):
     f = spark.range(250).select(F.col("id").alias("sample_idx"), ((F.col("id") + 0.37) / 250).alias("f"))
@@ -295,23 +285,6 @@ def _(spark, d):
     return told(out, "particle_idx", "x", "y", "z", "vx", "influences", "impulses", "clamped")
 
 
-@query("J12_F31_F32_bodies")
-def _(spark, d):
-    out = particles.step(surfaces.particles(spark, d), 1 / 30, bodies=[particles.Sphere(0, 0, 0, 0.15, 0.5), particles.Box((0.05, 0.05, -1), (0.4, 0.4, 1))])
-    return told(out, "particle_idx", "x", "y", "z", "vx", "vy", "vz", "collisions")
-
-
-@query("T01_T03_particle_frame")
-def _(spark, d):
-    out, _, _ = particles.frame(surfaces.particles(spark, d), 0.05, neighbor_radius=0.05, neighbor_strength=0.65)
-    return told(out, *particles.COLUMNS)
-
-
-@query("A16_A17_step_counters")
-def _(spark, d):
-    return told(particles.counters(particles.step(surfaces.particles(spark, d), 1 / 30, neighbor_radius=0.05, neighbor_strength=0.65)), "particle_count", "checks", "influences", "impulses", "clamped", "collisions", "max_speed")
-
-
 @query("F33_J19_grid_force")
 def _(spark, d):
     return told(particles.grid_force(surfaces.particles(spark, d), sdf.build(wavy(spark, 8), 0.1)), "particle_idx", "ax", "ay", "az")
@@ -605,20 +578,6 @@ def _(spark, d):
     return told(skinning.skinned_positions(*_rig(spark, d)), "frame", "vertex_idx", "x", "y", "z")
 
 
-@query("J24_skinned_normals")
-def _(spark, d):
-    v, w, bind, poses = _rig(spark, d)
-    n = v.select("vertex_idx", F.lit(1.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(0.0).alias("nz"))
-    return told(skinning.skinned_normals(n, w, bind, poses), "frame", "vertex_idx", "nx", "ny", "nz")
-
-
-@query("J27_compared_frames")
-def _(spark, d):
-    v, w, bind, poses = _rig(spark, d)
-    a = skinning.skinned_positions(v, w, bind, poses)
-    return told(skinning.compared(a, a.withColumn("x", F.col("x") + F.when(F.col("vertex_idx") % 10 == 0, 0.01).otherwise(0.0))), "frame", "n", "over", "max_error")
-
-
 @query("J33_evaluated_track", "WITH k AS (SELECT i % 7 AS joint, (i // 7)::DOUBLE AS t, (i * 37 % 11)::DOUBLE AS value FROM range(35) s(i)), q AS (SELECT i * 0.37::DOUBLE - 0.5::DOUBLE AS t FROM range(16) s(i)), a AS (SELECT j AS joint, q.t, (SELECT max(k.t) FROM k WHERE k.joint = j AND k.t <= q.t) AS lo, (SELECT min(k.t) FROM k WHERE k.joint = j AND k.t > q.t) AS hi FROM q, range(7) s(j)) SELECT a.joint, round(a.t,6)+0.0 AS t, round(CASE WHEN lo IS NULL THEN y.value WHEN hi IS NULL THEN x.value ELSE x.value+(y.value-x.value)*(a.t-lo)/(hi-lo) END,6)+0.0 AS value FROM a LEFT JOIN k x ON x.joint = a.joint AND x.t = lo LEFT JOIN k y ON y.joint = a.joint AND y.t = hi")
 def _(spark, d):
     keys = spark.range(35).select((F.col("id") % 7).alias("joint"), F.floor(F.col("id") / 7).cast("double").alias("t"), (F.col("id") * 37 % 11).cast("double").alias("value"))
@@ -647,39 +606,12 @@ def _(spark, d):
 # Frames, walks and exports.
 
 
-@query("F13_P11_local_frames")
-def _(spark, d):
-    return told(coordinates.frames(sampling.samples(wavy(spark), 64)), "sample_idx", *[f"{a}{k}" for a in "uvw" for k in "xyz"])
-
-
-@query("F14_F15_displaced")
-def _(spark, d):
-    return told(coordinates.displaced(coordinates.frames(sampling.samples(wavy(spark), 64)), Vec.lit(0.5, -0.25, 2.0)), "sample_idx", "x", "y", "z")
-
-
-@query("J37_updated_samples")
-def _(spark, d):
-    anchors = sampling.samples(wavy(spark), 64)
-    return told(coordinates.updated(anchors, surfaces.wavy_grid(spark, N, 0.5)), "sample_idx", "x", "y", "z")
-
-
-@query("T16_T17_surface_changes", "SELECT 'updated' AS outcome")
-def _(spark, d):
-    return coordinates.surface_changes(wavy(spark), surfaces.wavy_grid(spark, N, 0.5))
-
-
 @query("J06_J07_walk_tiers")
 def _(spark, d):
     square = surfaces.unit_square(spark)
     return told(walk.tiers(square, sampling.samples(square, 12, 48161, sampling.LOW_DISCREPANCY), 3, 3), "from_node", "to_node", "rank", "tier")
 
 
-@query("S20_S24_packed_nodes", f"WITH {_PART} SELECT i AS idx, x, y, z FROM p")
-def _(spark, d):
-    packed = coordinates.packed_nodes(surfaces.particles(spark, d), "particle_idx", "x", "y", "z")
-    return packed.select("idx", *[F.get("packed", k).alias(n) for k, n in enumerate("xyz")])
-
-
 @query("S25_region_lists", f"WITH {_REGION}, c AS (SELECT region::BIGINT AS region, count(*) AS n FROM rg GROUP BY region) SELECT region, n, (sum(n) OVER (ORDER BY region) - n)::BIGINT AS first FROM c")
 def _(spark, d):
     return told(coordinates.region_lists(_body(spark)[0].select("region", "node_idx")), "region", "n", "first")

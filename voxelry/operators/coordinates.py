@@ -70,6 +70,15 @@ def packed_nodes(nodes: DataFrame, index: str, *columns: str) -> DataFrame:
     return nodes.select(F.col(index).alias("idx"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]).alias("packed"))
 
 
+def packed_samples(points: DataFrame, closest: DataFrame) -> DataFrame:
+    """Each point's closest sample as numbers: hit, place, normal, distance, triangle, and
+    triangles tested as nodes, leaves and triangles; a miss is a single zero."""
+    tests = F.col("tests").cast("double")
+    numbers = F.array(F.lit(1.0), *[F.col(f"{v}{k}") for v in "qn" for k in "xyz"], F.col("distance"), F.col("tri_idx").cast("double"), F.lit(0.0), F.lit(0.0), tests)
+    hit = closest.select("point_idx", numbers.alias("numbers"))
+    return points.select("point_idx").join(hit, "point_idx", "left").select("point_idx", F.coalesce("numbers", F.array(F.lit(0.0))).alias("packed"))
+
+
 def region_lists(regions: DataFrame) -> DataFrame:
     """Regions with the running offset of their nodes in the flattened list.
 

@@ -48,6 +48,27 @@ def skinned_normals(normals: DataFrame, weights: DataFrame, bind: DataFrame, pos
     return sums.select("frame", "vertex_idx", *Vec.of("s").normalized_or(Vec.lit(0, 1, 0)).aliased("n"))
 
 
+def joint_matrices(bind: DataFrame, poses: DataFrame) -> DataFrame:
+    """for each frame and joint the matrix from bind pose to pose: m00 .. m22, and m03 .. m23."""
+    named = lambda d, p: d.select("joint", *([F.col("frame")] if p == "f" else []), *[F.col(k).alias(f"{p}{k}") for k in ("x", "y", "z", "qx", "qy", "qz", "qw")])
+    both = named(bind, "b").join(named(poses, "f"), "joint")
+    out = ["frame", "joint"]
+    for k in range(4):
+        # The images of the origin and of the unit vectors give the columns.
+        p = transform_point(inverse_transform_point(Vec.lit(*(float(k == j) for j in range(3))), "b"), "f")
+        out += [c.alias(f"p{k}{j}") for j, c in enumerate(p)]
+    images = both.select(*out)
+    turn = [(F.col(f"p{k}{j}") - F.col(f"p3{j}")).alias(f"m{j}{k}") for j in range(3) for k in range(3)]
+    return images.select("frame", "joint", *turn, *[F.col(f"p3{j}").alias(f"m{j}3") for j in range(3)])
+
+
+def mesh_buffers(weights: DataFrame, bind: DataFrame, poses: DataFrame) -> DataFrame:
+    """The blended matrix of every vertex and frame, with its influences and their total."""
+    names = [f"m{j}{k}" for j in range(3) for k in range(4)]
+    rows = weights.filter("weight > 0").join(joint_matrices(bind, poses), "joint")
+    return rows.groupBy("frame", "vertex_idx").agg(F.count("*").alias("influences"), F.sum("weight").alias("total"), *[F.sum(F.col("weight") * F.col(n)).alias(n) for n in names])
+
+
 def compared(a: DataFrame, b: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """How many vertices differ by more than the tolerance, and the greatest error."""
     d = Vec.of().minus(Vec.of("o"))
