@@ -7,10 +7,11 @@ space), then by its ``DEPTH`` leading tokens.  Short tokens with a digit are var
 fields from the start; of tokens that are long or not ASCII only the digits are.  A line of
 which less than ``CONSTANT`` of the tokens have a letter left stays as it is.  The lines of
 a leaf that agree in all other tokens have one template.  In a leaf where lines recur but
-differ, the lines are grouped further: where at least ``SIMILAR`` of a group's places have
-a token that most of its document families hold, the lines that agree in those share one
-template.  The others part by the place with the most frequent token, again and again,
-until no token recurs.  So a leaf can have any number of templates.
+differ, fields with words are found by how often each token stands at its place of the leaf:
+for every power of ``LEVEL``, tokens that are at least so frequent are constant and the
+others are fields.  A line has one template for each power that tells its tokens apart, if at
+least ``SIMILAR`` of its tokens are constant there; so a leaf can have any number of
+templates, frequent and rare ones, and the work is a fixed number of passes over its lines.
 
 A template that recurs in at least ``MIN_FAMILIES`` *families* of documents is boilerplate,
 and its lines are dropped from all documents, however many copies one family has.  A family
@@ -31,6 +32,8 @@ but the id and the text are handed on as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from .store import small, table, written
 DEPTH = 3
 MIN_FAMILIES = 5
 SIMILAR = 0.6
+#: Steps between the frequencies from which a token counts as constant.
+LEVEL = 8
 #: Share of tokens with a letter that a line with variable fields needs.
 CONSTANT = 0.5
 #: Words that documents must share to be near copies, and hashes of them that are compared.
@@ -57,11 +62,21 @@ def split_lines(text: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """The line's tokens, variable ones as one sign; the line itself if too few are constant."""
-    own = F.trim(line)
-    new = F.regexp_replace(F.regexp_replace(own, _VARIABLE, "<*>"), "[0-9]+", "<*>")
-    tokens = F.split(new, " ", -1)
-    enough = F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}"))) >= CONSTANT * F.size(tokens)
-    return F.when(~own.rlike("[0-9]"), own).when(enough, new).otherwise(own)
+
+    def chosen(x: Column) -> Column:
+        tokens = F.split(x["new"], " ", -1)
+        return F.when(F.size(F.filter(tokens, lambda t: t.rlike(r"\p{L}"))) >= CONSTANT * F.size(tokens), x["new"]).otherwise(x["own"])
+
+    def replaced(own: Column) -> Column:
+        new = F.regexp_replace(F.regexp_replace(own, _VARIABLE, "<*>"), "[0-9]+", "<*>")
+        return F.when(~own.rlike("[0-9]"), own).otherwise(let(F.struct(own.alias("own"), new.alias("new")), chosen))
+
+    return let(F.trim(line), replaced)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def leaf_of(line: Column) -> Column:
@@ -116,33 +131,22 @@ def _generalised(docs: DataFrame, lines: DataFrame, leaves: DataFrame, plain: Da
     leaves = small(written(leaves.join(own, "leaf"), "open-leaves"))
     text = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.transform(split_lines(F.col("text")), masked)).alias("at", "line")).filter(F.col("line") != "")
     some = text.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf").withColumn("template", F.xxhash64("line", F.lit(1))).join(small(plain), "template", "left_anti")
-    some = written(some.select("doc_id", "key", "at", F.col("leaf").alias("unit"), F.split("line", " ", -1).alias("tokens")), "lines")
+    cells = F.transform(F.split("line", " ", -1), lambda t, i: F.xxhash64("leaf", i, t))
+    some = written(some.select("doc_id", "key", "at", "leaf", cells.alias("cells")), "lines")
     same = some["doc_id"].eqNullSafe(lines["doc_id"]) & (some["key"] == lines["key"])
-    open_ = written(some.join(lines.select("doc_id", "key", "family").distinct(), same).select(some["doc_id"], some["key"], "at", "unit", "tokens", "family"), "open")
-    out = None
-    while True:
-        open_ = open_.join(_recurring(open_, "unit", "family", families), "unit", "left_semi")
-        # In how many families each token is, by place.
-        total = open_.groupBy("unit").agg(F.countDistinct("family").alias("total"))
-        held = open_.select("unit", "family", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).groupBy("unit", "n", "place", "token").agg(F.countDistinct("family").alias("held"))
-        held = written(held.join(total, "unit").filter(F.col("held") >= families), "held")
-        constant = F.when(2 * F.col("held") > F.col("total"), F.struct("place", "token"))
-        # Where to part: several tokens, or one that not everyone has.
-        places = held.groupBy("unit", "n", "place").agg(F.max("held").alias("most"), F.count("*").alias("tokens"), F.max("total").alias("total"), F.collect_list(constant).alias("constants"), F.collect_list("token").alias("frequent"))
-        part = F.when((F.col("tokens") > 1) | (F.col("most") < F.col("total")), F.struct("most", (-F.col("place")).alias("back"), "frequent"))
-        nodes = written(places.groupBy("unit", "n").agg(F.flatten(F.collect_list("constants")).alias("constants"), F.max(part).alias("part")), "nodes")
-        agree = (F.size("constants") >= similar * F.col("n")) & F.forall("constants", lambda c: F.get("tokens", c["place"]) == c["token"])
-        rows = written(open_.join(nodes, "unit").withColumn("agree", agree), "agree")
-        found = written(_recurring(rows.filter("agree"), "unit", "family", families).withColumn("found", F.lit(True)), "found")
-        rows = rows.join(found, "unit", "left")
-        hits = written(rows.filter("agree and found").select("doc_id", "key", "at"), "under")
-        out = hits if out is None else out.union(hits)
-        token = F.get("tokens", -F.col("part.back"))
-        branch = F.when(F.array_contains("part.frequent", token), token)
-        left = rows.filter("not (agree and coalesce(found, false)) and (found or part is not null)")
-        open_ = written(left.select("doc_id", "key", "at", F.xxhash64("unit", -F.col("part.back"), branch).alias("unit"), "tokens", "family"), "open")
-        if open_.isEmpty():
-            return out
+    open_ = written(some.join(lines.select("doc_id", "key", "family").distinct(), same).select(some["doc_id"], some["key"], "at", "leaf", "cells", "family", F.monotonically_increasing_id().alias("line")), "open")
+    # How often each token stands at its place of its leaf, as a power of LEVEL.
+    token = open_.select("line", F.posexplode("cells").alias("place", "cell"))
+    level = F.floor(F.log(F.col("n") / families) / math.log(LEVEL) + 1e-9).cast("int")
+    frequent = written(token.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= families).select("cell", level.alias("level")), "frequent")
+    told = token.join(small(frequent), "cell").groupBy("line").agg(F.collect_list(F.struct("place", "level", "cell")).alias("told"))
+    told = written(told.withColumn("told", F.array_sort("told")), "told")
+    # One template for each power that parts a line's tokens: what is rarer is a field.
+    at = lambda x: F.filter("told", lambda t: t["level"] >= x)
+    each = F.transform(F.array_distinct(F.transform("told", lambda t: t["level"])), lambda x: F.struct(F.size(at(x)).alias("constant"), F.xxhash64("leaf", F.size("cells"), F.transform(at(x), lambda t: t["cell"])).alias("unit")))
+    rows = open_.join(told, "line").select("doc_id", "key", "at", "family", F.explode(F.filter(each, lambda t: t["constant"] >= similar * F.size("cells"))).alias("t")).select("doc_id", "key", "at", "family", "t.unit")
+    rows = written(rows, "units")
+    return rows.join(small(written(_recurring(rows, "unit", "family", families), "found")), "unit", "left_semi").select("doc_id", "key", "at")
 
 
 def boilerplate(docs: DataFrame, min_families: int = MIN_FAMILIES, similar: float = SIMILAR) -> DataFrame:
@@ -165,7 +169,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     hits = boilerplate(own, **limits).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("dropped").alias("__dropped"))
     rows = docs.join(hits, (F.col(doc_id).cast("bigint") == F.col("__id")) & (key == F.col("__key")), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__dropped", i))
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
+    kept = let(F.struct(lines.alias("lines"), places.alias("places")), lambda x: F.transform(x["places"], lambda i: F.get(x["lines"], i)))
     new = F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     columns = [new.alias(text) if c == text else F.col(c) for c in docs.columns]
     return rows.select(*columns, F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("__n_lines"), F.coalesce(F.size("__dropped"), F.lit(0)).cast("bigint").alias("__n_dropped"))
