@@ -71,11 +71,64 @@ def test_random_tokens_are_told_from_prose(spark):
     assert len(hit & secret) >= 0.8 * len(secret) and len(hit - secret) <= 0.1 * len(secret)
 
 
+def camel(r, n):
+    words = "get Node List Reader Count User Name Token Manager Factory Build Http Client Request Handler Stream Buffer Parse Json Value Map Entry Config Service".split()
+    return ["".join([(w := [r.choice(words) for _ in range(r.randint(4, 6))])[0].lower(), *w[1:]]) + str(r.randint(0, 9)) for _ in range(n)]
+
+
+def test_false_discoveries_among_what_is_reported(spark):
+    r = random.Random(7)
+    names = camel(r, 300)
+    keys = [base64.b64encode(r.randbytes(r.choice([18, 24, 30, 33]))).decode().rstrip("=") for _ in range(150)]
+
+    def reported(tokens):
+        frame = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(tokens)], "doc_id long, text string")
+        return {x.doc_id for x in S.scan(frame).filter("size(random) > 0").collect()}
+
+    assert len(reported(names)) <= 3
+    found = reported(names + keys)
+    wrong = {k for k in found if k < len(names)}
+    assert len(found - wrong) >= 0.6 * len(keys) and len(wrong) <= 0.1 * len(found)
+
+
+def test_battery_against_brute_force(spark):
+    """The three tests and their combination, symbol by symbol."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    def score(v, size):
+        n = len(v)
+        mean, shape = size - 1, (size - 1) / 2 * n / (n - 1)
+        chi = max(size / n * sum(v.count(k) ** 2 for k in range(size)) - n, 0)
+        p_chi = math.erfc(((chi / mean) ** (1 / 3) - 1 + 1 / (9 * shape)) * math.sqrt(9 * shape / 2)) / 2
+        up = [2 * x >= size for x in v]
+        a, b = sum(up), n - sum(up)
+        spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+        runs = 1 + sum(x != y for x, y in zip(up, up[1:], strict=False))
+        p_runs = math.erfc(abs(runs - 2 * a * b / n - 1) / math.sqrt(2 * spread)) if spread > 0 else 1e-12
+        centre = sum(v) / n
+        power = sum((x - centre) ** 2 for x in v)
+        lag = sum((x - centre) * (y - centre) for x, y in zip(v, v[1:], strict=False))
+        p_serial = math.erfc(abs(lag / power + 1 / n) * math.sqrt(n / 2)) if power > 1e-9 else 1e-12
+        x = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_serial))
+        return math.exp(-x) * (1 + x + x * x / 2)
+
+    r = random.Random(4)
+    rows = [[r.randrange(size) for _ in range(n)] for size in (16, 32, 64) for n in (20, 33, 90) for _ in range(4)] + [[5] * 24, list(range(16)) * 2]
+    sizes = [size for size in (16, 32, 64) for _ in range(12)] + [16, 16]
+    frame = spark.createDataFrame(list(zip(rows, sizes, strict=True)), "v array<int>, size int")
+    own = F.when(F.col("size") == 16, S._battery(F.col("v"), 16)).when(F.col("size") == 32, S._battery(F.col("v"), 32)).otherwise(S._battery(F.col("v"), 64))
+    for x in frame.withColumn("p", own).collect():
+        want = score(list(x.v), x.size)
+        assert abs(x.p - want) <= 1e-5 + 1e-4 * want
+
+
 def test_error_function(spark):
     import math
 
     from pyspark.sql import functions as F
 
-    x = [k / 10 for k in range(40)]
+    x = [k / 10 for k in range(-30, 40)]
     got = spark.createDataFrame([(v,) for v in x], "x double").select(S.erfc(F.col("x")).alias("y")).collect()
     assert all(abs(r.y - math.erfc(v)) < 2e-7 for r, v in zip(got, x, strict=True))

@@ -52,12 +52,14 @@ NEAR = 0.85
 SKETCH = 64
 
 _SPACE = r"[\s\p{Z}&&[^\n]]+"
+#: White space that is no single blank.
+_ODD_SPACE = r"[\s\p{Z}&&[^\n ]]| [\s\p{Z}&&[^\n]]"
 _VARIABLE = r"(?<![^ ])(?=[!-~]{1,40}(?: |$))[^ 0-9]*[0-9][^ ]*"
 
 
 def split_lines(text: Column) -> Column:
     """The lines, with one space for each run of white space."""
-    return F.split(F.regexp_replace(text, _SPACE, " "), "\n", -1)
+    return F.split(F.when(text.rlike(_ODD_SPACE), F.regexp_replace(text, _SPACE, " ")).otherwise(text), "\n", -1)
 
 
 def masked(line: Column) -> Column:
@@ -111,8 +113,8 @@ def _families(docs: DataFrame, lines: DataFrame, leaves: DataFrame) -> DataFrame
     # In each leaf, everyone is compared with the print of most documents and with the least one.
     hubs = held.groupBy("leaf").agg(F.max(F.struct("n", "print"))["print"].alias("x"), F.min("print").alias("y"), F.count("*").alias("all")).filter("all > 1").select("leaf", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
     pairs = written(held.join(hubs, "leaf").filter("print <> hub").select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct(), "pairs")
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), " ", -1))
-    sketch = F.slice(F.array_sort(F.transform(words, lambda x: F.xxhash64(x))), 1, SKETCH)
+    words = F.filter(F.split("text", r"[\s\p{Z}]+", -1), lambda x: x != "")
+    sketch = F.slice(F.array_sort(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))), 1, SKETCH)
     asked = lines.join(some, "print", "left_semi").groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("d"))
     asked = small(written(asked.select("print", F.col("d.doc_id").alias("doc_id"), F.col("d.key").alias("key")), "asked"))
     same = F.col("text").isNotNull() & docs["doc_id"].eqNullSafe(asked["doc_id"]) & (docs["key"] == asked["key"])
@@ -129,12 +131,16 @@ def _generalised(docs: DataFrame, lines: DataFrame, leaves: DataFrame, plain: Da
     # Only leaves that hold lines of several templates have fields to generalise.
     own = lines.select(F.explode("lines").alias("line")).filter("line is not null").groupBy("line.leaf").agg(F.min("line.template").alias("a"), F.max("line.template").alias("b")).filter("a <> b").select("leaf")
     leaves = small(written(leaves.join(own, "leaf"), "open-leaves"))
-    text = docs.filter(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(F.transform(split_lines(F.col("text")), masked)).alias("at", "line")).filter(F.col("line") != "")
-    some = text.withColumn("leaf", leaf_of(F.col("line"))).join(leaves, "leaf").withColumn("template", F.xxhash64("line", F.lit(1))).join(small(plain), "template", "left_anti")
+    # Where these lines are; only they are read again.
+    at = lines.select("doc_id", "key", "family", F.posexplode("lines").alias("at", "line")).filter("line is not null").select("doc_id", "key", "family", "at", "line.leaf", "line.template")
+    places = at.join(leaves, "leaf").join(small(plain), "template", "left_anti").groupBy("doc_id", "key").agg(F.first("family").alias("family"), F.collect_set("at").alias("places"))
+    places = small(written(places, "places"))
+    same = docs["doc_id"].eqNullSafe(places["doc_id"]) & (docs["key"] == places["key"])
+    asked = let(split_lines(F.col("text")), lambda x: F.transform("places", lambda i: F.struct(i.alias("at"), masked(F.get(x, i)).alias("line"))))
+    some = docs.filter(F.col("text").isNotNull()).join(places, same).select(docs["doc_id"], docs["key"], "family", F.inline(asked))
     cells = F.transform(F.split("line", " ", -1), lambda t, i: F.xxhash64("leaf", i, t))
-    some = written(some.select("doc_id", "key", "at", "leaf", cells.alias("cells")), "lines")
-    same = some["doc_id"].eqNullSafe(lines["doc_id"]) & (some["key"] == lines["key"])
-    open_ = written(some.join(lines.select("doc_id", "key", "family").distinct(), same).select(some["doc_id"], some["key"], "at", "leaf", "cells", "family", F.monotonically_increasing_id().alias("line")), "open")
+    some = some.select("doc_id", "key", "at", "family", "line", leaf_of(F.col("line")).alias("leaf")).select("doc_id", "key", "at", "leaf", cells.alias("cells"), "family", F.monotonically_increasing_id().alias("line"))
+    open_ = written(some, "open")
     # How often each token stands at its place of its leaf, as a power of LEVEL.
     token = open_.select("line", F.posexplode("cells").alias("place", "cell"))
     level = F.floor(F.log(F.col("n") / families) / math.log(LEVEL) + 1e-9).cast("int")

@@ -5,14 +5,19 @@ Everything here is built of DataFrame functions.
 The base kinds (``assign``, ``access``, ``hex``) are regular expressions.  The method adds
 ``random`` spans: a token that could be encoded random bytes gets its encoding inferred
 from its characters (base 16, base 32 or base 64), and its symbols are tested for what
-random bytes give: a chi-squared test that the alphabet is used uniformly, a runs test
-about the middle of the alphabet, and a test of the serial correlation at lag one.
-Fisher's method combines the three.  "This token is random" is the null hypothesis, and
-the Benjamini-Hochberg procedure over all tokens of the whole table, for each encoding and
-class of lengths by itself, decides which tokens are *not* random, such that at most a
-share ``FALSE_DISCOVERY`` of those set aside are random after all.  The rest are reported,
-where they don't overlap a base span.  Tokens too short for the tests to tell anything are
-not tested.  The procedure needs a histogram of p-values only, of a fixed size.
+random bytes give: a chi-squared test that all symbols of the alphabet are used alike, a runs
+test about the middle of the alphabet, and a test of the serial correlation at lag one.
+Fisher's method combines the three to a score between 0 (certainly not random) and 1.
+
+What is reported is controlled by the false-discovery rate: that a token is ordinary text
+(names, paths, numbers) is the null hypothesis.  How ordinary text scores is measured on
+``DECOYS`` made-up ordinary tokens for each encoding and class of lengths, put together by a
+rule from common words and numbers; a token's p-value is the share of these decoys that
+score at least as high.  The Benjamini-Hochberg procedure over all tokens of the whole table,
+in each encoding and class of lengths by itself, then reports tokens such that about a share
+``FALSE_DISCOVERY`` of them is ordinary, where they don't overlap a base span.  Where random
+tokens are so rare that no cut can promise that, none is reported.  Tokens too short for the
+tests to tell anything are not tested.  The procedure needs histograms of a fixed size only.
 
 Edge cases: a null or empty text has no spans; overlapping base kinds are all kept; a
 repeated row is scanned again; columns other than the id and the text are never read.
@@ -21,6 +26,7 @@ repeated row is scanned again; columns other than the id and the text are never
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,9 +34,28 @@ from pyspark.sql import functions as F
 from .store import table, written
 
 FALSE_DISCOVERY = 0.05
-#: p-values are counted by their negative logarithm in steps of 1 / STEPS, up to MOST.
+#: Made-up ordinary tokens for each encoding and class of lengths, and the greatest class.
+DECOYS, MOST_SIZE = 4000, 7
+#: Scores are counted by their negative logarithm in steps of 1 / STEPS, up to MOST.
 STEPS, MOST = 16, 60
 
+# The words that ordinary tokens are put together from.
+DECOY_WORDS = """add all api app array async auth back base batch bean block body buffer build button byte cache call
+check class clear client clone close code color column command common config context control copy count create
+current custom data date default delete detail device display document domain download draw edit element empty
+enable entity entry error event export factory field file filter final find first font form format frame from
+function get global group guide handle has header height help home html image import index info init inner input
+install item job key label last layer layout length level library line link list load local log login main make
+manager map master max media member menu message method mode model module month name network new next node note
+number object offset old open option order output page panel param parent parse part password path photo player
+point post price print process product profile project property public query queue random range read record ref
+refresh region register remove render report request reset resource response result return role root route row
+run save scale scan scene screen script search section select send server service session set setting show size
+sort source space start state static status step stop store stream string style submit summer sync system tab
+table tag target task template test text theme thread time title token tool total track tree trigger type undo
+unit update upload url user util valid value vector version video view wait web widget width window word work
+write year zone""".split()
+
 # Fixed patterns: kind, what is matched, the group whose length counts, and that length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # AKIA[A-Z0-9]+ of 18 or more characters
@@ -73,9 +98,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function of x >= 0, to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
-    t = 1 / (1 + 0.3275911 * x)
-    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
+    """Complementary error function, to 1.5e-7 (Abramowitz and Stegun 7.1.26)."""
+    y = F.abs(x)
+    t = 1 / (1 + 0.3275911 * y)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-y * y)
+    return F.when(x >= 0, tail).otherwise(2 - tail)
 
 
 def _let(value: Column, f) -> Column:
@@ -85,28 +112,34 @@ def _let(value: Column, f) -> Column:
 
 def _battery(values: Column, size: int) -> Column:
     """The combined p-value of the three tests, for symbols 0 to ``size`` - 1."""
-    names = ("n", "q0", "q1", "q2", "q3", "changes", "last", "first", "sum", "squares", "lag")
+    names = ("n", "upper", "changes", "last", "first", "sum", "squares", "lag")
     none = F.struct(*[F.lit(-1.0 if k in ("last", "first") else 0.0).alias(k) for k in names])
 
     def add(a, v):
         v = v.cast("double")
         of = lambda c: F.when(c, 1.0).otherwise(0.0)
-        quarter = F.floor(v * 4 / size)
         later = a["last"] >= 0
-        new = {"n": a["n"] + 1, "changes": a["changes"] + of(later & ((v * 2 >= size) != (a["last"] * 2 >= size))), "last": v, "first": F.when(later, a["first"]).otherwise(v), "sum": a["sum"] + v, "squares": a["squares"] + v * v, "lag": a["lag"] + F.when(later, a["last"] * v).otherwise(0.0)}
-        new |= {f"q{q}": a[f"q{q}"] + of(quarter == q) for q in range(4)}
+        new = {"n": a["n"] + 1, "upper": a["upper"] + of(v * 2 >= size), "changes": a["changes"] + of(later & ((v * 2 >= size) != (a["last"] * 2 >= size))), "last": v, "first": F.when(later, a["first"]).otherwise(v), "sum": a["sum"] + v, "squares": a["squares"] + v * v, "lag": a["lag"] + F.when(later, a["last"] * v).otherwise(0.0)}
         return F.struct(*[new[k].alias(k) for k in names])
 
-    def tests(t):
-        n = t["n"]
-        # Four equal parts of the alphabet, and chi-squared with three degrees of freedom.
-        chi = sum(((t[f"q{q}"] - n / 4) * (t[f"q{q}"] - n / 4) for q in range(4)), F.lit(0.0)) * 4 / n
-        p_chi = erfc(F.sqrt(chi / 2)) + F.sqrt(2 * chi / math.pi) * F.exp(-chi / 2)
+    # How often each symbol stands there, squared and added up: runs of equal symbols in order.
+    run = F.struct(F.lit(-1).alias("symbol"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
+    longer = lambda a, v: F.struct(v.alias("symbol"), F.when(a["symbol"] == v, a["run"] + 1).otherwise(1.0).alias("run"), (a["squares"] + F.when(a["symbol"] == v, 2 * a["run"] + 1).otherwise(1.0)).alias("squares"))
+    used = F.aggregate(F.array_sort(values), run, longer, lambda a: a["squares"])
+
+    def tests(z):
+        t, n = z["t"], z["t"]["n"]
+        # Chi-squared over the alphabet; few symbols for each place, so with the exact mean and
+        # variance, and a cube root that makes it nearly normal.
+        mean = float(size - 1)
+        shape = mean / 2 * n / F.greatest(n - 1, F.lit(1.0))
+        chi = F.greatest(size / n * z["used"] - n, F.lit(0.0))
+        p_chi = erfc((F.cbrt(chi / mean) - 1 + 1 / (9 * shape)) * F.sqrt(9 * shape / 2)) / 2
         # Runs below and above the middle.
-        a, b = t["q2"] + t["q3"], t["q0"] + t["q1"]
-        mean = 2 * a * b / n + 1
+        a, b = t["upper"], n - t["upper"]
+        expected = 2 * a * b / n + 1
         spread = 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
-        p_runs = F.when(spread > 0, erfc(F.abs(t["changes"] + 1 - mean) / F.sqrt(2 * spread))).otherwise(1e-12)
+        p_runs = F.when(spread > 0, erfc(F.abs(t["changes"] + 1 - expected) / F.sqrt(2 * spread))).otherwise(1e-12)
         # Serial correlation at lag one.
         centre = t["sum"] / n
         power = t["squares"] - n * centre * centre
@@ -117,7 +150,7 @@ def _battery(values: Column, size: int) -> Column:
     def fisher(x):  # chi-squared with six degrees of freedom
         return F.exp(-x) * (1 + x + x * x / 2)
 
-    p = _let(F.aggregate(values, none, add), tests)
+    p = _let(F.struct(F.aggregate(values, none, add).alias("t"), used.alias("used")), tests)
     return _let(_let(p, lambda q: -F.log(q["chi"]) - F.log(q["runs"]) - F.log(q["serial"])), fisher)
 
 
@@ -140,15 +173,23 @@ def _values(token: Column, encoding: Column) -> Column:
     return F.when(encoding == 0, of(0, hexes)).when(encoding == 1, of(1, chars)).otherwise(of(2, chars))
 
 
+def _size(token: Column) -> Column:
+    """The class of lengths: powers of two."""
+    return F.least(F.floor(F.log2(F.length(token).cast("double"))), F.lit(MOST_SIZE)).cast("int")
+
+
+def _bin(token: Column, encoding: Column) -> Column:
+    """The class of the score: 0 for those that look most random."""
+    values = _values(token, encoding)
+    p = F.when(encoding == 0, _battery(values, 16)).when(encoding == 1, _battery(values, 32)).otherwise(_battery(values, 64))
+    return F.greatest(_let(p, lambda x: F.least(F.floor(-F.log(F.greatest(x, F.lit(1e-30))) * STEPS), F.lit(MOST * STEPS)).cast("int")), F.lit(0))
+
+
 def _candidates(text: Column, base: Column) -> Column:
     """Tokens apart from the base spans, with their encoding, class of length and p-value."""
 
     def tested(s):
-        values = _values(s["token"], s["encoding"])
-        p = F.when(s["encoding"] == 0, _battery(values, 16)).when(s["encoding"] == 1, _battery(values, 32)).otherwise(_battery(values, 64))
-        bin_ = _let(p, lambda x: F.least(F.floor(-F.log(F.greatest(x, F.lit(1e-30))) * STEPS), F.lit(MOST * STEPS)).cast("int"))
-        size = F.least(F.floor(F.log2((s["end"] - s["start"]).cast("double"))), F.lit(9)).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), size.alias("size"), F.greatest(bin_, F.lit(0)).alias("bin"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), _size(s["token"]).alias("size"), _bin(s["token"], s["encoding"]).alias("bin"))
 
     def found(z):
         apart = F.filter(z["spans"], lambda s: ~F.exists(z["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -159,14 +200,40 @@ def _candidates(text: Column, base: Column) -> Column:
     return _let(F.struct(_spans(text, TOKEN, 3).alias("spans"), base.alias("base")), found)
 
 
+def decoys(each: int = DECOYS) -> list[str]:
+    """Ordinary tokens of every encoding and class of lengths, always the same."""
+    r = random.Random(20)
+    out = []
+    for size in range(4, MOST_SIZE + 1):
+        low, high = max(20, 1 << size), (2 << size) - 1
+        for k in range(each):
+            n, words = r.randint(low, high), []
+            while sum(map(len, words)) < n:
+                w = r.choice(DECOY_WORDS)
+                words.append(str(r.choice((1, 2, 3, 4, 8, 16, 24, 100, 2014, 2023, r.randint(0, 999)))) if words and r.random() < 0.15 else w.capitalize() if r.random() < 0.85 else w)
+            mark = ("", "", "", "_", "-", "/")[k % 6]
+            words[-1] = words[-1] + str(r.randint(0, 99))
+            out.append(mark.join([words[0].lower(), *words[1:]])[-n:])
+            out.append("".join(w.upper() for w in words if w.isalpha())[:n - 1] + r.choice("234567"))
+            # What is written in base 16 without being random: counters, dates, repeated groups.
+            unit = r.choice((f"{r.randint(0, 4095):03x}", f"{r.randint(0, 65535):04x}", f"{r.randint(0, 255):02x}00", "deadbeef", "cafe", "0123456789abcdef", "abcdef", f"20{r.randint(10, 29)}{r.randint(1, 12):02d}{r.randint(1, 28):02d}a", "00ff", "ffffff00"))
+            out.append((f"{r.randint(0, 255):02x}" + unit * n)[: max(n, 24)])
+    return out
+
+
 def _cutoffs(scanned: DataFrame, share: float) -> dict[tuple[int, int], int]:
-    """For each stratum, from which bin of p-values on tokens count as not random."""
-    one = scanned.select(F.explode("candidates").alias("c")).groupBy("c.encoding", "c.size", "c.bin").count()
-    own = Window.partitionBy("encoding", "size")
-    ranked = one.withColumn("least", F.sum("count").over(own.orderBy(F.desc("bin")))).withColumn("all", F.sum("count").over(own))
-    # The largest p-value of a bin against its rank: the step-up procedure, on the safe side.
-    passed = ranked.filter(F.exp(-F.col("bin") / STEPS) <= share * F.col("least") / F.col("all"))
-    rows = passed.groupBy("encoding", "size").agg(F.min("bin").alias("bin")).collect()  # at most 30 rows
+    """For each stratum, up to which class of scores tokens are reported."""
+    spark = scanned.sparkSession
+    made = spark.createDataFrame([(t,) for t in decoys()], "token string").withColumn("encoding", _encoding(F.col("token"))).filter("encoding is not null")
+    null = made.select("encoding", _size(F.col("token")).alias("size"), _bin(F.col("token"), F.col("encoding")).alias("bin"), F.lit(0).alias("own"))
+    own = scanned.select(F.explode("candidates").alias("c")).select("c.encoding", "c.size", "c.bin", F.lit(1).alias("own"))
+    counts = null.union(own).groupBy("encoding", "size", "bin").agg(F.sum("own").alias("own"), F.sum(1 - F.col("own")).alias("null"))
+    stratum = Window.partitionBy("encoding", "size")
+    up = stratum.orderBy("bin")
+    ranked = counts.select("encoding", "size", "bin", F.sum("own").over(up).alias("reported"), F.sum("null").over(up).alias("worse"), F.sum("own").over(stratum).alias("all"), F.sum("null").over(stratum).alias("decoys"))
+    # The step-up procedure: the p-value of the last one reported against its rank.
+    passed = ranked.filter((F.col("reported") > 0) & ((F.col("worse") + 1) / (F.col("decoys") + 1) <= share * F.col("reported") / F.col("all")))
+    rows = passed.groupBy("encoding", "size").agg(F.max("bin").alias("bin")).collect()  # at most 12 rows
     return {(r["encoding"], r["size"]): r["bin"] for r in rows}
 
 
@@ -178,11 +245,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", false_disc
     both = _let(base, lambda b: F.struct(b.alias("base"), _candidates(F.col("content"), b).alias("candidates")))
     scanned = written(rows.select("doc_id", both.alias("found")), "secrets").select("doc_id", "found.base", "found.candidates")
     cut = _cutoffs(scanned, false_discovery)
-    random = F.col("candidates")
-    if cut:
-        limit = F.create_map(*[F.lit(x) for (e, s), b in cut.items() for x in (e * 16 + s, b)])
-        random = F.filter(random, lambda c: c["bin"] < F.coalesce(F.try_element_at(limit, c["encoding"] * 16 + c["size"]), F.lit(MOST * STEPS + 1)))
-    random = F.transform(random, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(3).alias("kind")))
+    limit = F.create_map(*[F.lit(x) for (e, s), b in [((-1, 0), -1), *cut.items()] for x in (e * 16 + s, b)])
+    reported = F.filter("candidates", lambda c: c["bin"] <= F.coalesce(F.try_element_at(limit, c["encoding"] * 16 + c["size"]), F.lit(-1)))
+    random = F.transform(reported, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit(3).alias("kind")))
     return scanned.select("doc_id", "base", random.alias("random"))
 
 
