@@ -1,11 +1,11 @@
 """License scans by ordered signature rules.
 
-Rules are regular expressions over a text's words (lower-cased, joined by one space).
-Each licence name goes into each of the phrasings below, and some notices have rules of
-their own.  A rule runs only if its keyword is in the text, and one of those of its licence name.  Where detections
-overlap, priority decides: one whose interval lies inside that of a detection of a higher
-priority, or of the same priority and greater length, is suppressed.  The base phrases
-have the highest priority and are never suppressed.
+Rules are regular expressions, written by hand (``license_rules``), over a text's words
+(lower-cased, joined by one space).  A rule runs only on texts that hold one of its keywords.
+Where detections overlap, priority decides: one whose interval lies inside that of a
+detection of a higher priority, or of the same priority and greater length, is suppressed.
+The base phrases have the highest priority and are never suppressed.  The work grows with a
+text's length and, for its detections, as n log n.
 
 Edge cases: a null or empty text has no words and no label, score 0; a repeated row is
 scanned again; columns other than the id and the text are never read.
@@ -14,14 +14,17 @@ scanned again; columns other than the id and the text are never read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_rules
 from . import words as W
 from .store import table
 from .workers import mapped
@@ -45,106 +48,6 @@ BASE = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Licence names as they read in words: label, pattern, keyword (or several: any of them).
-NAMES = (
-    ("mit", "(?:mit|expat)", ("mit", "expat")),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache"),
-    ("apache-2", "(?:apache(?: software)?(?: license)?(?: version)? 2(?: 0)?|asl 2(?: 0)?|al2(?: 0)?)", "2"),
-    ("apache", "apache(?: software)?", "apache"),
-    ("gpl-2", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:v?2)(?: 0)?", "g"),
-    ("gpl-3", "(?:gnu )?(?:gpl|general public license)(?: version| v)? ?(?:v?3)(?: 0)?", "g"),
-    ("gpl", "(?:gnu )?(?:gpl|general public)", "g"),
-    ("lgpl-2.1", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?v?2 1", "l"),
-    ("lgpl-3", "(?:gnu )?(?:lgpl|lesser general public license)(?: version| v)? ?v?3(?: 0)?", "l"),
-    ("lgpl", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "l"),
-    ("agpl-3", "(?:gnu )?(?:agpl|affero general public license)(?: version| v)? ?v?3(?: 0)?", "a"),
-    ("agpl", "(?:gnu )?(?:agpl|affero general public)", "a"),
-    ("gfdl", "(?:gnu )?(?:gfdl|free documentation)", "d"),
-    ("bsd-2", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd"),
-    ("bsd-3", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", "bsd"),
-    ("bsd-4", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"),
-    ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", "bsd"),
-    ("bsd", "bsd(?: style)?", "bsd"),
-    ("mpl-1.1", "(?:mpl|mozilla public license)(?: version| v)? ?1 1", "m"),
-    ("mpl-2", "(?:mpl|mozilla public license)(?: version| v)? ?2(?: 0)?", "m"),
-    ("mpl", "(?:mpl|mozilla public)", "m"),
-    ("epl-1", "(?:epl|eclipse public license)(?: version| v)? ?1(?: 0)?", "e"),
-    ("epl-2", "(?:epl|eclipse public license)(?: version| v)? ?2(?: 0)?", "e"),
-    ("edl", "eclipse distribution(?: license)?", "eclipse"),
-    ("eupl", "(?:eupl|european union public)", "e"),
-    ("cddl", "(?:cddl|common development and distribution)", "c"),
-    ("cpl", "(?:cpl 1 0|common public)", "c"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib(?: libpng)?", "zlib"),
-    ("libpng", "libpng", "libpng"),
-    ("boost", "(?:boost software|bsl 1 0)", ("boost", "bsl")),
-    ("artistic-1", "artistic(?: license)? 1(?: 0)?", "artistic"),
-    ("artistic-2", "artistic(?: license)? 2(?: 0)?", "artistic"),
-    ("artistic", "artistic", "artistic"),
-    ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "w"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("ofl", "(?:sil )?(?:ofl|open font)", "o"),
-    ("psf", "(?:psf|python software foundation)", "p"),
-    ("php", "php", "php"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("ms-pl", "(?:ms pl|microsoft public)", "m"),
-    ("ms-rl", "(?:ms rl|microsoft reciprocal)", "m"),
-    ("openssl", "openssl", "openssl"),
-    ("w3c", "w3c", "w3c"),
-    ("x11", "x11", "x11"),
-    ("vim", "vim", "vim"),
-    ("ncsa", "(?:ncsa|university of illinois)", "n"),
-    ("afl", "(?:afl 3 0|academic free)", "a"),
-    ("osl", "(?:osl 3 0|open software)", "o"),
-    ("ecl", "(?:ecl 2 0|educational community)", "c"),
-    ("upl", "(?:upl 1 0|universal permissive)", "u"),
-    ("sspl", "(?:sspl|server side public)", "s"),
-    ("busl", "(?:busl 1 1|business source)", "bus"),
-    ("elastic-2", "elastic(?: license)?(?: version| v)? ?2(?: 0)?", "elastic"),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", "c"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\\w*)(?: [1-4] [0-9])?", "c"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] [0-9])?", "c"),
-    ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: [1-4] [0-9])?", "c"),
-    ("cc-by-nd", "(?:cc|creative commons) (?:by nd|attribution no ?deriv\\w*)(?: [1-4] [0-9])?", "c"),
-    ("cc-by-sa", "(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4] [0-9])?", "c"),
-    ("cc-by", "(?:cc|creative commons) (?:by|attribution)(?: [1-4] [0-9])?", "c"),
-    ("odbl", "(?:odbl|open database)", "o"),
-    ("pddl", "(?:pddl|public domain dedication and)", "p"),
-)
-
-# Phrasings around a name: name, pattern, keyword, priority, score.
-PHRASINGS = (
-    ("notice", "(?:licensed|released|distributed|available|provided|published|redistributed|covered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: public)?(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?", "under", 60, 0.98),
-    ("terms", "(?:subject to|governed by|according to|in accordance with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}(?: public)? licen[cs]e", "licen", 55, 0.95),
-    ("tag", "spdx license identifier {}", "spdx", 50, 0.99),
-    ("field", "(?:licen[cs]e|licence type|licensed as) (?:is )?(?:the )?{}", "licen", 40, 0.85),
-    ("under", "under (?:a |an |the )?(?:terms of the )?{} licen[cs]e", "under", 45, 0.95),
-    ("name", "{}(?: public)? licen[cs]e(?: version [0-9](?: [0-9])?)?", "licen", 30, 0.8),
-    ("grant", "(?:may|can) (?:be )?(?:use|used|copied|copy|modified|modify|distributed|distribute|redistributed|redistribute) (?:it |this work |this file )?under (?:the )?(?:terms of )?(?:the )?{}", "under", 58, 0.95),
-)
-
-# Notices that don't follow a phrasing: name, label, pattern, keyword, priority, score.
-NOTICES = (
-    ("mit-grant", "mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", 80, 0.99),
-    ("isc-grant", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted", 80, 0.99),
-    ("bsd-grant", "bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 80, 0.99),
-    ("bsd-endorse", "bsd-3", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse", "endorse", 80, 0.99),
-    ("apache-grant", "apache-2", "you may not use this file except in compliance with the license", "in compliance with", 80, 0.97),
-    ("apache-url", "apache-2", "apache org licenses license 2 0", "apache org", 75, 0.97),
-    ("gpl-or-later", "gpl", "under the terms of the gnu general public license as published by the free software foundation", "free software foundation", 80, 0.99),
-    ("lgpl-or-later", "lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "free software foundation", 82, 0.99),
-    ("agpl-or-later", "agpl", "under the terms of the gnu affero general public license", "affero", 82, 0.99),
-    ("gpl-url", "gpl", "www gnu org licenses gpl", "gnu org", 70, 0.9),
-    ("mpl-notice", "mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form", 80, 0.99),
-    ("zlib-notice", "zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "held liable", 80, 0.95),
-    ("unlicense-notice", "unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 80, 0.99),
-    ("public-domain", "public-domain", "(?:dedicated|released|placed|is) (?:to|into|in) the public domain", "public domain", 35, 0.85),
-    ("cc-url", "cc", "creativecommons org licenses", "creativecommons org", 65, 0.9),
-    ("all-rights", "proprietary", "all rights reserved", "all rights reserved", 20, 0.6),
-    ("confidential", "proprietary", "proprietary and confidential", "proprietary", 25, 0.8),
-    ("no-copy", "proprietary", "(?:may not be|do not) (?:copied|copy|reproduced|reproduce|redistributed|redistribute) without (?:the )?(?:prior )?(?:written )?permission", "permission", 25, 0.8),
-)
-
 BASE_PRIORITY, BASE_SCORE = 100, 1.0
 
 
@@ -156,45 +59,51 @@ def rules() -> tuple[Rule, ...]:
         return Rule(name, label, re.compile(f"(?<= )(?:{pattern})(?= )".encode()), tuple(k.encode() for k in keywords), priority, score)
 
     made = [rule(f"base-{label}", label, phrase, (phrase,), BASE_PRIORITY, BASE_SCORE) for phrase, label in BASE]
-    made += [rule(f"{how}-{label}", label, form.format(name), (key, *((word,) if isinstance(word, str) else word)), priority, score) for label, name, word in NAMES for how, form, key, priority, score in PHRASINGS]
-    made += [rule(name, label, pattern, (key,), priority, score) for name, label, pattern, key, priority, score in NOTICES]
+    made += [rule(f"{priority}-{k}", label, pattern, keywords, priority, score) for k, (label, keywords, pattern, priority, score) in enumerate(license_rules.written())]
     return tuple(sorted(made, key=lambda r: -r.priority))
 
 
-#: Words of which every rule needs one.
-GATE = (b"licen", b"under", b"spdx", b"hereby granted", *(n[3].encode() for n in NOTICES), *(p.encode() for p, _ in BASE))
+@lru_cache(maxsize=1)
+def keywords() -> tuple[bytes, ...]:
+    return tuple(sorted({k for r in rules() for k in r.keywords}))
 
 
-@lru_cache(maxsize=1)
-def _by_keyword() -> dict[bytes, list[tuple[int, Rule]]]:
-    out: dict[bytes, list[tuple[int, Rule]]] = {}
-    for k, r in enumerate(rules()):
-        out.setdefault(r.keywords[0], []).append((k, r))
-    return out
-
-
-def detections(words: bytes) -> list[tuple[int, int, Rule]]:
-    """(begin, end, rule) of what stays; ``words``: joined by one space, and one at either end."""
-    found = []
-    for key, own in _by_keyword().items():
-        if key not in words:
+def _suppressed(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Those that lie in none of a higher priority, or of the same priority and longer.
+
+    ``found`` goes from the highest priority to the lowest.  A tree over the starts holds, for
+    each prefix of them, the greatest end of what stays so far.
+    """
+    starts = sorted({a for _, a, _, _ in found})
+    reach = [-1] * (len(starts) + 1)
+    stay = []
+    for _, a, b, r in found:
+        k = bisect_right(starts, a)
+        furthest, at = -1, k
+        while at:
+            furthest = max(furthest, reach[at])
+            at &= at - 1
+        if r.priority < BASE_PRIORITY and furthest >= b:
             continue
-        present: dict[bytes, bool] = {}
-        for k, r in own:
-            if len(r.keywords) > 1:
-                for word in r.keywords[1:]:
-                    if word not in present:
-                        present[word] = word in words
-                if not any(present[word] for word in r.keywords[1:]):
-                    continue
-            found += [(k, m.start(), m.end(), r) for m in r.pattern.finditer(words)]
-    # Higher priority first, then longer, then earlier; what lies inside one that stays goes.
+        stay.append((a, b, r))
+        while k < len(reach):
+            reach[k] = max(reach[k], b)
+            k += k & -k
+    return stay
+
+
+def detections(words: bytes, some: Iterable[bytes] | None = None) -> list[tuple[int, int, Rule]]:
+    """(begin, end, rule) of what stays; ``words``: joined by one space, and one at either end.
+
+    ``some``: the keywords that can be there at all, if that is known.
+    """
+    present = {k for k in (keywords() if some is None else some) if k in words}
+    if not present:
+        return []
+    found = [(k, m.start(), m.end(), r) for k, r in enumerate(rules()) if not present.isdisjoint(r.keywords) for m in r.pattern.finditer(words)]
+    # Higher priority first, then longer, then earlier.
     found.sort(key=lambda x: (-x[3].priority, x[1] - x[2], x[1], x[0]))
-    stay: list[tuple[int, int, Rule]] = []
-    for _, a, b, r in found:
-        if r.priority == BASE_PRIORITY or not any(x <= a and b <= y for x, y, _ in stay):
-            stay.append((a, b, r))
-    return sorted(stay, key=lambda x: (x[0], x[1], x[2].name))
+    return sorted(_suppressed(found), key=lambda x: (x[0], x[1], x[2].name))
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,17 +113,21 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in W.chunks(batch.column(1)):
             w = W.split(text, W.ALNUM_WORD, lower=True)
             whole = W.joined(w)
+            some = [k for k in keywords() if k in whole]
             at = w.offsets[w.rows] + w.rows  # where each row's first word begins
             out = []
             for r, n in enumerate((w.rows[1:] - w.rows[:-1]).tolist()):
                 own = b" " + whole[at[r] : at[r + 1]] if n else b""
-                found = detections(own) if n and any(g in own for g in GATE) else []
-                place = [own.count(b" ", 0, a) - 1 for a, _, _ in found]
-                base = [(p, x[2].label) for p, x in zip(place, found, strict=True) if x[2].priority == BASE_PRIORITY]
-                miss = 1.0
-                for _, _, rule in found:
-                    miss = min(miss, 1 - rule.score)
-                out.append((n, len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted({x[2].label for x in found})), 1 - miss, [{"label": x[2].label, "rule": x[2].name, "first": p, "words": own.count(b" ", x[0], x[1]) + 1} for p, x in zip(place, found, strict=True)]))
+                found = detections(own, some) if n else []
+                if not found:
+                    out.append((n, 0, None, None, "", "", 0.0, []))
+                    continue
+                blanks = np.flatnonzero(np.frombuffer(own, np.uint8) == 0x20)
+                first = np.searchsorted(blanks, [a for a, _, _ in found], side="left") - 1
+                last = np.searchsorted(blanks, [b for _, b, _ in found], side="left") - 1
+                base = [(p, x[2].label) for p, x in zip(first.tolist(), found, strict=True) if x[2].priority == BASE_PRIORITY]
+                told = [{"label": x[2].label, "rule": x[2].name, "first": p, "words": q - p + 1} for p, q, x in zip(first.tolist(), last.tolist(), found, strict=True)]
+                out.append((n, len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted({x[2].label for x in found})), max(x[2].score for x in found), told))
             cols = zip(*out, strict=True) if out else [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(text.first, len(out)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
 
