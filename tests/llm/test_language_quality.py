@@ -113,6 +113,8 @@ def test_held_out_quality(spark, none):
     assert right >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
     alone = Q.train(docs.filter(seen), labels.filter(seen).filter("quality = 1"))
     assert 0.5 < alone.prior < 0.99
+    # Labels of bad documents play no part: the same model without them.
+    assert alone.prior == model.prior and np.allclose(alone.weights, model.weights)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 10000)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in Q.score(odd, model).collect())
     assert Q.train(docs, labels.filter("false")) is None and {r.score for r in Q.score(odd, None).collect()} == {0.5}

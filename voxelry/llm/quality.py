@@ -5,16 +5,17 @@ linear model over the shape of a text minimises the non-negative unbiased risk
 
     prior * R(positives as good) + max(0, R(unlabelled as bad) - prior * R(positives as bad))
 
-with the logistic loss, where ``prior`` is the estimated share of good text.  Labels of bad
-documents are used for nothing but this estimate; without any, it comes from the two
-samples themselves: the least ratio of unlabelled to positive mass above a score.
+with the logistic loss, where ``prior`` is the estimated share of good text.  The estimate
+comes from the two samples themselves: a first model tells them apart, and the share of good
+text is the least ratio of unlabelled to positive mass above a score.  Labels of bad
+documents are never looked at.
 
 Training is bounded by ``POSITIVES`` labelled and ``UNLABELLED`` other documents (those with
 the smallest hashes of doc_id); features of those rows alone reach the driver.
 
 Edge cases: a null or empty text has features of zero and gets a score like any other; with
 no positive at all every score is 0.5; a doc_id with several labels counts as good only if
-all of them say so; columns other than the id, the text and the labels are never read.
+all of them say so (there alone another label matters); columns other than the id, the text and the labels are never read.
 """
 
 from __future__ import annotations
@@ -133,13 +134,29 @@ def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The largest share of good text that the two samples allow."""
-    model = fitted(positive, unlabelled, 0.5)
-    p, u = np.sort(model.scores(positive)), np.sort(model.scores(unlabelled))
+    """The share of good text: of unlabelled against positive mass above a score, the least.
+
+    Every such ratio is at least that share.  Each half of the texts is scored by a model of
+    the other half.  The cut is chosen by the ratio and its standard error, so that a chance
+    low among few texts doesn't count.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    p, u = [], []
+    for k in (0, 1):
+        model = fitted(positive[1 - k :: 2], unlabelled[1 - k :: 2], 0.5)
+        p.append(model.scores(positive[k::2]))
+        u.append(model.scores(unlabelled[k::2]))
+    p, u = np.sort(np.concatenate(p)), np.sort(np.concatenate(u))
     cuts = np.quantile(p, np.linspace(0.0, 0.9, 91))
     above = lambda x, t: 1 - np.searchsorted(x, t) / len(x)
-    ratios = [(above(u, t) + 1 / np.sqrt(len(u))) / max(above(p, t) - 1 / np.sqrt(len(p)), 1e-9) for t in cuts if above(p, t) > 0.1]
-    return float(np.clip(min(ratios, default=0.5), 0.05, 0.98))
+    best = (np.inf, 0.5)
+    for t in cuts:
+        a, b = above(u, t), above(p, t)
+        if b > 0.1:
+            error = a / b * np.sqrt((1 - b) / (b * len(p)) + (1 - a) / (max(a, 1e-9) * len(u)))
+            best = min(best, (a / b + error, a / b))
+    return float(np.clip(best[1], 0.05, 0.98))
 
 
 def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +170,7 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from labelled positives and all of ``docs`` as unlabelled text."""
     one = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__label"))
-    n_good, n_labelled = one.agg(F.sum((F.col("__label") == 1).cast("bigint")), F.count("*")).first()
+    n_good = one.filter(F.col("__label") == 1).count()
     n_docs = docs.filter(F.col(doc_id).isNotNull()).count()
     if not n_good or not n_docs:
         return None
@@ -172,8 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     p, u = x[kind_of % 2 == 1], x[kind_of >= 2]
     if not len(p) or not len(u):
         return None
-    prior = float(np.clip((n_good + 1) / (n_labelled + 2), 0.02, 0.98)) if n_good < n_labelled else estimated_prior(p, u)
-    return fitted(p, u, prior)
+    return fitted(p, u, estimated_prior(p, u))
 
 
 def _scored(shared):
