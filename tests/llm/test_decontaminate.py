@@ -36,10 +36,19 @@ def test_against_brute_force(spark, docs, texts):
 
 
 def test_blocks_give_the_same(spark, docs, texts):
-    once = [(d, t) for d, t in texts if d != 160]
     bench = spark.createDataFrame(ITEMS + [(7, texts[10][1])], "item_id long, text string")
-    got = D.search(D.build_index(docs.filter("doc_id <> 160")), bench, window=4, block_bytes=40).drop("n_near_items").collect()
-    assert sorted(map(tuple, got)) == expected(once, ITEMS + [(7, texts[10][1])], 4)
+    got = D.search(D.build_index(docs), bench, window=4, block_bytes=40).drop("n_near_items").collect()
+    assert sorted(map(tuple, got)) == expected(texts, ITEMS + [(7, texts[10][1])], 4)
+
+
+def test_items_that_share_windows(spark, docs, texts):
+    """Near copies as test items: each window of each of them counts for its own item."""
+    items = [(k, t) for k, (_, t) in enumerate(texts[20:60])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    phrases = D.Phrases(items, 10)
+    assert len(phrases.starts) == sum(max(1, len(terms(t)) - 9) for _, t in items if terms(t))
+    got = D.search(D.build_index(docs), bench).drop("n_near_items").collect()
+    assert sorted(map(tuple, got)) == expected(texts, items, 10)
 
 
 def test_proximity(spark):

@@ -5,12 +5,13 @@ positional inverted index of some whole documents: its distinct words, and for e
 sorted list of places where it stands.  Segments are rows of a DataFrame, so the index
 can be written, read again and searched for another benchmark later.
 
-``search`` answers phrase and proximity queries on every segment by itself: for each
-window of a test item the posting lists of its words are intersected, offset-adjusted,
-from the rarest word of that segment on.  Documents never leave their segment, so there
-is no shuffle and no skew; the only thing sent around is the test set.  It is measured
-first: up to ``BLOCK_BYTES`` it is broadcast whole, and beyond that it goes in blocks of
-that size, whose findings are merged by segment and row.
+``search`` writes the index down and answers phrase and proximity queries on every segment
+by itself: of the windows of the test items, those whose rarest word is in the segment, the
+posting lists of the words are intersected, offset-adjusted, from the rarest word of that
+segment on.  Documents never leave their segment, so there is no shuffle and no skew; the
+only thing sent around is the test set.  It is measured first: up to ``BLOCK_BYTES`` it is
+broadcast whole, and beyond that it goes in blocks of that size, whose findings are merged
+by segment and row.  Either way the stored index is all that is read again.
 
 Edge cases: null or empty texts (documents or items) have no words, so they neither hit
 nor are hit; items without an id are left out, rows of one item id count as one item;
@@ -35,8 +36,10 @@ from .store import small, table, written
 from .workers import mapped
 
 WINDOW = 10
-#: Words of the test set's texts, in bytes, that are searched for in one pass.
-BLOCK_BYTES = 32 << 20
+#: Test texts, in bytes, that are searched for in one pass: what a task holds of them.
+BLOCK_BYTES = 8 << 20
+#: Windows that are looked at together.
+WINDOWS_AT_ONCE = 1 << 16
 #: Free places between documents, so that no phrase or neighbourhood spans two of them.
 GAP = 64
 #: How far from its place a word may stand in a proximity match.
@@ -76,66 +79,116 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("bigint"), F.col(text)).transform(mapped, _segments, INDEX_SCHEMA)
 
 
+def stored(index: DataFrame) -> DataFrame:
+    """The index in storage: built once, searched as often as there are blocks of test items."""
+    return written(index, "index")
+
+
 class Phrases:
-    """The windows of some test items, as numbers of the words they are made of."""
+    """The windows of some test items: places in their words, which are numbered.
+
+    A window is where it begins among all words of the items; each is filed under its
+    *anchor*, the word of it that is rarest in the items.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set[int]] = {}
+        self.window = window
+        vocabulary: dict[bytes, int] = {}
+        parts, owner = [], []
         for item, text in items:
             if item is None or not text:
                 continue
-            w = W.split(W.Text(0, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])), W.ALNUM_WORD, lower=True)
-            numbers = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w.arrow().to_pylist()]
-            for k in range(max(1, len(numbers) - window + 1) if numbers else 0):
-                rows.setdefault(tuple(numbers[k : k + window]), set()).add(item)
-        self.items = [sorted(x) for x in rows.values()]
-        self.lengths = np.array([len(x) for x in rows], np.int64)
-        self.terms = np.full((len(rows), window), -1, np.int64)
-        for k, x in enumerate(rows):
-            self.terms[k, : len(x)] = x
-
-
-def _intersected(phrases: Phrases, numbers: np.ndarray, posting_ends: np.ndarray, positions: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+            raw = text.encode()
+            w = W.split(W.Text(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), W.ALNUM_WORD, lower=True)
+            if len(w):
+                parts.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w.arrow().to_pylist()], np.int32))
+                owner.append(item)
+        self.vocabulary = pa.array(list(vocabulary), pa.binary())
+        sizes = np.array([len(p) for p in parts], np.int64)
+        #: The words of all items back to back, and a row of none behind them.
+        self.words = np.concatenate([*parts, np.full(window, -1, np.int32)]) if parts else np.zeros(0, np.int32)
+        counts = np.maximum(sizes - window + 1, 1) if parts else sizes
+        begins = np.cumsum(sizes) - sizes
+        self.starts = W.ranges(begins, counts)
+        self.lengths = np.repeat(np.minimum(sizes, window), counts)
+        self.items = np.repeat(np.array(owner, np.int64), counts)
+        self.anchors, self.anchor_ends = np.zeros(0, np.int64), np.zeros(len(vocabulary), np.int64)
+        if parts:
+            seen = np.append(np.bincount(self.words[self.words >= 0], minlength=len(vocabulary)), np.iinfo(np.int64).max)
+            rarest, anchor = np.full(len(self.starts), np.iinfo(np.int64).max), np.zeros(len(self.starts), np.int64)
+            for k in range(window):
+                word = np.where(k < self.lengths, self.words[self.starts + k], -1)
+                less = seen[word] < rarest
+                rarest, anchor = np.where(less, seen[word], rarest), np.where(less, word, anchor)
+            self.anchors = np.argsort(anchor, kind="stable")
+            self.anchor_ends = np.cumsum(np.bincount(anchor, minlength=len(vocabulary)))
+
+    def filed(self, words: np.ndarray) -> np.ndarray:
+        """The windows whose anchors are among the given words."""
+        begins = np.concatenate(([0], self.anchor_ends[:-1])) if len(self.anchor_ends) else self.anchor_ends
+        return self.anchors[W.ranges(begins[words], self.anchor_ends[words] - begins[words])]
+
+
+class Lists:
+    """The posting lists of a segment, one behind the other: sorted by term and place."""
+
+    #: More than any place of a segment.
+    FAR = 1 << 40
+
+    def __init__(self, ends: np.ndarray, positions: np.ndarray):
+        self.ends, self.positions = ends.astype(np.int64), positions
+        self.begins = np.concatenate(([0], self.ends[:-1])) if len(ends) else self.ends
+        self.sizes = self.ends - self.begins
+        self.keys = np.repeat(np.arange(len(ends), dtype=np.int64) * self.FAR, self.sizes) + positions
+
+    def near(self, term: np.ndarray, place: np.ndarray, slop: int) -> np.ndarray:
+        """Whether the term's list has a place that is at most ``slop`` off."""
+        low = term * self.FAR + np.maximum(place - slop, 0)
+        k = np.searchsorted(self.keys, low)
+        return (place + slop >= 0) & (self.keys[np.minimum(k, len(self.keys) - 1)] <= term * self.FAR + place + slop) & (k < len(self.keys))
+
+
+def _intersected(phrases: Phrases, numbers: np.ndarray, lists: Lists, slop: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows, and the places where they start, by intersecting offset-adjusted lists.
 
-    ``numbers``: the segment's term for each word of the test vocabulary, or -1.
-    With ``slop``, each word may stand so far from where the rarest one expects it.
+    ``numbers``: the segment's term for each word of the test vocabulary, or -1.  Only
+    windows whose anchor is in the segment are looked at, and of these only the ones whose
+    words all are; the list of the word that is rarest in the segment gives the places, and
+    the other words' lists, from rare to frequent, thin them out.  With ``slop``, each word
+    may stand so far from where the rarest one expects it.
     """
-    begins = np.concatenate(([0], posting_ends[:-1])).astype(np.int64)
-    there = np.where(numbers >= 0, (posting_ends - begins)[numbers], 0) if len(posting_ends) else np.zeros(len(numbers), np.int64)
-    used = phrases.terms >= 0
-    size = np.where(used, there[phrases.terms], np.iinfo(np.int64).max)
-    live = np.flatnonzero((size > 0).all(axis=1))
-    if not len(live):
-        return live, live
-    order = np.argsort(size[live], axis=1, kind="stable")  # rarest first
-    rarest = order[:, 0]
-    pivot = numbers[phrases.terms[live, rarest]]
-    counts = (posting_ends.astype(np.int64) - begins)[pivot]
-    which = np.repeat(np.arange(len(live)), counts)
-    start = positions[W.ranges(begins[pivot], counts)].astype(np.int64) - rarest[which]
-    # Each place holds one word, so all the lists fit one table from place to word.
-    known = np.flatnonzero(numbers >= 0)
-    sizes = (posting_ends.astype(np.int64) - begins)[numbers[known]]
-    at = np.full(int(positions.max()) + 1 + 2 * GAP, -1, np.int64)
-    at[positions[W.ranges(begins[numbers[known]], sizes)] + GAP] = np.repeat(known, sizes)
-    for rank in range(1, phrases.terms.shape[1]):
-        k = order[which, rank]
-        term = phrases.terms[live[which], k]
-        place = start + k + GAP
-        ok = term < 0
-        for d in range(-slop, slop + 1):
-            ok |= at[np.clip(place + d, 0, len(at) - 1)] == term
-        which, start = which[ok], start[ok]
-        if not len(which):
-            break
-    return live[which], start
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    candidates = phrases.filed(np.flatnonzero(numbers >= 0))
+    for at in range(0, len(candidates), WINDOWS_AT_ONCE):
+        live = candidates[at : at + WINDOWS_AT_ONCE]
+        place = np.arange(phrases.window)
+        inside = place < phrases.lengths[live, None]
+        words = np.where(inside, phrases.words[phrases.starts[live, None] + place], -1)
+        terms = np.where(words >= 0, numbers[words], -1)
+        whole = ((terms >= 0) | ~inside).all(axis=1)
+        live, terms = live[whole], terms[whole]
+        if not len(live):
+            continue
+        size = np.where(terms >= 0, lists.sizes[terms], np.iinfo(np.int64).max)
+        order = np.argsort(size, axis=1, kind="stable")  # rarest first
+        rarest = order[:, 0]
+        pivot = terms[np.arange(len(live)), rarest]
+        counts = lists.sizes[pivot]
+        which = np.repeat(np.arange(len(live)), counts)
+        start = lists.positions[W.ranges(lists.begins[pivot], counts)].astype(np.int64) - rarest[which]
+        for rank in range(1, phrases.window):
+            k = order[which, rank]
+            term = terms[which, k]
+            ok = (term < 0) | lists.near(np.maximum(term, 0), start + k, slop)
+            which, start = which[ok], start[ok]
+            if not len(which):
+                break
+        found.append((live[which], start))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _found(index: Iterable[pa.RecordBatch], phrases: Phrases, slop: int) -> Iterator[tuple]:
     """For each segment: its id, and ids, words, row bases, (window, start) of phrases, and of near ones."""
-    vocabulary = pa.array(list(phrases.vocabulary), pa.binary())
     for batch in index:
         for k in range(batch.num_rows):
             ids, counts = batch.column(0)[k].values, batch.column(1)[k].values.to_numpy()
@@ -144,13 +197,14 @@ def _found(index: Iterable[pa.RecordBatch], phrases: Phrases, slop: int) -> Iter
             base = np.concatenate(([0], np.cumsum(counts)[:-1])) + np.arange(len(counts)) * GAP if len(counts) else np.zeros(0, np.int64)
             none = np.zeros(0, np.int64)
             exact, near = (none, none), (none, none)
-            if len(positions) and len(phrases.lengths):
-                own = pc.index_in(batch.column(2)[k].values, value_set=vocabulary).to_numpy(zero_copy_only=False)
-                numbers = np.full(len(vocabulary), -1, np.int64)
+            if len(positions) and len(phrases.starts):
+                own = pc.index_in(batch.column(2)[k].values, value_set=phrases.vocabulary).to_numpy(zero_copy_only=False)
+                numbers = np.full(len(phrases.vocabulary), -1, np.int64)
                 has = np.flatnonzero(~np.isnan(own))
                 numbers[own[has].astype(np.int64)] = has
-                exact = _intersected(phrases, numbers, ends, positions, 0)
-                near = _intersected(phrases, numbers, ends, positions, slop) if slop else exact
+                lists = Lists(ends, positions)
+                exact = _intersected(phrases, numbers, lists, 0)
+                near = _intersected(phrases, numbers, lists, slop) if slop else exact
             yield batch.column(5)[k].as_py(), ids, counts, base, exact, near
 
 
@@ -168,8 +222,8 @@ def _marked(lengths: np.ndarray, base: np.ndarray, counts: np.ndarray, start: np
 def _items_by_row(phrases: Phrases, base: np.ndarray, window: np.ndarray, start: np.ndarray) -> dict[int, set[int]]:
     out: dict[int, set[int]] = {}
     row = np.searchsorted(base, start, side="right") - 1
-    for r, w in set(zip(row.tolist(), window.tolist(), strict=True)):
-        out.setdefault(r, set()).update(phrases.items[w])
+    for r, item in set(zip(row.tolist(), phrases.items[window].tolist(), strict=True)):
+        out.setdefault(r, set()).add(item)
     return out
 
 
@@ -205,6 +259,7 @@ def matches(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", tex
     """Every phrase match, and every proximity match that is no phrase match, as a row."""
     assert 0 <= slop + window <= GAP
     parts = []
+    index = stored(index)
     for block in _blocks(items, item_id, text, block_bytes):
         shared = index.sparkSession.sparkContext.broadcast(Phrases(block, window))
 
@@ -216,8 +271,9 @@ def matches(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", tex
                 seen = {(w, s, "phrase") for w, s in done} | {(w, s, "proximity") for w, s in zip(near[0].tolist(), near[1].tolist(), strict=True) if (w, s) not in done}
                 for w, s, kind in sorted(seen):
                     r = int(np.searchsorted(base, s + slop * (kind == "proximity"), side="right")) - 1
-                    rows += [(ids[r].as_py(), i, s - int(base[r]), int(phrases.lengths[w]), kind) for i in phrases.items[w]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "item_id", "doc_start", "length", "kind"])
+                    rows.append((ids[r].as_py(), int(phrases.items[w]), s - int(base[r]), int(phrases.lengths[w]), kind))
+                cols = list(zip(*sorted(set(rows), key=str), strict=True)) or [[]] * 5  # an item can have a window twice
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "item_id", "doc_start", "length", "kind"])
 
         parts.append(index.transform(mapped, run, MATCH_SCHEMA))
     out = parts[0]
@@ -235,6 +291,7 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
     """
     assert 0 <= slop + window <= GAP
     sc = index.sparkSession.sparkContext
+    index = stored(index)
     blocks = list(_shared_blocks(sc, items, item_id, text, window, block_bytes))
     if len(blocks) == 1:
         shared = blocks[0]
@@ -262,7 +319,6 @@ def search(index: DataFrame, items: DataFrame, *, item_id: str = "item_id", text
 
         return run
 
-    index = written(index, "index")  # so that segments keep their ids from block to block
     found = None
     for k, shared in enumerate(blocks):
         part = index.transform(mapped, partial(shared, k == 0), FOUND_SCHEMA)

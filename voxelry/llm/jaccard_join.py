@@ -76,7 +76,8 @@ def _counted(gram: int):
             for text in W.chunks(batch.column(0)):
                 all_ = [s for s in _sets(text, gram) if len(s)]
                 if all_:
-                    counts += np.bincount((np.concatenate(all_) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    at, n = np.unique((np.concatenate(all_) % np.uint64(COUNTERS)).astype(np.int32), return_counts=True)
+                    counts[at] += n.astype(np.uint32)
         press = zstandard.ZstdCompressor(level=1)
         for k in range(0, COUNTERS, SLICE):
             own = counts[k : k + SLICE]

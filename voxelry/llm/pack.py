@@ -40,7 +40,9 @@ LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a Python worker remembers between batches (about 150 bytes each).
-CACHED = 250_000
+CACHED = 120_000
+#: Text bytes that are tokenised at once.
+TOKENISED = 1 << 19
 
 TOKENS_SCHEMA = "doc_id bigint, ids binary, n_tokens bigint, part bigint, local_start bigint"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -144,7 +146,7 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
         part, sent = TaskContext.get().partitionId(), 0
         encode = encoder(path)
         for batch in batches:
-            for some in W.chunks(batch.column(1)):
+            for some in W.chunks(batch.column(1), TOKENISED):
                 ids, counts = encode.ids(some)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 if end_id is not None:

@@ -167,10 +167,15 @@ def word_hashes(words: Words) -> np.ndarray:
     a, b = words.offsets[:-1], words.offsets[1:]
     out = mixed((sums[b] - sums[a]) * _grown["q"][a] + (b - a).astype(np.uint64))
     if len(_grown["p"]) > 4 * CHUNK_BYTES:  # one very long document: don't keep its tables
-        _grown["p"], _grown["q"] = _powers(_BASE, 1), _powers(_INVERSE, 1)
+        forget()
     return out
 
 
+def forget() -> None:
+    """Drops the tables of powers, which grow with the text that is worked on at once."""
+    _grown["p"], _grown["q"] = _powers(_BASE, 1), _powers(_INVERSE, 1)
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive words, given the words' hashes."""
     count = len(hashes) - n + 1

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import words as W
+
 #: Bytes of one Arrow batch between Spark and Python: each task holds a few of them.
 BATCH_BYTES = 6 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -27,6 +29,7 @@ def _tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
+            W.forget()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
