@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import Vec, rounded
-from .operators import adf, circuit, coordinates, distance, edits, fields, geometry, particles, sampling, scenario, sdf, skinning, walk
+from .operators import adf, circuit, coordinates, distance, edits, fields, geometry, particles, runs, sampling, scenario, sdf, skinning, walk
 from .plans import rules
 from .sources import surfaces
 
@@ -520,40 +520,97 @@ def _(spark, d):
     return told(scenario.region_extents(_body(spark)[0]), "region", "n", "fraction", "ap_min", "ap_max", "mean_lateral")
 
 
-@query("A28_J32_cut_conductance")
+# Edges between nodes that are so many numbers apart.
+_RING = "SELECT i AS f, (i + CASE WHEN t = 1 THEN 9 ELSE 13 END) % 261 AS g, t AS tier FROM range(261) a(i), range(1, 3) b(t)"
+
+
+def _ring(spark: SparkSession) -> DataFrame:
+    i, t = F.floor(F.col("id") / 2), F.col("id") % 2 + 1
+    return spark.range(522).select(i.alias("from_node"), ((i + F.when(t == 1, 9).otherwise(13)) % 261).alias("to_node"), t.alias("tier"))
+
+
+@query("A28_J32_cut_conductance", f"WITH {_REGION}, e AS ({_RING}) SELECT round(avg((CASE WHEN tier = 1 THEN 0.12 ELSE 0.03 END)*0.08),6)+0.0 AS average, count(*) AS edges FROM e JOIN rg a ON a.node_idx = f JOIN rg b ON b.node_idx = g WHERE (a.nz < 0.16) <> (b.nz < 0.16)")
+def _(spark, d):
+    mapped, _ = _body(spark)
+    return told(scenario.cut_conductance(scenario.scenario_edges(_ring(spark), mapped, "gap_block"), mapped, scenario.CUT), "average", "edges")
+
+
+_V = "CASE region WHEN 1 THEN -0.28 WHEN 2 THEN -0.14 WHEN 3 THEN 0.0 WHEN 4 THEN 0.14 ELSE 0.28 END"
+
+
+@query("T22_F44_F46_initial_circuits", f"WITH {_REGION}, s AS (SELECT unnest({list(scenario.SCENARIOS)!r}) AS scenario), v AS (SELECT *, {_V} AS v FROM rg, s) SELECT scenario, node_idx, round(v,6)+0.0 AS voltage, CASE WHEN scenario <> 'transient_no_memory_control' THEN 0.0 END::DOUBLE AS memory, round(least(greatest(0.5+1.5*v,0),1),6)+0.0 AS readout, round(least(greatest(0.5-1.5*v,0),1),6)+0.0 AS tail FROM v")
+def _(spark, d):
+    mapped, _ = _body(spark)
+    return told(_stacked(lambda k: scenario.initial_state(mapped, k)), "scenario", "node_idx", "voltage", "memory", "readout", "tail")
+
+
+@query("T22_N118_scenario_terms", f"WITH {_REGION}, s AS (SELECT unnest({list(scenario.SCENARIOS)!r}) AS scenario) SELECT scenario, 'leak' AS kind, 1::BIGINT AS n, 0.05::DOUBLE AS p1, 0::BIGINT AS start_step FROM s UNION ALL SELECT scenario, 'pump', 261, 1.15, 0 FROM s UNION ALL SELECT 'transverse_cut_wound', 'constant', count(*), 1.65, 0 FROM rg WHERE nz BETWEEN 0.05 AND 0.27 UNION ALL SELECT scenario, 'constant', count(*), 2.75, 2 FROM rg, s WHERE region <= 2 AND starts_with(scenario, 'transient') GROUP BY scenario")
+def _(spark, d):
+    mapped, _ = _body(spark)
+    return told(_stacked(lambda k: scenario.scenario_terms(mapped, k)).groupBy("scenario", "kind").agg(F.count("*").alias("n"), F.max("p1").alias("p1"), F.max("start_step").alias("start_step")), "scenario", "kind", "n", "p1", "start_step")
+
+
+def _stacked(make) -> DataFrame:
+    out = None
+    for k in scenario.SCENARIOS:
+        one = make(k).withColumn("scenario", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _runs(spark: SparkSession, steps: int = 150, stride: int = 15) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames of all scenarios, the axis map, and the edges."""
+    mapped, tiers = _body(spark)
+    number = lambda df: df.withColumn("circuit_id", sum((F.when(F.col("scenario") == k, n).otherwise(0) for n, k in enumerate(scenario.SCENARIOS)), F.lit(0)).cast("bigint"))
+    nodes, edges, terms = (number(_stacked(f)) for f in (lambda k: scenario.initial_state(mapped, k), lambda k: scenario.scenario_edges(tiers, mapped, k), lambda k: scenario.scenario_terms(mapped, k)))
+    frames = runs.run(nodes, edges, terms, steps, stride, circuit.Gate(*scenario.GATE), circuit.Memory(*scenario.MEMORY))
+    return frames.withColumn("scenario", _scenario_of(F.col("circuit_id"))), mapped, edges
+
+
+def _scenario_of(code):
+    return F.element_at(F.array(*[F.lit(k) for k in scenario.SCENARIOS]), (code + 1).cast("int"))
+
+
+@query("T23_A31_A32_trace_set")
+def _(spark, d):
+    frames, mapped, edges = _runs(spark)
+    return told(scenario.trace_set(frames, mapped, edges), "scenario", "step", "posterior_memory", "posterior_head", "head_at_head", "tail_at_tail", "cut_voltage", "cut_conductance")
+
+
+@query("W04_W05_fixed_runs", "WITH n AS (SELECT user_id AS circuit_id, event_id AS node_idx, value / 1000.0::DOUBLE AS v FROM events WHERE event_id < 1000 AND value IS NOT NULL), s AS (SELECT i AS step FROM range(0, 61) t(i) WHERE i % 25 = 0 OR i = 60) SELECT circuit_id, step, node_idx, round(greatest(least(v * pow(1 - 0.16::DOUBLE / 30, step), 1), -1), 6) + 0.0 AS voltage FROM n, s")
 def _(spark, d):
-    mapped, edges = _body(spark)
-    return told(scenario.cut_conductance(scenario.scenario_edges(edges, mapped, "gap_block", 0.16), mapped, 0.16), "average", "edges")
+    e = spark.read.parquet(f"{d}/events.parquet").filter("event_id < 1000 and value is not null")
+    nodes = e.select(F.col("user_id").alias("circuit_id"), F.col("event_id").alias("node_idx"), (F.col("value") / 1000).alias("voltage"), F.lit(None).cast("double").alias("memory"))
+    edges = e.limit(0).select(F.col("user_id").alias("circuit_id"), F.lit(0).alias("from_node"), F.lit(0).alias("to_node"), F.lit(0.0).alias("base"))
+    leak = nodes.select("circuit_id").distinct().select("circuit_id", F.lit("leak").alias("kind"), F.lit(0.16).alias("p1"), F.lit(0.0).alias("p2"), F.lit(None).cast("double").alias("p3"), F.lit(None).cast("double").alias("p4"), F.lit(None).cast("bigint").alias("node_idx"), F.lit(0).alias("start_step"), F.lit(None).cast("int").alias("duration"))
+    return told(runs.run(nodes, edges, leak, 60, 25), "circuit_id", "step", "node_idx", "voltage")
+
+
+# Frames that nothing has run, to measure.
+_FRAMES = f"{_REGION}, fm AS (SELECT s AS step, rg.*, (node_idx * (s + 3) % 17) / 10.0::DOUBLE - 0.8 AS voltage, (node_idx * (s + 1) % 11) / 10.0::DOUBLE AS memory, (node_idx * (s + 5) % 13) / 12.0::DOUBLE AS head, (node_idx * (s + 2) % 7) / 6.0::DOUBLE AS tail FROM rg, range(6) t(s))"
 
 
-def _frames(spark: SparkSession, name: str, steps: int = 2) -> tuple[DataFrame, DataFrame]:
-    mapped, edges = _body(spark)
-    state, links, terms = scenario.initial_state(mapped, name), scenario.scenario_edges(edges, mapped, name, 0.16), scenario.scenario_terms(mapped, name, 0.05, 0.27)
-    gate = circuit.Gate("difference", 0.12, 0.035, 0.35, 1.45)
-    readout = circuit.Readout(1.5, 0.7, 0.5, 2.0, 0.0, 1.0)
-    memory = None if name == "control" else circuit.Memory(0.25, -0.95, 4.0, 0.04)
-    out = state.withColumn("step", F.lit(0))
-    for k in range(steps):
-        state, links = circuit.step(state, links, terms, k, gate, memory, readout)
-        state = state.select("node_idx", "voltage", "memory", "readout")
-        out = out.unionByName(state.withColumn("step", F.lit(k + 1)))
-    return out, mapped
+def _made_frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    mapped, _ = _body(spark)
+    i, s = F.col("node_idx"), F.col("step")
+    of = lambda k, m, d, o=0.0: (i * (s + k) % m) / d - o
+    frames = mapped.select("node_idx", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"))
+    return frames.select("step", "node_idx", of(3, 17, 10, 0.8).alias("voltage"), of(1, 11, 10).alias("memory"), of(5, 13, 12).alias("head"), of(2, 7, 6).alias("tail")), mapped
 
 
-@query("T22_T23_A27_A31_scenario_trace")
+@query("A27_A29_outcome_samples", f"WITH {_FRAMES} SELECT step::BIGINT AS step, round(avg(memory) FILTER (region <= 2),6)+0.0 AS posterior_memory, round(avg(head) FILTER (region <= 2),6)+0.0 AS posterior_head, round(avg(head) FILTER (region = 5),6)+0.0 AS head_at_head, round(avg(tail) FILTER (region = 1),6)+0.0 AS tail_at_tail, round(avg(voltage) FILTER (nz BETWEEN 0.05 AND 0.27),6)+0.0 AS cut_voltage FROM fm GROUP BY step")
 def _(spark, d):
-    frames, mapped = _frames(spark, "transient_memory")
-    return told(scenario.outcome_samples(frames, mapped), "step", "head_voltage", "tail_voltage", "posterior_memory", "head_readout", "tail_readout")
+    return told(scenario.outcome_samples(*_made_frames(spark)), "step", "posterior_memory", "posterior_head", "head_at_head", "tail_at_tail", "cut_voltage")
 
 
-@query("A30_head_extent")
+@query("A30_head_extent", f"WITH {_FRAMES} SELECT round(avg((head >= 0.5)::INT),6)+0.0 AS head_extent FROM fm WHERE step = 5")
 def _(spark, d):
-    return told(scenario.head_extent(_frames(spark, "wound", 1)[0]), "head_extent")
+    return told(scenario.head_extent(_made_frames(spark)[0].withColumnRenamed("head", "readout")), "head_extent")
 
 
-@query("A37_node_activity")
+@query("A37_node_activity", f"WITH {_FRAMES}, c AS (SELECT node_idx, abs(voltage - lag(voltage) OVER (PARTITION BY node_idx ORDER BY step)) AS c FROM fm), m AS (SELECT node_idx, max(c) AS c FROM c GROUP BY node_idx) SELECT node_idx, round(c / (SELECT max(c) FROM m),6)+0.0 AS activity FROM m")
 def _(spark, d):
-    return told(scenario.node_activity(_frames(spark, "wound", 1)[0]), "node_idx", "activity")
+    return told(scenario.node_activity(_made_frames(spark)[0]), "node_idx", "activity")
 
 
 @query("W04_W05_emitted_steps", "SELECT i AS step FROM range(0, 181) t(i) WHERE i % 25 = 0 OR i = 180")

@@ -120,7 +120,7 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", runtime.markers(runtime.named(F.col("event_id") % 5, runtime.SOURCES)).alias("marker"))
 
 
-@query("F47_codes", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'control' WHEN 1 THEN 'wound' WHEN 2 THEN 'gap_block' WHEN 3 THEN 'transient' WHEN 4 THEN 'transient_memory' END AS scenario, CASE event_id % 8 WHEN 1 THEN 'tail' WHEN 2 THEN 'postpharyngeal' WHEN 3 THEN 'pharyngeal' WHEN 4 THEN 'prepharyngeal' WHEN 5 THEN 'head' END AS region FROM events")
+@query("F47_codes", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'baseline' WHEN 1 THEN 'transverse_cut_wound' WHEN 2 THEN 'gap_block' WHEN 3 THEN 'transient_memory' WHEN 4 THEN 'transient_no_memory_control' END AS scenario, CASE event_id % 8 WHEN 1 THEN 'tail' WHEN 2 THEN 'postpharyngeal' WHEN 3 THEN 'pharyngeal' WHEN 4 THEN 'prepharyngeal' WHEN 5 THEN 'head' END AS region FROM events")
 def _(spark, d):
     from .operators import scenario
 

@@ -11,7 +11,7 @@ from ..functions.vectors import clamp
 REGIONS = ("tail", "postpharyngeal", "pharyngeal", "prepharyngeal", "head")
 THRESHOLDS = (-0.62, -0.18, 0.24, 0.66)
 TARGETS = (-0.28, -0.14, 0.0, 0.14, 0.28)
-SCENARIOS = ("control", "wound", "gap_block", "transient", "transient_memory")
+SCENARIOS = ("baseline", "transverse_cut_wound", "gap_block", "transient_memory", "transient_no_memory_control")
 
 
 def region_code(z: Column) -> Column:
@@ -69,46 +69,73 @@ def cut_conductance(edges: DataFrame, mapped: DataFrame, cut: float) -> DataFram
     return both.agg(F.avg("base").alias("average"), F.count("*").alias("edges")).filter("edges > 0")
 
 
+# Fixed values of the scenarios' circuits.
+CUT, CUT_HALF_WIDTH = 0.16, 0.11
+LEAK, PUMP = 0.05, 1.15
+WOUND, WOUND_STEPS = 1.65, 36
+TRANSIENT, TRANSIENT_START, TRANSIENT_STEPS = 2.75, 2, 30
+TIER_1, TIER_2, GAP_BLOCK = 0.12, 0.03, 0.08
+HEAD_WEIGHT, READOUT_BIAS = 1.5, 0.5
+GATE = ("difference", 0.12, 0.035, 0.35, 1.45)
+MEMORY = (0.25, -0.95, 4.0, 0.04)
+
+
 def initial_state(mapped: DataFrame, scenario: str) -> DataFrame:
-    """Voltages of the regions' targets, memory unless it is the control."""
+    """Voltages of the regions' targets, both readouts, and memory unless the
+    scenario is the control without it."""
     v = target_voltage(F.col("region"))
-    memory = F.lit(None).cast("double") if scenario == "control" else F.lit(0.0)
-    return mapped.select("node_idx", v.alias("voltage"), memory.alias("memory"), clamp(0.5 + 1.5 * v, 0, 1).alias("readout"))
+    memory = F.lit(None).cast("double") if scenario == "transient_no_memory_control" else F.lit(0.0)
+    readout = lambda sign: clamp(READOUT_BIAS + sign * HEAD_WEIGHT * v, 0, 1)
+    return mapped.select("node_idx", v.alias("voltage"), memory.alias("memory"), readout(1).alias("readout"), readout(-1).alias("tail"))
 
 
-def scenario_terms(mapped: DataFrame, scenario: str, cut_low: float, cut_high: float) -> DataFrame:
-    """Leak and pumps, the wound, and the transient of a scenario."""
+def scenario_terms(mapped: DataFrame, scenario: str, cut_low: float = CUT - CUT_HALF_WIDTH, cut_high: float = CUT + CUT_HALF_WIDTH) -> DataFrame:
+    """A leak, each node's pump, and the wound or the transient of a scenario."""
     none = F.lit(None)
 
     def rows(nodes: DataFrame, kind: str, p1: Column, p2: Column, start: int = 0, duration: int | None = None) -> DataFrame:
         return nodes.select(F.lit(kind).alias("kind"), p1.cast("double").alias("p1"), p2.cast("double").alias("p2"), none.cast("double").alias("p3"), none.cast("double").alias("p4"), F.col("node_idx").cast("bigint"), F.lit(start).alias("start_step"), F.lit(duration).cast("int").alias("duration"))
 
-    out = rows(mapped, "leak", F.lit(0.05), F.lit(0.0)).union(rows(mapped, "pump", F.lit(1.15), target_voltage(F.col("region"))))
-    if scenario != "control":
-        out = out.union(rows(in_band(mapped, cut_low, cut_high), "constant", F.lit(1.65), F.lit(0.0), 0, 36))
+    leak = rows(mapped.sparkSession.range(1).select(none.cast("bigint").alias("node_idx")), "leak", F.lit(LEAK), F.lit(0.0))
+    out = leak.union(rows(mapped, "pump", F.lit(PUMP), target_voltage(F.col("region"))))
+    if scenario == "transverse_cut_wound":
+        out = out.union(rows(in_band(mapped, cut_low, cut_high), "constant", F.lit(WOUND), F.lit(0.0), 0, WOUND_STEPS))
     if scenario.startswith("transient"):
-        out = out.union(rows(mapped.filter("region in (1, 2)"), "constant", F.lit(2.75), F.lit(0.0), 2, 30))
+        out = out.union(rows(mapped.filter("region in (1, 2)"), "constant", F.lit(TRANSIENT), F.lit(0.0), TRANSIENT_START, TRANSIENT_STEPS))
     return out
 
 
-def scenario_edges(edges: DataFrame, mapped: DataFrame, scenario: str, cut: float) -> DataFrame:
+def scenario_edges(edges: DataFrame, mapped: DataFrame, scenario: str, cut: float = CUT) -> DataFrame:
     """Conductances by tier; under the gap block those across the cut are nearly closed."""
     a, b = (mapped.select(F.col("node_idx").alias(k), F.col("nz").alias(f"z_{k}")) for k in ("from_node", "to_node"))
-    g = F.when(F.col("tier") == 1, 0.12).otherwise(0.03)
+    g = F.when(F.col("tier") == 1, TIER_1).otherwise(TIER_2)
     if scenario == "gap_block":
-        g = g * F.when(crosses_cut(F.col("z_from_node"), F.col("z_to_node"), cut), 0.08).otherwise(1.0)
+        g = g * F.when(crosses_cut(F.col("z_from_node"), F.col("z_to_node"), cut), GAP_BLOCK).otherwise(1.0)
     key = F.xxhash64("from_node", "tier", "to_node")
     return edges.join(a, "from_node").join(b, "to_node").select(key.alias("edge_idx"), "from_node", "to_node", "tier", g.alias("base"), g.alias("conductance"))
 
 
-def outcome_samples(frames: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Per step the mean voltage, memory and readout at both ends of the body, 0 where none.
+def outcome_samples(frames: DataFrame, mapped: DataFrame, *keys: str) -> DataFrame:
+    """Of each frame the means that are compared between scenarios, 0 where none.
 
-    frames(step, node_idx, voltage, memory, readout)
+    frames(keys, step, node_idx, voltage, memory, head, tail): memory and head readout of the
+    posterior, each readout at its own end, and the voltage about the cut.
     """
-    both = frames.join(mapped.select("node_idx", "region"), "node_idx")
-    mean = lambda k, regions: F.coalesce(F.avg(F.when(F.col("region").isin(*regions), F.col(k))), F.lit(0.0))
-    return both.groupBy("step").agg(mean("voltage", (5,)).alias("head_voltage"), mean("voltage", (1,)).alias("tail_voltage"), mean("memory", (1, 2)).alias("posterior_memory"), mean("readout", (5,)).alias("head_readout"), mean("readout", (1,)).alias("tail_readout"))
+    both = frames.join(mapped.select("node_idx", "region", "nz"), "node_idx")
+    mean = lambda k, where: F.coalesce(F.avg(F.when(where, F.col(k))), F.lit(0.0))
+    region = F.col("region")
+    posterior, band = region.isin(1, 2), F.col("nz").between(CUT - CUT_HALF_WIDTH, CUT + CUT_HALF_WIDTH)
+    return both.groupBy(*keys, "step").agg(mean("memory", posterior).alias("posterior_memory"), mean("head", posterior).alias("posterior_head"), mean("head", region == 5).alias("head_at_head"), mean("tail", region == 1).alias("tail_at_tail"), mean("voltage", band).alias("cut_voltage"))
+
+
+def trace_set(frames: DataFrame, mapped: DataFrame, edges: DataFrame) -> DataFrame:
+    """The samples of every scenario, with the mean conductance across its cut.
+
+    frames(scenario, step, ...), edges(scenario, from_node, to_node, base)
+    """
+    a, b = (mapped.select(F.col("node_idx").alias(k), F.col("nz").alias(f"z_{k}")) for k in ("from_node", "to_node"))
+    across = edges.join(a, "from_node").join(b, "to_node").filter(crosses_cut(F.col("z_from_node"), F.col("z_to_node"), CUT))
+    return outcome_samples(frames, mapped, "scenario").join(across.groupBy("scenario").agg(F.avg("base").alias("cut_conductance")), "scenario")
 
 
 def head_extent(frames: DataFrame) -> DataFrame:
