@@ -160,3 +160,26 @@ def test_displacement_stays_in_the_ellipsoid(spark):
     for r in moved.collect():
         n = math.sqrt(0.25 + 0.0625 + 1)
         assert close(math.dist((r.x, r.y, r.z), (r.ax, r.ay, r.az)), math.sqrt((0.5 * 0.02) ** 2 + (0.25 * 0.03) ** 2 + 0.04**2) / n)
+
+
+def test_neighbors_by_cells_equal_all_pairs(spark, monkeypatch):
+    """Also with points far outside, places shared by many, and fewer points than neighbours."""
+    import random
+
+    r = random.Random(3)
+    rows = [(k, *(r.choice([r.random(), 0.5]) for _ in range(3))) for k in range(300)] + [(300 + k, 40.0 + k, -30.0, 9.0) for k in range(5)]
+    make = lambda x: spark.createDataFrame(x, "idx long, x double, y double, z double")
+    for a, b, k, same in ((make(rows), make(rows), 5, True), (make(rows), make(rows[:40]), 3, False), (make(rows[:20]), make(rows[:4]), 9, True), (make(rows[:20]), make([(k, 1.0, 1.0, 1.0) for k in range(9)]), 2, False)):
+        told = lambda: sorted((x.a_idx, x.rank, x.b_idx) for x in sampling.nearest(a, b, k, same=same).collect())  # noqa: B023, E731
+        want = told()
+        with monkeypatch.context() as m:
+            m.setattr(sampling, "FEW_POINTS", 0)
+            assert told() == want
+
+
+def test_far_points_look_only_at_near_boxes(spark):
+    surface = surfaces.wavy_grid(spark, 12)
+    points = spark.createDataFrame([(k, 30.0 * math.cos(k), 20.0 * math.sin(k), k - 5.0) for k in range(10)], "point_idx long, x double, y double, z double")
+    a = {r.point_idx: (r.distance, r.tests) for r in distance.closest_surface(points, surface).collect()}
+    b = {r.point_idx: (r.distance, r.tests) for r in distance.closest_surface(points, surface, cell=0.1).collect()}
+    assert all(close(a[k][0], b[k][0], 1e-9) and b[k][1] < a[k][1] for k in a)

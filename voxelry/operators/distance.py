@@ -5,21 +5,22 @@ for surfaces of up to ``FEW`` triangles, which are broadcast.  Beyond, triangles
 under the cells of a grid that their boxes touch, and points look in rings of cells about
 their own: all that lies within r cells of a point is at most so far away, so a distance
 found that is no greater than r cells is final.  Only points without one go on to the next
-ring, twice as wide.
+ring, twice as wide, and those beyond the last ring look only at boxes of triangles that can
+hold the closest one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Named, Vec, with_closest_on_triangle
+from ..functions.vectors import Named, Vec, box_distance_squared, with_closest_on_triangle
 from ..plans.lineage import cut
 from ..sources.surfaces import Surface
 from .geometry import corners, normal
 
 FEW = 4096
-RINGS = 6
+RINGS = 3
 
 P, Q = Named("p"), Named("q")
 
@@ -79,9 +80,24 @@ def _bucketed(p: DataFrame, triangles: DataFrame, cell: float, keys: list[str])
         if rest.isEmpty():
             return _told(out)
         r *= 2
-    # The few points farther out than that: every triangle.
-    far = _exact(rest.join(triangles)).groupBy(*keys).agg(_best(), F.count("*").alias("tests"))
-    return _told(out.unionByName(far))
+    return _told(out.unionByName(_far(rest, triangles, keys)))
+
+
+def _far(rest: DataFrame, triangles: DataFrame, keys: list[str]) -> DataFrame:
+    """For points farther out: only triangles in boxes that can be the nearest.
+
+    The triangles' centres are filed under at most some 5,000 cells (16 along the longest
+    side); a box whose nearest place is farther than another's farthest corner is left out.
+    """
+    box = triangles.agg(*[(F.max(f"g{k}") - F.min(f"g{k}")).alias(k) for k in "xyz"]).first()
+    width = max(box) / 16 or 1.0
+    filed = triangles.withColumn("cell", F.xxhash64(*[F.floor(F.col(f"g{k}") / width) for k in "xyz"]))
+    boxes = filed.groupBy("cell").agg(*[F.min(f"l{k}").alias(f"l{k}") for k in "xyz"], *[F.max(f"h{k}").alias(f"h{k}") for k in "xyz"])
+    low, high = Vec.of("l"), Vec.of("h")
+    reach = [F.greatest(F.abs(x - a), F.abs(x - b)) for x, a, b in zip(P, low, high, strict=True)]
+    pairs = rest.crossJoin(F.broadcast(boxes)).select(*keys, "cell", box_distance_squared(P, low, high).alias("near"), sum((c * c for c in reach), F.lit(0.0)).alias("reach"))
+    some = pairs.withColumn("bound", F.min("reach").over(Window.partitionBy("point_idx"))).filter(F.col("near") <= F.col("bound")).select(*keys, "cell")
+    return _exact(some.join(filed, "cell")).groupBy(*keys).agg(_best(), F.count("*").alias("tests"))
 
 
 def signed_distance(closest: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import halton01, quasirandom01
-from ..functions.vectors import Vec
+from ..functions.vectors import Vec, box_distance_squared
+from ..plans.lineage import cut
 from ..sources.surfaces import Surface
 from .geometry import A, B, C, corners, cumulative_areas, normal, small
 
@@ -47,34 +48,67 @@ def evaluated(anchors: DataFrame, surface: Surface) -> DataFrame:
 
 
 #: Points up to which one side of a nearest-neighbour join is broadcast whole.
-FEW_POINTS = 20_000
+FEW_POINTS = 2048
 
 
 def nearest(a: DataFrame, b: DataFrame, k: int, most: float = 0.0, same: bool = False) -> DataFrame:
     """The k nearest of b for each of a (idx, x, y, z): a_idx, rank, b_idx, d2.
 
     Ties go to the lower index; ``most`` gates the distance, if it is above zero.  With a
-    gate, points meet by the cells of a grid as wide as the gate; without one, b is
-    broadcast if it has at most ``FEW_POINTS`` rows, else it goes through in blocks.
+    gate, points meet by the cells of a grid as wide as the gate.  Without one, a small b is
+    broadcast; else points meet by cells that hold about k of b, and those that have not got
+    k within a cell's width meet again by cells twice as wide, until all have.
     """
     left, right = (d.select(F.col("idx").alias(f"{n}_idx"), *Vec.of().aliased(n)) for n, d in (("a", a), ("b", b)))
     d = Vec.of("a").minus(Vec.of("b"))
     if most > 0:
-        cell = lambda n: [F.floor(F.col(f"{n}{k}") / most) for k in "xyz"]
-        left = left.withColumns(dict(zip(("cx", "cy", "cz"), cell("a"), strict=True)))
-        around = lambda c: F.sequence(c - 1, c + 1)
-        for name, c in zip(("cx", "cy", "cz"), cell("b"), strict=True):
-            right = right.withColumn(name, F.explode(around(c)))
-        pairs = left.join(right, ["cx", "cy", "cz"])
-        return _ranked(pairs.withColumn("d2", d.dot(d)).filter(F.col("d2") <= most * most), k, same)
-    n = right.count()
-    parts = -(-n // FEW_POINTS) or 1
-    out = None
-    for part in range(parts):
-        block = right if parts == 1 else right.filter(F.pmod(F.xxhash64("b_idx"), F.lit(parts)) == part)
-        best = _ranked(left.crossJoin(F.broadcast(block)).withColumn("d2", d.dot(d)), k, same)
-        out = best if out is None else out.unionByName(best)
-    return out if parts == 1 else _ranked(out.drop("rank"), k, False)
+        return _ranked(_met(left, right, most).withColumn("d2", d.dot(d)).filter(F.col("d2") <= most * most), k, same)
+    box = right.agg(F.count("*").alias("n"), *[F.min(f"b{x}").alias(f"l{x}") for x in "xyz"], *[F.max(f"b{x}").alias(f"h{x}") for x in "xyz"]).first()
+    if box["n"] <= FEW_POINTS:
+        return _ranked(left.crossJoin(F.broadcast(right)).withColumn("d2", d.dot(d)), k, same)
+    span = max(box[f"h{x}"] - box[f"l{x}"] for x in "xyz")
+    width = max(span * ((k + 1) / box["n"]) ** (1 / 3), 1e-9)
+    wanted = min(k, box["n"] - same)
+    out, rest = None, cut(left)
+    while True:
+        best = cut(_ranked(_met(rest, right, width).withColumn("d2", d.dot(d)), k, same))
+        # All of b within a cell's width has been met; so what is no farther is final.
+        sure = best.groupBy("a_idx").agg(F.count("*").alias("n"), F.max("d2").alias("far")).filter((F.col("n") >= wanted) & (F.col("far") <= width * width)).select("a_idx")
+        out = best.join(sure, "a_idx", "left_semi") if out is None else out.unionByName(best.join(sure, "a_idx", "left_semi"))
+        rest = cut(rest.join(sure, "a_idx", "left_anti"))
+        if rest.isEmpty():
+            return out
+        if width > span:  # far outside, or fewer than k: everything there is
+            return out.unionByName(_outside(rest, right, k, same, span / 16 or 1.0))
+        width *= 2
+
+
+def _met(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
+    """Pairs of points in the same cell or in neighbouring ones."""
+    at = lambda n: dict(zip(("cx", "cy", "cz"), [F.floor(F.col(f"{n}{x}") / width) for x in "xyz"], strict=True))
+    left = left.withColumns(at("a"))
+    for name, c in at("b").items():
+        right = right.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
+    return left.join(right, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+
+
+def _outside(rest: DataFrame, right: DataFrame, k: int, same: bool, width: float) -> DataFrame:
+    """For points far from all of b: only the cells that can hold one of the k nearest.
+
+    At most some 5,000 cells (16 along the longest side) are compared with each point.
+    """
+    cell = F.xxhash64(*[F.floor(F.col(f"b{x}") / width) for x in "xyz"])
+    filed = right.withColumn("cell", cell)
+    boxes = filed.groupBy("cell").agg(*[F.min(f"b{x}").alias(f"l{x}") for x in "xyz"], *[F.max(f"b{x}").alias(f"h{x}") for x in "xyz"], F.count("*").alias("n"))
+    p, low, high = Vec.of("a"), Vec.of("l"), Vec.of("h")
+    reach = [F.greatest(F.abs(x - a), F.abs(x - b)) for x, a, b in zip(p, low, high, strict=True)]
+    pairs = rest.crossJoin(F.broadcast(boxes)).select(*rest.columns, "cell", "n", box_distance_squared(p, low, high).alias("near"), sum((c * c for c in reach), F.lit(0.0)).alias("far"))
+    # The nearest cells that surely hold k (and the point itself) bound the distance.
+    enough = F.sum("n").over(Window.partitionBy("a_idx").orderBy("far", "cell"))
+    bound = pairs.withColumn("sum", enough).filter(F.col("sum") >= k + same).groupBy("a_idx").agg(F.min("far").alias("bound"))
+    d = Vec.of("a").minus(Vec.of("b"))
+    some = pairs.join(bound, "a_idx", "left").filter(F.col("bound").isNull() | (F.col("near") <= F.col("bound"))).select(*rest.columns, "cell")
+    return _ranked(some.join(filed, "cell").withColumn("d2", d.dot(d)), k, same)
 
 
 def _ranked(pairs: DataFrame, k: int, same: bool) -> DataFrame:
