@@ -141,11 +141,6 @@ def _(spark, d):
     return told(geometry.surface_center(wavy(spark)), "x", "y", "z")
 
 
-@query("P01_P02_valid_surface", "SELECT CAST(NULL AS VARCHAR) AS rejection")
-def _(spark, d):
-    return geometry.valid_surface(wavy(spark))
-
-
 # Closest places, contacts, distance grids.
 
 
@@ -206,26 +201,6 @@ def _(spark, d):
     return g.filter(Vec.of("g").length() > 0.5).select("linear", *[rounded(F.col(f"g{k}"), 5).alias(f"g{k}") for k in "xyz"])
 
 
-@query("A09_A10_adaptive_field")
-def _(spark, d):
-    return told(adf.build(sdf.build(wavy(spark, 8), 0.1)).cells, "cell_idx", "level", "ox", "oy", "oz", "extent", "center_distance", "min_distance", "max_distance", "sample_count")
-
-
-@query("A34_adaptive_summary")
-def _(spark, d):
-    return told(adf.summary(adf.build(sdf.build(surfaces.unit_triangle(spark), 0.5, 1), 3, 1024)), "cell_count", "split_count", "max_level", "min_distance", "max_distance")
-
-
-@query("J13_J14_adaptive_sample")
-def _(spark, d):
-    return told(adf.sample(surfaces.points(spark, d), adf.build(sdf.build(wavy(spark, 8), 0.1))), "point_idx", "cell_idx", "level", "center_distance")
-
-
-@query("J18_adaptive_gradient")
-def _(spark, d):
-    return told(adf.gradient(surfaces.points(spark, d), adf.build(sdf.build(wavy(spark, 8), 0.1))), "point_idx", "gx", "gy", "gz")
-
-
 # Samples and neighbours.
 
 
@@ -285,16 +260,6 @@ def _(spark, d):
     return told(out, "particle_idx", "x", "y", "z", "vx", "influences", "impulses", "clamped")
 
 
-@query("F33_J19_grid_force")
-def _(spark, d):
-    return told(particles.grid_force(surfaces.particles(spark, d), sdf.build(wavy(spark, 8), 0.1)), "particle_idx", "ax", "ay", "az")
-
-
-@query("T04_T05_F50_surface_step")
-def _(spark, d):
-    return told(particles.surface_step(surfaces.particles(spark, d), wavy(spark), 1 / 45, (0, 0, 0), 0.5, 0.7), *particles.COLUMNS)
-
-
 @query("A15_render_bounds", f"WITH {_PART} SELECT count(*) AS n, " + ", ".join(f"round({f}({k}{s}0.01),6)+0.0 AS {f}_{k}" for f, s in (("min", "-"), ("max", "+")) for k in "xyz") + " FROM p")
 def _(spark, d):
     return told(particles.render_bounds(surfaces.particles(spark, d)), "n", *[f"{f}_{k}" for f in ("min", "max") for k in "xyz"])
@@ -339,12 +304,6 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return surfaces.points(spark, d, 11).select(F.col("point_idx").alias("node_idx"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz"))
 
 
-@query("J21_T09_vector_step")
-def _(spark, d):
-    nodes = _field_nodes(spark, d)
-    return told(fields.vector_step(_vectors(spark, d), _scalars(spark, d), nodes, _links(spark, d), nodes.select("node_idx", F.lit(1.0).alias("coupling")), fields.Config()), "node_idx", "vx", "vy", "vz")
-
-
 def _schedule(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     effect = F.element_at(F.array(*[F.lit(x) for x in ("wound", "depolarize", "coupling", "polarity_set", "polarity_invert")]), (F.col("event_id") % 5 + 1).cast("int"))
@@ -356,13 +315,6 @@ def _(spark, d):
     return fields.active(_schedule(spark, d), 20).select("ord", "node_idx")
 
 
-@query("T06_T07_field_steps")
-def _(spark, d):
-    scalars, vectors, nodes, links, schedule = _scalars(spark, d), _vectors(spark, d), _field_nodes(spark, d), _links(spark, d), _schedule(spark, d)
-    scalars, vectors = fields.step(scalars, vectors, nodes, links, schedule, 20, "morphogen")
-    return told(scalars.join(vectors, "node_idx"), "node_idx", "value", "vx", "vy", "vz")
-
-
 @query("A21_A23_value_ranges", "SELECT 'morphogen' AS field_id, count(*) AS n, round(min(abs(embedding[10]::DOUBLE)),6)+0.0 AS least, round(max(abs(embedding[10]::DOUBLE)),6)+0.0 AS most FROM embeddings")
 def _(spark, d):
     return told(fields.value_ranges(_scalars(spark, d)), "field_id", "n", "least", "most")
@@ -650,11 +602,6 @@ def _(spark, d):
 # Contracts.
 
 
-@query("P05_P06_ids", "SELECT event_id, CASE WHEN NOT regexp_matches(event_type, '" + rules.DOTTED + "') THEN 'model.invalid_id' END AS rejection FROM events")
-def _(spark, d):
-    return rules.checked(spark.read.parquet(f"{d}/events.parquet"), rules.dotted_id(F.col("event_type"))).select("event_id", "rejection")
-
-
 @query("A40_duplicate_ids", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def _(spark, d):
     return rules.duplicates(spark.read.parquet(f"{d}/events.parquet"), "user_id")

@@ -60,6 +60,7 @@ contract("P04_padding", "padding", {"padding": but(but("value", "-1e0", 6), INFI
 contract("P01_snapshot_mesh", "snapshot_mesh", {"mesh_id": "event_id % 97", "a": "event_id % 11", "b": "event_id % 11 + 1", "c": but("event_id % 11 + 2", "event_id % 11", 8, 391), "vertex_count": "CASE WHEN event_id % 97 < 60 THEN 13 ELSE 12 END"})
 contract("P02_surface_area", "surface_area", {"mesh_id": "event_id % 97", "area": "CASE WHEN event_id % 97 < 9 THEN 0e0 WHEN event_id % 97 < 14 THEN CAST('NaN' AS DOUBLE) ELSE value END"})
 contract("P06_dotted_ids", "dotted_id", {"id": pick("a.b", "A.b", "a-1.b_2", "a..b", "-a", "a.b-", "")})
+contract("P05_schema_ids", "schema_id", {"id": pick("voxelry.mesh.vertices.table.v1", "other.mesh.vertices.table.v1", "voxelry.mesh.v1", "voxelry.mesh.vertices.table.v0", "voxelry.Mesh.vertices.table.v1", "voxelry.mesh.vertices.table.v12")})
 contract("P07_source_descriptor", "source_descriptor", {"source_id": text(1), "source_format": text(2, "'glb'"), "source_hash": "'ab12'", "license": text(3, "'free'"), "attribution": "'somebody'", "unit_scale": but("1e0", "0e0", 4), "axis_convention": "'y_up'", "note": but("'plain'", "'café'", 5)})
 _BARY = {"b0": but("0.25e0", "-0.1e0", 6), "b1": but("0.25e0", "0.5e0", 7), "b2": "0.5e0"}
 contract("P08_surface_samples", "surface_sample", {**XYZ, "nx": "0e0", "ny": "0e0", "nz": but("1e0", "0e0", 8), **_BARY})

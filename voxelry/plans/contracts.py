@@ -94,6 +94,7 @@ CONTRACTS: dict[str, Contract] = {
         ("mesh_id",), (("n", "count(*)"), ("repeated", "sum(CASE WHEN a = b OR b = c OR a = c THEN 1 ELSE 0 END)"), ("low", "min(least(a, b, c))"), ("high", "max(greatest(a, b, c))"), ("vertices", "max(vertex_count)")),
     ),
     "surface_area": Contract((("mesh.no_area", f"{finite('area')} AND area > 1e-9"),), ("mesh_id",), (("area", "sum(area)"),)),
+    "schema_id": Contract((("model.invalid_id", f"REGEXP(id, '{DOTTED}')"), ("model.invalid_schema_prefix", "left(id, 8) = 'voxelry.'"), ("model.invalid_schema_segments", "length(id) - length(replace(id, '.', '')) >= 4"), ("model.invalid_schema_version", "REGEXP(id, '[.]v[1-9][0-9]*$')"))),
     "dotted_id": Contract((("model.invalid_id", f"REGEXP(id, '{DOTTED}')"),)),
     # Meshes.
     "source_descriptor": Contract((("mesh.empty_mesh_source_id", filled("source_id")), ("mesh.invalid_mesh_source_descriptor", f"{filled('source_format', 'source_hash', 'license', 'attribution')} AND {above_zero('unit_scale')} AND {filled('axis_convention')} AND REGEXP(note, '^[ -~]*$')"))),
