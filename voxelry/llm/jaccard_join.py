@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .sketch import sketch
 from .store import small, table, written
 from .workers import mapped
 
 GRAM = 5
 PERCENT = 80
-#: Counters of the sketch: 16 MB, in slices.
-COUNTERS, SLICE = 1 << 22, 1 << 16
+#: Counters of the sketch: 16 MB.
+COUNTERS = 1 << 22
 RANGES = 256
 BLOCK = 4096
 #: Pairs of one document that are verified in one group.
@@ -69,41 +70,16 @@ def _sets(text: W.Text, gram: int) -> Iterator[np.ndarray]:
             yield none
 
 
-def _counted(gram: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            for text in W.chunks(batch.column(0)):
-                all_ = [s for s in _sets(text, gram) if len(s)]
-                if all_:
-                    at, n = np.unique((np.concatenate(all_) % np.uint64(COUNTERS)).astype(np.int32), return_counts=True)
-                    counts[at] += n.astype(np.uint32)
-        press = zstandard.ZstdCompressor(level=1)
-        for k in range(0, COUNTERS, SLICE):
-            own = counts[k : k + SLICE]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([press.compress(own.tobytes())], pa.binary())], ["slice", "counts"])
-
-    return run
-
-
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
-            sums[k] = sums[k] + own if k in sums else own
-    for k, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "counts"])
-
-
 def shingle_counts(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
     """In how many documents the shingles of each counter are: over all documents."""
-    slices = docs.select("text").transform(mapped, _counted(gram), "slice int, counts binary").repartition("slice")
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in slices.transform(mapped, _summed, "slice int, counts binary").collect():  # COUNTERS numbers
-        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint32)
-    return out
+
+    def shingles(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in W.chunks(batch.column(0)):
+            all_ = [s for s in _sets(text, gram) if len(s)]
+            if all_:
+                yield np.concatenate(all_)
+
+    return np.minimum(sketch(docs.select("text"), shingles, COUNTERS), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 def _least(n, percent: int):

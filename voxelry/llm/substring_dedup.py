@@ -8,9 +8,13 @@ windows have equal minimisers, so all copies of a window meet in one bucket, whe
 sorting finds them.  Words are coded exactly and windows that sort as equal are compared
 word by word, so hashes only route and order.
 
-Skew: a string that a task has already packed for a smaller document isn't sent again,
-as each of its windows is known to be a repeat; a passage shared by any number of
-documents reaches its bucket once for each batch of rows, not once for each document.
+Skew: a phrase that is in very many windows would send them all to one bucket.  So windows
+are first counted by minimiser, over all texts and in a sketch of fixed size; those whose
+counter is far above the mean are keyed by the smallest hash in a second, unrelated order
+instead, which equal windows share too.  What is left of a hot key is copies of the same
+strings.  A string that a task has already packed for a smaller document isn't sent again,
+as each of its windows is known to be a repeat, and the receiving task holds each distinct
+string once, for the smallest document, and hands on all others as repeats at once.
 A partition that is larger than ``PARTITION_BYTES`` is worked off in slices by minimiser.
 
 Edge cases: null and empty texts have no words and keep an empty string; texts of fewer
@@ -31,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import table
+from .sketch import sketch
+from .store import table, written
 from .workers import mapped
 
 WINDOW = 50
@@ -40,8 +45,12 @@ GRAM = 8
 BATCH_BYTES = 3 << 20
 #: Packed bytes that a map task gathers before it sends them on.
 SEND_BYTES = 64 << 20
-#: Packed bytes that are sorted at once.
-PARTITION_BYTES = 24 << 20
+#: Distinct strings' bytes that are sorted at once, and the slices of a larger partition.
+PARTITION_BYTES, SLICES = 24 << 20, 64
+#: Counters of windows by minimiser, and from how many times the mean a counter is hot.
+COUNTERS, HOT, LEAST_HOT = 1 << 20, 64, 1 << 14
+#: Bits that say which documents have repeats: 4 MB; more documents only share more bits.
+BITS = 1 << 25
 
 _STRINGS, _REPEATS = 0, 1
 _HEAD = struct.Struct("<BI")
@@ -71,20 +80,30 @@ def _window_minima(grams: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _super_kmers(text: W.Text, window: int, gram: int):
-    """Row, first word, number of windows and minimiser of each super-k-mer, and their strings."""
-    w = W.split(text, W.SPACE_WORD)
-    n = len(w)
+def _keys(w: W.Words, window: int, gram: int, hot: np.ndarray | None):
+    """Of every window: its row, its first word and its key; None if there is none."""
     counts = np.diff(w.rows)
-    if n < window:
-        return None
-    minima = _window_minima(W.gram_hashes(W.word_hashes(w), gram), window - gram + 1)
     per_row = np.maximum(counts - window + 1, 0)
     at = W.ranges(w.rows[:-1], per_row)
     if not len(at):
         return None
-    row = np.repeat(np.arange(len(counts)), per_row)
-    m = minima[at]
+    grams = W.gram_hashes(W.word_hashes(w), gram)
+    keys = _window_minima(grams, window - gram + 1)[at]
+    if hot is not None and len(hot):
+        is_hot = np.isin((keys % np.uint64(COUNTERS)).astype(np.int32), hot)
+        if is_hot.any():
+            second = _window_minima(W.mixed(grams ^ np.uint64(0x5851F42D4C957F2D)), window - gram + 1)[at]
+            keys = np.where(is_hot, second, keys)
+    return np.repeat(np.arange(len(counts)), per_row), at, keys
+
+
+def _super_kmers(text: W.Text, window: int, gram: int, hot: np.ndarray):
+    """Row, first word, number of windows and key of each super-k-mer, and their strings."""
+    w = W.split(text, W.SPACE_WORD)
+    found = _keys(w, window, gram, hot)
+    if found is None:
+        return None
+    row, at, m = found
     fresh = np.concatenate(([True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])))
     first = np.flatnonzero(fresh)
     size = np.diff(np.append(first, len(m)))
@@ -96,10 +115,23 @@ def _super_kmers(text: W.Text, window: int, gram: int):
     return row[first], begin - w.rows[row[first]], size, m[first], strings
 
 
-def _send(window: int, gram: int, buckets: int):
+def hot_keys(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """The counters that hold far more windows than the mean; at most COUNTERS / HOT of them."""
+
+    def minimisers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for text in W.chunks(batch.column(0)):
+            found = _keys(W.split(text, W.SPACE_WORD), window, gram, None)
+            if found is not None:
+                yield found[2]
+
+    counts = sketch(docs.select("text"), minimisers, COUNTERS)
+    return np.flatnonzero(counts > max(LEAST_HOT, HOT * float(counts.mean()))).astype(np.int32)
+
+
+def _send(shared, window: int, gram: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
-        size = 0
+        size, hot = 0, shared.value
 
         def flush():
             if not waiting:
@@ -121,7 +153,7 @@ def _send(window: int, gram: int, buckets: int):
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for text in W.chunks(batch.column(2), BATCH_BYTES):
-                found = _super_kmers(text, window, gram)
+                found = _super_kmers(text, window, gram, hot)
                 if found is None:
                     continue
                 row, start, count, mini, strings = found
@@ -189,63 +221,105 @@ def _same_windows(code: np.ndarray, rows: np.ndarray, doc: np.ndarray, window: i
     return owner[repeat], at[repeat]
 
 
-def _repeats(pieces: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
-    doc, key, start = (np.concatenate([p[k] for p in pieces]) for k in range(3))
-    text = np.frombuffer(b"\n".join(p[3] for p in pieces), np.uint8)
-    ends = np.append(np.flatnonzero(text == 0x0A), len(text))
-    offsets = np.concatenate(([0], ends))
-    w = W.split(W.Text(0, text, offsets), W.SPACE_WORD)
-    code, _ = w.coded()
-    owner, at = _same_windows(code, w.rows, doc, window)
-    if not len(owner):
-        return
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    fresh = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))
-    first = np.flatnonzero(fresh)
-    size = np.diff(np.append(first, len(at)))
-    own = owner[first]
-    yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(key[own]), pa.array(start[own] + (at[first] - w.rows[own])), pa.array(size)], ["doc_id", "key", "start", "windows"])
+class Strings:
+    """The distinct strings of some pieces, each for the smallest document that has it."""
+
+    def __init__(self, window: int):
+        self.window = window
+        #: String: the document, (key, start) of each place that it has there, and the minimiser.
+        self.held: dict[bytes, tuple[int, list[tuple[int, int]], int]] = {}
+        self.size = 0
+        self.repeats: list[tuple[int, int, int, int]] = []
+
+    def add(self, doc, key, start, mini, strings: list[bytes]) -> None:
+        held = self.held
+        for d, k, s, m, x in zip(doc.tolist(), key.tolist(), start.tolist(), mini.tolist(), strings, strict=True):
+            first = held.get(x)
+            if first is None:
+                held[x] = (d, [(k, s)], m)
+                self.size += len(x)
+            elif d > first[0]:
+                self.repeats.append((d, k, s, x.count(b" ") + 2 - self.window))
+            elif d == first[0]:
+                first[1].append((k, s))
+            else:
+                n = x.count(b" ") + 2 - self.window
+                self.repeats += [(first[0], *at, n) for at in first[1]]
+                held[x] = (d, [(k, s)], m)
+
+    def known(self) -> Iterator[pa.RecordBatch]:
+        """The repeats so far, which are handed on."""
+        if self.repeats:
+            cols = list(zip(*self.repeats, strict=True))
+            self.repeats = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "key", "start", "windows"])
+
+    def emptied(self):
+        """All that is held, as document, key, start, minimiser and string of each place."""
+        rows = [(d, k, s, m, x) for x, (d, places, m) in self.held.items() for k, s in places]
+        self.held, self.size = {}, 0
+        doc, key, start, mini, strings = zip(*rows, strict=True)
+        return np.array(doc, np.int64), np.array(key, np.int64), np.array(start, np.int64), np.array(mini, np.uint64), list(strings)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        """The repeats among the distinct strings, by sorting their windows."""
+        yield from self.known()
+        if not self.held:
+            return
+        doc = np.array([d for d, *_ in self.held.values()], np.int64)
+        text = np.frombuffer(b"\n".join(self.held), np.uint8)
+        ends = np.append(np.flatnonzero(text == 0x0A), len(text))
+        w = W.split(W.Text(0, text, np.concatenate(([0], ends))), W.SPACE_WORD)
+        code, _ = w.coded()
+        owner, at = _same_windows(code, w.rows, doc, self.window)
+        if not len(owner):
+            return
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        fresh = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(at)))
+        places = list(self.held.values())
+        for o, a, n in zip(owner[first].tolist(), (at[first] - w.rows[owner[first]]).tolist(), size.tolist(), strict=True):
+            self.repeats += [(places[o][0], k, s + a, n) for k, s in places[o][1]]
+        yield from self.known()
 
 
 def _receive(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: list[tuple] = []
-        slices: list[list[bytes]] | None = None
-        size = 0
-
-        def divide(piece):
-            doc, key, start, body, mini = piece
-            strings = body.split(b"\n")
-            part = (W.mixed(mini ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(len(slices))).astype(np.int64)
+        own, slices = Strings(window), None
+
+        def divide(doc, key, start, mini, strings):
+            part = (W.mixed(mini ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(SLICES)).astype(np.int64)
             for s in np.unique(part).tolist():
-                own = np.flatnonzero(part == s)
-                slices[s].append(_packed(_STRINGS, doc[own], key[own], start[own], mini[own], [strings[k] for k in own.tolist()]))
+                at = np.flatnonzero(part == s)
+                slices[s].append(_packed(_STRINGS, doc[at], key[at], start[at], mini[at], [strings[k] for k in at.tolist()]))
 
         for batch in batches:
             for blob in batch.column(1).to_pylist():
                 kind, doc, key, start, more, body = _unpacked(blob)
                 if kind == _REPEATS:
                     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(start.astype(np.int64)), pa.array(more.astype(np.int64))], ["doc_id", "key", "start", "windows"])
-                    continue
-                piece = (doc, key, start.astype(np.int64), body, more)
-                size += len(body)
-                if slices is None and size > PARTITION_BYTES:
-                    slices = [[] for _ in range(32)]
-                    for p in pieces:
-                        divide(p)
-                    pieces = []
-                if slices is None:
-                    pieces.append(piece)
+                elif slices is None:
+                    own.add(doc, key, start, more, body.split(b"\n"))
+                    if len(own.repeats) > 50_000:
+                        yield from own.known()
+                    if own.size > PARTITION_BYTES:  # too many distinct strings: go on by slices
+                        slices = [[] for _ in range(SLICES)]
+                        yield from own.known()
+                        divide(*own.emptied())
                 else:
-                    divide(piece)
-        if pieces:
-            yield from _repeats(pieces, window)
-        for own in slices or ():
-            if own:
-                parts = [_unpacked(x) for x in own]
-                own.clear()
-                yield from _repeats([(d, k, s.astype(np.int64), b) for _, d, k, s, _, b in parts], window)
+                    divide(doc, key, start, more, body.split(b"\n"))
+        yield from own.found()
+        for blobs in slices or ():
+            some = Strings(window)
+            for x in blobs:
+                _, d, k, s, m, b = _unpacked(x)
+                some.add(d, k, s, m, b.split(b"\n"))
+                if len(some.repeats) > 50_000:
+                    yield from some.known()
+            blobs.clear()
+            yield from some.found()
 
     return run
 
@@ -255,8 +329,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     ``docs``: doc_id bigint, key bigint (tells rows of one doc_id apart), text.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.filter("doc_id is not null").transform(mapped, _send(window, gram, buckets), "bucket int, blob binary")
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = docs.filter("doc_id is not null")
+    shared = spark.sparkContext.broadcast(hot_keys(known, window, gram))  # at most COUNTERS / HOT numbers
+    sent = known.transform(mapped, _send(shared, window, gram, buckets), "bucket int, blob binary")
     return sent.repartitionById(buckets, "bucket").transform(mapped, _receive(window), "doc_id bigint, key bigint, start bigint, windows bigint")
 
 
@@ -292,12 +369,68 @@ def _kept(window: int):
     return run
 
 
+def _bit(ids: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where a document's bit is, by its id and key."""
+    return (W.mixed(ids.astype(np.uint64) ^ W.mixed(keys.astype(np.uint64))) % np.uint64(bits)).astype(np.int64)
+
+
+def _marked(n: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n // 8, np.uint8)
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(bits.tobytes())], pa.binary())], ["bits"])
+
+    return run
+
+
+def _with_repeats(runs: DataFrame) -> np.ndarray:
+    """A bit for each document that has repeats; a few others may share one."""
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in runs.select("doc_id", "key").transform(mapped, _marked(BITS), "bits binary").toLocalIterator():  # 4 MB a task at most, one at a time
+        bits |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
+    return bits
+
+
+def _told_apart(shared, repeats: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1).to_numpy()
+            at = _bit(ids.fill_null(0).to_numpy(), keys, 8 * len(bits))
+            has = ((bits[at >> 3] >> (at & 7)) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(has if repeats else ~has))
+
+    return run
+
+
+def _untouched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in W.chunks(batch.column(2)):
+            w = W.split(text, W.SPACE_WORD)
+            whole = W.joined(w)
+            at = w.offsets[w.rows] + w.rows
+            n = np.diff(w.rows)
+            kept = [whole[a : b - 1].decode() if b > a else "" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(text.first, len(n)), pa.array(n, pa.int64()), pa.array(np.zeros(len(n), np.int64)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Each document without the words of windows that a smaller doc_id has: doc_id,
-    n_words, n_removed, and what is kept, its words joined by one space."""
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
-    runs = repeated_windows(own, window, gram).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return own.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "runs").transform(mapped, _kept(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    n_words, n_removed, and what is kept, its words joined by one space.
+
+    Only documents with repeats are shuffled to them; the others stay where they are.
+    """
+    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("key"), F.col(text).alias("text"))
+    runs = written(repeated_windows(own, window, gram), "repeats")
+    shared = docs.sparkSession.sparkContext.broadcast(_with_repeats(runs))
+    schema, result = "doc_id bigint, key bigint, text string", "doc_id bigint, n_words bigint, n_removed bigint, kept string"
+    lists = runs.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    some = own.transform(mapped, _told_apart(shared, True), schema).join(lists, ["doc_id", "key"], "left").select("doc_id", "text", "runs")
+    rest = own.transform(mapped, _told_apart(shared, False), schema)
+    return some.transform(mapped, _kept(window), result).unionByName(rest.transform(mapped, _untouched, result))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
