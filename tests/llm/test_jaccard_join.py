@@ -48,6 +48,43 @@ def test_blocks_and_groups(docs, texts, monkeypatch):
     assert pairs() == whole and whole and len(set(whole)) == len(whole)
 
 
+def test_long_lists_are_dealt_out(docs, texts, monkeypatch):
+    """Every list is long, every shingle hot, and no table is small enough to be broadcast."""
+    from voxelry.llm import store
+
+    monkeypatch.setattr(J, "BLOCK", 2)
+    monkeypatch.setattr(J, "HOT", 0)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    got = J.near_duplicates(docs, gram=4, percent=70)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == expected(texts, 4, 70)
+
+
+def test_parts_of_a_list_find_all_pairs(spark, monkeypatch):
+    """Pairs across components of a list that is dealt out, against all pairs of the list."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    size = 120
+    n, at, component = rng.integers(20, 60, size), rng.integers(0, 4, size), np.where(np.arange(size) < 90, 0, np.arange(size) // 4)
+    rows = [(7, k, int(n[k]), int(at[k]), int(component[k])) for k in range(size)]
+    frame = spark.createDataFrame(rows, "token long, doc_id long, n int, at int, component long")
+    join = J.Join.__new__(J.Join)
+    join.percent = 80
+    blank = b"\0" * (J.RANGES // 2)
+    join.with_ranges = lambda f: f.withColumn("ranges", F.lit(blank))
+    told = lambda: sorted({(r.a, r.b) for r in join.cross_pairs(frame).collect()})
+    whole = told()
+    want = []
+    for a in range(size):
+        for b in range(a + 1, size):
+            if component[a] != component[b] and J._may_link(80, *(np.array([x]) for x in (n[a], at[a], n[b], at[b])))[0]:
+                want.append((a, b))
+    assert whole == want
+    monkeypatch.setattr(J, "BLOCK", 8)
+    assert told() == want
+
+
 def test_one_of_each_group_stays(docs, texts, none):
     want = expected(texts, 5, 80)
     kept = J.deduplicated(docs)

@@ -13,11 +13,17 @@ hashes, modulo 16: the differences add up to no more than the sets differ).  Eac
 is verified once, on the full sets.
 
 Large groups of near copies: pairs inside a group are never all made.  A first round
-verifies a few pairs for each document (with the least changed documents that share a
-prefix shingle with it, and with its neighbour under its rarest one), a second one pairs
-the components that have been found, by their least changed members.  The last round
-makes only the pairs across the components that are left, so it is exact, and what is
-already linked costs nothing.  Lists longer than ``BLOCK`` are compared block by block.
+verifies a few pairs for each document (with the least changed document that shares a
+prefix shingle with it, and with its neighbour in length under its rarest one), a second one
+pairs the components that have been found, by their least changed members.  The last round
+makes only the pairs across the components that are left, so the components are exact, and
+what is already linked costs nothing.  So the result is classes and components; links inside
+a component are not counted.
+
+Skew: no list of documents under a shingle is ever one task's work.  The first two rounds are
+joins with one row for each shingle.  In the last one a list of more than ``BLOCK`` documents
+is dealt out by length and by hash, and only the documents that are not in the list's largest
+component are sent to the parts that hold documents of a similar length.
 
 Edge cases: null and empty texts have an empty set and link with nothing; texts of fewer
 words than a shingle have one shingle; a row without a doc_id is handed on with no
@@ -29,12 +35,13 @@ the id and the text are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -48,7 +55,10 @@ PERCENT = 80
 #: Counters of the sketch: 16 MB.
 COUNTERS = 1 << 22
 RANGES = 256
+#: Documents of a list that are compared in one task.
 BLOCK = 4096
+#: From how many times the mean (and BLOCK) a counter's shingles are dealt to all buckets.
+HOT = 64
 #: Pairs of one document that are verified in one group.
 GROUP = 512
 
@@ -105,20 +115,24 @@ def _signed(shared, gram: int, percent: int):
     return run
 
 
-def signed(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def signed(docs: DataFrame, counts: np.ndarray, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Set size, digest, range counts and rare-first prefix of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, gram))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     return docs.select("doc_id", "text").transform(mapped, _signed(shared, gram, percent), SIGNED)
 
 
 _POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def _posted(buckets: int):
-    """Prefix shingles, packed by bucket of their hash."""
+def _is_hot(token: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin((token % np.uint64(COUNTERS)).astype(np.int32), hot) if len(hot) else np.zeros(len(token), bool)
+
+
+def _posted(shared, buckets: int):
+    """Prefix shingles, packed by bucket of their hash; hot ones go to all buckets."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, hot = zstandard.ZstdCompressor(level=1), shared.value
         waiting: list[np.ndarray] = []
         size = 0
 
@@ -127,7 +141,8 @@ def _posted(buckets: int):
                 return
             all_ = np.concatenate(waiting)
             waiting.clear()
-            bucket = (all_["token"] >> np.uint64(32)).astype(np.int64) % buckets
+            spread = np.where(_is_hot(all_["token"], hot), W.mixed(all_["doc"].view(np.uint64)), np.uint64(0))
+            bucket = (((all_["token"] >> np.uint64(32)) + (spread >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(ends)):
@@ -169,10 +184,11 @@ def _unpacked(raw: bytes) -> np.ndarray:
 _LISTED = "token bigint, doc_id bigint, n int, at int"
 
 
-def _listed(percent: int):
+def _listed(shared, percent: int):
     """Postings of the shingles that several documents have in their prefixes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         blobs = [x for b in batches for x in b.column(1).to_pylist()]  # compressed
         parts = max(1, sum(map(len, blobs)) // (8 << 20))
         for part in range(parts):  # so much at a time that it fits
@@ -182,7 +198,7 @@ def _listed(percent: int):
             token = own["token"]
             # Somebody near enough in length must have it too, next in order of length.
             near = (token[1:] == token[:-1]) & (100 * own["n"][:-1].astype(np.int64) >= percent * own["n"][1:].astype(np.int64))
-            keep = np.zeros(len(own), bool)
+            keep = _is_hot(token, hot)  # of these, others are elsewhere
             keep[1:] |= near
             keep[:-1] |= near
             own = own[keep]
@@ -240,36 +256,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _first_pairs(percent: int):
-    """For each posting: the least changed document of the list; under a document's rarest
-    shingle (``first``) also the neighbour in order of length."""
+def _pairs_of(percent: int, ranges: bool = False):
+    """The pairs of a table that pass the filters: doc_id, n, at and the other's, as rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _lists(batches, ("token", "doc_id", "n", "at", "first")):
-            order = np.lexsort((own["doc_id"], own["n"]))
-            doc, n, at, first = (own[k][order] for k in ("doc_id", "n", "at", "first"))
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            hub = np.lexsort((doc, at))[0]
-            ok = _may_link(percent, n, at, n[hub], at[hub]) & (doc != doc[hub])
-            yield _pairs(np.full(int(ok.sum()), doc[hub]), doc[ok])
-            ok = _may_link(percent, n[1:], at[1:], n[:-1], at[:-1]) & (doc[1:] != doc[:-1]) & first[1:]
-            yield _pairs(doc[:-1][ok], doc[1:][ok])
-
-    return run
-
-
-def _component_pairs(percent: int):
-    """For each list, its least changed document with that of each other component."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in _lists(batches, ("token", "doc_id", "n", "at", "component", "ranges")):
-            order = np.lexsort((own["doc_id"], own["at"]))
-            doc, n, at, component, ranges = (own[k][order] for k in ("doc_id", "n", "at", "component", "ranges"))
-            _, least = np.unique(component, return_index=True)  # the first of each: the least changed
-            least = least[component[least] != component[0]]
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            ok = least[_may_link(percent, n[least], at[least], n[0], at[0], ranges[least], ranges[0])]
-            yield _pairs(np.full(len(ok), doc[0]), doc[ok])
+        for batch in batches:
+            doc, n, at, doc2, n2, at2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            both = [_halves(np.frombuffer(W.flat(batch.column(k))[0].tobytes(), np.uint8)) for k in (6, 7)] if ranges else (None, None)
+            ok = _may_link(percent, n.astype(np.int64), at.astype(np.int64), n2.astype(np.int64), at2.astype(np.int64), *both) & (doc != doc2)
+            yield _pairs(doc[ok], doc2[ok])
 
     return run
 
@@ -304,6 +299,34 @@ def _cross_pairs(percent: int):
     return run
 
 
+def _minor_pairs(percent: int):
+    """In each part of a long list: its own documents, which come first, against those that are sent to it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for batch in batches:
+            token, band, part, sent, doc, n, at, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+            ranges = _halves(np.frombuffer(W.flat(batch.column(8))[0].tobytes(), np.uint8))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            fresh = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
+            for a, b in zip(np.append(0, fresh).tolist(), np.append(fresh, len(token)).tolist(), strict=True):
+                if a == b:
+                    continue
+                if key != (token[a], band[a], part[a]):
+                    key, own = (token[a], band[a], part[a]), None
+                first = a + int(np.searchsorted(sent[a:b], 1))
+                if first > a:
+                    more = (doc[a:first], n[a:first], at[a:first], component[a:first], ranges[a:first])
+                    own = more if own is None else tuple(np.concatenate(x) for x in zip(own, more, strict=True))
+                for k in range(first, b) if own is not None else ():
+                    other = np.flatnonzero(own[3] != component[k])
+                    if len(other):
+                        y = own[0][other[_may_link(percent, own[1][other], own[2][other], n[k], at[k], own[4][other], ranges[k])]]
+                        yield _pairs(np.full(len(y), doc[k]), y)
+
+    return run
+
+
 def _bundled(make):
     """Few large batches in place of many small ones."""
 
@@ -364,7 +387,9 @@ class Join:
         self.gram, self.percent = gram, percent
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        self.signed = written(signed(self.docs, gram, percent), "signed")
+        counts = shingle_counts(self.docs, gram)
+        self.hot = np.flatnonzero(counts > max(HOT * BLOCK, HOT * float(counts.mean()))).astype(np.int32)
+        self.signed = written(signed(self.docs, counts, gram, percent), "signed")
         some = self.signed.filter("doc_id is not null and n > 0")
         self.classes = written(some.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "classes")
 
@@ -375,15 +400,63 @@ class Join:
     def listed(self) -> DataFrame:
         """Their prefix shingles that are shared."""
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        posted = self.firsts().select("doc_id", "n", "prefix").transform(mapped, _posted(buckets), "bucket int, blob binary")
-        return posted.repartitionById(buckets, "bucket").transform(mapped, _listed(self.percent), _LISTED)
+        shared = self.spark.sparkContext.broadcast(self.hot)  # at most COUNTERS / HOT numbers
+        posted = self.firsts().select("doc_id", "n", "prefix").transform(mapped, _posted(shared, buckets), "bucket int, blob binary")
+        return posted.repartitionById(buckets, "bucket").transform(mapped, _listed(shared, self.percent), _LISTED)
 
     def open_lists(self, listed: DataFrame, joined: DataFrame) -> DataFrame:
         """The postings of shingles that documents of several components share."""
         labelled = listed.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-        rest = labelled.join(open_, "token", "left_semi").select("token", "doc_id", "n", "at", "component")
-        return rest.join(self.firsts().select("doc_id", "ranges"), "doc_id").select("token", "doc_id", "n", "at", "component", "ranges")
+        return labelled.join(open_, "token", "left_semi").select("token", "doc_id", "n", "at", "component")
+
+    def with_ranges(self, rows: DataFrame, of: str = "doc_id", name: str = "ranges") -> DataFrame:
+        return rows.join(self.firsts().select(F.col("doc_id").alias(of), F.col("ranges").alias(name)), of)
+
+    def first_pairs(self, listed: DataFrame) -> DataFrame:
+        """With the least changed document of each list, and under a document's rarest shingle
+        with its neighbour in length."""
+        hubs = listed.groupBy("token").agg(F.min(F.struct("at", "doc_id", "n")).alias("h")).select("token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.at").alias("at2"))
+        own = ("doc_id", "n", "at", "doc2", "n2", "at2")
+        star = listed.join(hubs, "token").select(*own)
+        rarest = listed.groupBy("doc_id").agg(F.min(F.struct("at", "token")).alias("r")).select("doc_id", F.col("r.token").alias("token"), F.lit(True).alias("first"))
+        # A part of a list is as good as the whole: who is nobody's neighbour has the hub.
+        order = Window.partitionBy("token", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / BLOCK) + 1)).orderBy("n", "doc_id")
+        sizes = listed.groupBy("token").agg(F.count("*").alias("size"))
+        rows = listed.join(sizes, "token").join(rarest, ["doc_id", "token"], "left")
+        before = rows.select("doc_id", "n", "at", "first", *[F.lag(c).over(order).alias(f"{'doc' if c == 'doc_id' else c}2") for c in ("doc_id", "n", "at")])
+        near = before.filter("first and doc2 is not null").select(*own)
+        return star.union(near).transform(mapped, _pairs_of(self.percent), "a bigint, b bigint")
+
+    def component_pairs(self, rows: DataFrame) -> DataFrame:
+        """For each list, its least changed document with that of each other component."""
+        least = written(rows.groupBy("token", "component").agg(F.min(F.struct("at", "doc_id", "n")).alias("r")).select("token", "component", "r.*"), "least")
+        hubs = least.groupBy("token").agg(F.min(F.struct("at", "doc_id", "n", "component")).alias("h")).select("token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.at").alias("at2"), F.col("h.component").alias("other"))
+        both = self.with_ranges(self.with_ranges(least.join(hubs, "token").filter("component <> other").drop("token", "component", "other")), "doc2", "ranges2")
+        return both.select("doc_id", "n", "at", "doc2", "n2", "at2", "ranges", "ranges2").transform(mapped, _pairs_of(self.percent, True), "a bigint, b bigint")
+
+    def cross_pairs(self, rows: DataFrame) -> DataFrame:
+        """All pairs across components that pass the filters."""
+        rows = written(self.with_ranges(rows), "open")
+        sizes = rows.groupBy("token").agg(F.count("*").alias("size"))
+        long = written(sizes.filter(F.col("size") > BLOCK).select("token"), "long")
+        cut = ("token", "doc_id", "n", "at", "component", "ranges")
+        short = rows.join(small(long), "token", "left_anti").select(*cut).repartition("token").sortWithinPartitions("token")
+        pairs = short.transform(mapped, _bundled(_cross_pairs(self.percent)), "a bigint, b bigint")
+        if long.isEmpty():
+            return pairs
+        # Long lists by bands of length: who links is in the same band or the next.
+        band = F.floor(F.log(F.col("n")) / math.log(100 / self.percent)) if self.percent < 100 else F.col("n").cast("long")
+        rows = rows.join(small(long), "token", "left_semi").withColumn("band", band)
+        parts = written(rows.groupBy("token", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "parts")
+        largest = rows.groupBy("token", "component").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("component", F.struct("size", "component")).alias("largest"))
+        where = ("token", "band", "part", "sent", "doc_id", "n", "at", "component", "ranges")
+        own = rows.join(parts, ["token", "band"]).withColumns({"part": F.pmod(F.xxhash64("doc_id"), F.col("parts")), "sent": F.lit(0)}).select(*where)
+        minor = rows.join(largest, "token").filter(F.col("component") != F.col("largest")).drop("largest")
+        sent = minor.withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).join(parts, ["token", "band"])
+        sent = sent.withColumns({"part": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)), "sent": F.lit(1)}).select(*where)
+        dealt = own.union(sent).repartition("token", "band", "part").sortWithinPartitions("token", "band", "part", "sent")
+        return pairs.union(dealt.transform(mapped, _bundled(_minor_pairs(self.percent)), "a bigint, b bigint"))
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """Those of the distinct pairs (a, b) that are links."""
@@ -403,24 +476,18 @@ class Join:
         """Verified links (a, b), a < b, between classes' first documents, as far as needed:
         all links across what the first two rounds have joined, and enough to join that."""
         listed = written(self.listed(), "listed")
-        rarest = listed.groupBy("doc_id").agg(F.min(F.struct("at", "token")).alias("r")).select("doc_id", F.col("r.token").alias("token"), F.lit(True).alias("first"))
-        rows = listed.join(rarest, ["doc_id", "token"], "left").select("token", "doc_id", "n", "at", F.coalesce("first", F.lit(False)).alias("first"))
-        links = None
-        for label, make in (("first", _first_pairs), ("component", _component_pairs), ("cross", _cross_pairs)):
-            rows = rows if links is None else self.open_lists(listed, components(links))
-            pairs = rows.repartition("token").sortWithinPartitions("token").transform(mapped, _bundled(make(self.percent)), "a bigint, b bigint")
-            found = self.verified(pairs, label)
-            links = written(found if links is None else links.union(found), f"{label}-links")
+        links = written(self.verified(self.first_pairs(listed), "first"), "first-links")
+        for label, make in (("component", self.component_pairs), ("cross", self.cross_pairs)):
+            found = self.verified(make(self.open_lists(listed, components(links))), label)
+            links = written(links.union(found), f"{label}-links")
         return links
 
     def membership(self) -> DataFrame:
-        """doc_id, n_shingles, class_id, n_links (of the class, as far as verified) and component_id of every row."""
-        links = self.links()
-        joined = components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
-        known = self.classes.join(joined.withColumnRenamed("doc_id", "first"), "first", "left").join(degree, "first", "left").select("digest", "first", "n_links", F.coalesce("component", "first").alias("component"))
+        """doc_id, n_shingles, class_id and component_id of every row."""
+        joined = components(self.links())
+        known = self.classes.join(joined.withColumnRenamed("doc_id", "first"), "first", "left").select("digest", "first", F.coalesce("component", "first").alias("component"))
         rows = self.signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("digest")).alias("digest"))
-        return rows.join(known, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
+        return rows.join(known, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
