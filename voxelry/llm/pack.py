@@ -39,10 +39,8 @@ from .workers import mapped
 LENGTH = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks whose ids a Python worker remembers between batches (about 150 bytes each).
-CACHED = 120_000
-#: Text bytes that are tokenised at once.
-TOKENISED = 1 << 19
+#: Chunks whose ids a Python worker remembers between batches, twice (about 150 bytes each).
+CACHED = 220_000
 
 TOKENS_SCHEMA = "doc_id bigint, ids binary, n_tokens bigint, part bigint, local_start bigint"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -68,20 +66,24 @@ class Encoder:
         self.marks = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.full.get_added_tokens_decoder().values()) or b"(?!)")
         self.kind = np.dtype("<u2") if self.full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
 
     def chunk_ids(self, chunks: list[bytes]) -> list[bytes]:
         """Ids of each chunk, as the bytes of numbers of ``kind``."""
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
+        if len(self.known) > CACHED:  # what is asked for again comes over from the former ones
+            self.known, self.former = {}, self.known
+        known, former = self.known, self.former
+        missed = [c for c in chunks if c not in known]
+        known.update((c, former[c]) for c in missed if c in former)
+        new = [c for c in missed if c not in former]
         simple = [c for c in new if c.isalpha()]  # of bytes: ASCII letters only
         other = [c for c in new if not c.isalpha()]
         for own, encoder in ((simple, self.plain), (other, self.full)):
             for at in range(0, len(own), 20_000):
                 some = own[at : at + 20_000]
                 got = encoder.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-                self.known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(some, got, strict=True))
-        return [self.known[c] for c in chunks]
+                known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(some, got, strict=True))
+        return list(map(known.__getitem__, chunks))
 
     def ids(self, text: W.Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows back to back, and how many each row has."""
@@ -146,7 +148,7 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
         part, sent = TaskContext.get().partitionId(), 0
         encode = encoder(path)
         for batch in batches:
-            for some in W.chunks(batch.column(1), TOKENISED):
+            for some in W.chunks(batch.column(1)):
                 ids, counts = encode.ids(some)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 if end_id is not None:
