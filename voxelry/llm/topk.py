@@ -14,6 +14,12 @@ The queries are a stated set that goes through in blocks of ``BLOCK_VALUES`` val
 broadcast by itself, so its size has no bound.  Cutoffs are merged by slices of queries
 on the executors; the driver sees one number for each query of a block.
 
+What it costs: exact scores need every query against every candidate, and each block reads
+the candidates twice, once for the cutoff and once for the rest.  The threshold doesn't save
+products; it bounds what a node holds, sends and ranks to some k for each query, whatever
+the number of candidates.  Where the queries are a share of the table, the work grows with
+its square.
+
 Edge cases: vectors that are null, or hold null or non-finite components, and rows without
 an id take no part; a query meets only vectors of its own length, and no row of its own
 id; a query id that occurs more than once asks once, with its smallest vector; a repeated
