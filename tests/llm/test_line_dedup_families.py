@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from test_line_dedup import own, rows_of
 
 from voxelry.llm import line_dedup as L
@@ -59,3 +63,58 @@ def test_templates_of_one_leaf(spark):
     rows = [(k, f"{unrelated(k)}\n{(a, b, c, c, c)[k % 5](k)}") for k in range(60)]
     got = kept(spark, rows)
     assert all(got[k] == (unrelated(k) if k % 5 < 2 else t) for k, t in rows)
+
+
+def naive(rows, least=5, similar=0.6):
+    """The template tree by its definition, for documents that are no copies of each other."""
+
+    def masked(line):
+        line = re.sub(r"\s+", " ", line).strip(" ")
+        new = re.sub(r"(?<![^ ])(?=[!-~]{1,40}(?: |$))[^ 0-9]*[0-9][^ ]*", "<*>", line)
+        new = re.sub("[0-9]+", "<*>", new)
+        tokens = new.split(" ")
+        return new if re.search("[0-9]", line) and sum(any(c.isalpha() for c in t) for t in tokens) >= 0.5 * len(tokens) else line
+
+    leaf = lambda x: (x.count(" "), tuple(x.split(" ")[:3]))
+    lines = [(d, i, masked(x)) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    lines = [x for x in lines if x[2]]
+    held = {}
+    for d, _, x in lines:
+        held.setdefault(x, set()).add(d)
+        held.setdefault(leaf(x), set()).add(d)
+    gone = {(d, i) for d, i, x in lines if len(held[x]) >= least}
+    templates = {}
+    for _, _, x in lines:
+        templates.setdefault(leaf(x), set()).add(x)
+    left = [(d, i, x) for d, i, x in lines if (d, i) not in gone and len(held[leaf(x)]) >= least and len(templates[leaf(x)]) > 1]
+    count = {}
+    for _, _, x in left:
+        for p, t in enumerate(x.split(" ")):
+            count[leaf(x), p, t] = count.get((leaf(x), p, t), 0) + 1
+    found = {}
+    for d, i, x in left:
+        tokens = x.split(" ")
+        level = [math.floor(math.log(count[leaf(x), p, t] / least, 8) + 1e-9) if count[leaf(x), p, t] >= least else -1 for p, t in enumerate(tokens)]
+        for power in set(level) - {-1}:
+            unit = (leaf(x), tuple(t if v >= power else None for t, v in zip(tokens, level, strict=True)))
+            if sum(t is not None for t in unit[1]) >= similar * len(tokens):
+                found.setdefault(unit, []).append((d, i))
+    for at in found.values():
+        if len({d for d, _ in at}) >= least:
+            gone |= set(at)
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(6)
+    names = [letters(k) for k in range(40)]
+    shapes = ["Posted by {a} in the forum about {b} today", "Posted by {a} on page {n} of our list", "Posted by {a} and {b} and {a} too", "Read more of this here", "Call {n} for {b} and ask for {a} please", "All of {b} is {a} and all of {a} is {b}"]
+    rows = []
+    for k in range(150):
+        pick = lambda: names[min(int(r.expovariate(0.25)), 39)]
+        some = [r.choice(shapes).format(a=pick(), b=pick(), n=r.randint(1, 900)) for _ in range(r.randint(0, 3))]
+        rows.append((k, "\n".join([unrelated(k), *some, unrelated(1000 + k, 9), ""])))
+    got, want = kept(spark, rows), naive(rows)
+    assert got == want and sum(want[d] != t for d, t in rows) > 60
+    # Some stay, as they are not frequent enough.
+    assert any(want[d].count("\n") > 2 for d, _ in rows)

@@ -47,3 +47,32 @@ def test_stages_against_brute_force(spark, docs, texts, tmp_path):
     full = pack.encoder(pack.default_vocabulary()).full
     assert sum(r.length for r in frame.collect()) == sum(len(full.encode(t, add_special_tokens=False).ids) + 1 for _, t in clean)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
+
+
+def test_no_documents(spark, none, tmp_path):
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "any words of a test")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_columns(spark, docs, tmp_path):
+    """Rows without an id, repeated rows, and columns whose names the stages use themselves."""
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "score", "key", "'x' as component_id", "1 as n", "array(1) as lines", "'y' as digest")
+    lost = spark.createDataFrame([(None, "these words have no number", "en", "s", 26, 0, "k", "x", 1, [1], "y"), (None, None, None, None, None, None, None, "x", 1, [1], "y")], odd.schema)
+    odd.union(lost).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nowhere in any of them is this to be found at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, str(tmp_path))
+        if name == "packing":
+            break
+        assert out.columns == odd.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+    kept = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+    assert (None, "these words have no number") in kept and sum(d == 160 for d, _ in kept) == 2
+    assert out.filter("doc_id is null").agg({"length": "sum"}).first()[0] > 5
