@@ -348,7 +348,7 @@ def _(spark, d):
     return glb.faces(_glbs(spark, d))
 
 
-@query("S05_F34_glb_sequence", f"WITH {_FILE}, {_POINTS}, q AS (SELECT j AS frame, j / 4.0::DOUBLE AS t, (j / 4.0::DOUBLE) * sin(0.5::DOUBLE) AS s, 1 + (j / 4.0::DOUBLE) * (cos(0.5::DOUBLE) - 1) AS c FROM range(4) r(j)), u AS (SELECT frame, t, 2 * (s/sqrt(s*s+c*c)) * (c/sqrt(s*s+c*c)) AS sn, 1 - 2 * (s/sqrt(s*s+c*c)) * (s/sqrt(s*s+c*c)) AS cs FROM q), m AS (SELECT path, frame, t, i, x, y, z, x*cs - y*sn AS rx, x*sn + y*cs AS ry FROM pt, u) SELECT path, frame, round(t, 5) + 0.0 AS t, i AS vertex_idx, round(CASE WHEN i % 2 = 1 THEN rx ELSE (0.5*rx + 0.25*x)/0.75 END, 4) + 0.0 AS x, round(CASE WHEN i % 2 = 1 THEN ry ELSE (0.5*ry + 0.25*y)/0.75 END, 4) + 0.0 AS y, round(CASE WHEN i % 2 = 1 THEN z ELSE (0.5*z + 0.25*(z+1))/0.75 END, 4) + 0.0 AS z FROM m")
+@query("S05_F34_glb_sequence", f"WITH {_FILE}, {_POINTS}, pf AS (SELECT path, i, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z FROM pt), q AS (SELECT j AS frame, j / 4.0::DOUBLE AS t, (j / 4.0::DOUBLE) * sin(0.5::DOUBLE)::FLOAT::DOUBLE AS s, 1 + (j / 4.0::DOUBLE) * (cos(0.5::DOUBLE)::FLOAT::DOUBLE - 1) AS c FROM range(4) r(j)), u AS (SELECT frame, t, 2 * (s/sqrt(s*s+c*c)) * (c/sqrt(s*s+c*c)) AS sn, 1 - 2 * (s/sqrt(s*s+c*c)) * (s/sqrt(s*s+c*c)) AS cs FROM q), m AS (SELECT path, frame, t, i, x, y, z, x*cs - y*sn AS rx, x*sn + y*cs AS ry FROM pf, u) SELECT path, frame, round(t, 5) + 0.0 AS t, i AS vertex_idx, round(CASE WHEN i % 2 = 1 THEN rx ELSE (0.5*rx + 0.25*x)/0.75 END, 4) + 0.0 AS x, round(CASE WHEN i % 2 = 1 THEN ry ELSE (0.5*ry + 0.25*y)/0.75 END, 4) + 0.0 AS y, round(CASE WHEN i % 2 = 1 THEN z ELSE (0.5*z + 0.25*(z+1))/0.75 END, 4) + 0.0 AS z FROM m")
 def _(spark, d):
     out = glb.sequence(_glbs(spark, d, True), 4)
     return out.select("path", "frame", rounded(F.col("t"), 5).alias("t"), "vertex_idx", *[rounded(F.col(c), 4).alias(c) for c in "xyz"])

@@ -19,7 +19,7 @@ from ..plans.lineage import cut
 from ..sources.surfaces import Surface
 from .geometry import corners, normal
 
-FEW = 4096
+FEW = 512
 RINGS = 3
 
 P, Q = Named("p"), Named("q")

@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 from ..functions.vectors import Named, Vec, finite, triangle_area
 from ..sources.surfaces import Surface
 
-#: Vertices up to which the table is broadcast to its triangles; beyond, joins shuffle.
-BROADCAST_VERTICES = 1_000_000
-
 A, B, C = (Named(k) for k in "abc")
 
+#: Bytes, by the plan's own estimate, up to which a table is broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 64 << 20
+
 
-def small(df: DataFrame, most: int = BROADCAST_VERTICES) -> DataFrame:
-    """With a broadcast hint if the table has no more rows than ``most``."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if the plan says that the table has no more bytes than ``most``.
+
+    The estimate costs no job; where joins make it too high, Spark still decides by the sizes
+    that it sees at run time.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def corners(surface: Surface) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Vec
+from ..plans.lineage import cut
 from ..sources.surfaces import Surface
 from . import particles as P
 from .distance import closest_surface, outward
@@ -122,6 +123,8 @@ def stepped(particles: DataFrame, surface: Surface, source: str, interval: int,
             got = sdf.nearest(asked, grid, clamped=True).join(sdf.gradient(grid).select("linear", *Vec.of("g").aliased("o")), "linear")
             near = got.select(F.col("point_idx").alias("particle_idx"), F.col("sdf").alias("distance"), "ox", "oy", "oz")
         particles = unforced_step(particles, dt, centre, cloud_radius, surface_radius, near)
+        if k % 4 == 3:  # so that the plan doesn't grow with the frames
+            particles = cut(particles)
     return particles
 
 

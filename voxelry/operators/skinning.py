@@ -90,7 +90,7 @@ def evaluated_track(keys: DataFrame, times: DataFrame) -> DataFrame:
     An as-of join without a pair list: both tables are laid on one time line and each time
     takes the last key at or before it and the first one after it.
     """
-    asked = keys.select("joint").distinct().join(F.broadcast(times))  # joints x frames: the result's rows
+    asked = keys.select("joint").distinct().join(small(times))  # joints x frames: the result's rows
     line = keys.select("joint", "t", "value", F.col("t").alias("key_t"), F.lit(0).alias("kind")).unionByName(asked.select("joint", "t", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("key_t"), F.lit(1).alias("kind")))
     past = Window.partitionBy("joint").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("joint").orderBy("t", "kind").rowsBetween(0, Window.unboundedFollowing)
