@@ -98,7 +98,8 @@ def impulse(p: Vec, inverse_mass: Column, given: Sequence[Impulse]) -> tuple[Vec
     return total, hits
 
 
-def _reflected(v: Vec, n: Vec, restitution: float) -> Vec:
+def reflected(v: Vec, n: Vec, restitution: float) -> Vec:
+    """a velocity that goes into a body turned round, as far as the restitution has it."""
     inward = v.dot(n)
     return v.minus(n.times(F.when(inward < 0, inward * (1 + restitution)).otherwise(0.0)))
 
@@ -111,7 +112,7 @@ def against_body(df: DataFrame, body: Sphere | Box) -> DataFrame:
         n = d.length()
         hit = n < r
         unit = Vec.lit(1, 0, 0).where(n <= 1e-6, d.times(1 / F.when(n > 0, n).otherwise(1.0)))
-        moved, turned = centre.plus(unit.times(r)), _reflected(V, unit, body.restitution)
+        moved, turned = centre.plus(unit.times(r)), reflected(V, unit, body.restitution)
     else:
         low, high = Vec.lit(*body.low), Vec.lit(*body.high)
         low, high = Vec(*(c - F.col("radius") for c in low)), Vec(*(c + F.col("radius") for c in high))
@@ -123,7 +124,7 @@ def against_body(df: DataFrame, body: Sphere | Box) -> DataFrame:
         axis = lambda k: F.when(side == 2 * k, -1.0).when(side == 2 * k + 1, 1.0).otherwise(0.0)
         unit = Vec(axis(0), axis(1), axis(2))
         moved = Vec(*(F.when(side == 2 * k, low[k]).when(side == 2 * k + 1, high[k]).otherwise(X[k]) for k in range(3)))
-        turned = _reflected(V, unit, body.restitution)
+        turned = reflected(V, unit, body.restitution)
     new = dict(zip("xyz", moved.where(hit & F.col("moving"), X), strict=True)) | {f"v{k}": c for k, c in zip("xyz", turned.where(hit & F.col("moving"), V), strict=True)}
     return df.withColumns(new | {"collisions": F.col("collisions") + (hit & F.col("moving")).cast("int")})
 
