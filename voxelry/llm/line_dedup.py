@@ -111,7 +111,7 @@ def _families(docs: DataFrame, lines: DataFrame, leaves: DataFrame) -> DataFrame
     some = small(written(held.join(leaves, "leaf", "left_semi").select("print").distinct(), "prints"))
     held = written(held.join(some, "print", "left_semi"), "held")
     # In each leaf, everyone is compared with the print of most documents and with the least one.
-    hubs = held.groupBy("leaf").agg(F.max(F.struct("n", "print"))["print"].alias("x"), F.min("print").alias("y"), F.count("*").alias("all")).filter("all > 1").select("leaf", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub"))
+    hubs = small(written(held.groupBy("leaf").agg(F.max(F.struct("n", "print"))["print"].alias("x"), F.min("print").alias("y"), F.count("*").alias("all")).filter("all > 1").select("leaf", F.explode(F.array_distinct(F.array("x", "y"))).alias("hub")), "hubs"))
     pairs = written(held.join(hubs, "leaf").filter("print <> hub").select(F.least("print", "hub").alias("a"), F.greatest("print", "hub").alias("b")).distinct(), "pairs")
     words = F.filter(F.split("text", r"[\s\p{Z}]+", -1), lambda x: x != "")
     sketch = F.slice(F.array_sort(F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))), 1, SKETCH)

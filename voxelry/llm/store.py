@@ -40,19 +40,39 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What has been written within each ``scratch``.
+_scopes: list[list[Written]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """What is written inside goes when it ends: for results that are written themselves."""
+    own: list[Written] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for w in own:
+            w.drop()
+
+
 class Written:
     """A DataFrame written to the shared folder, to be read again without its lineage.
 
     Losing an executor then costs only the tasks that it ran.  The files go when
-    ``drop()`` is called, or else when the driver ends.
+    ``drop()`` is called, or at the end of the ``scratch`` that they are written in (but
+    for those that are to ``stay``), or else when the driver ends.
     """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, stay: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/voxelry/{label}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(_remove, self.spark, self.path)
+        if _scopes and not stay:
+            _scopes[-1].append(self)
 
     def drop(self) -> None:
         _remove(self.spark, self.path)
