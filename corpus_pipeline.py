@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelry.llm import decontaminate, jaccard_join, language, line_dedup, pack
-from voxelry.llm.store import table, written
+from voxelry.llm.store import Written, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written before the next reads it."""
+    """The last stage's rows; each stage's result is written before the next reads it, and
+    then what the stage has used goes."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch():
+            kept = Written(stage(spark, docs, sf_dir), name, stay=True)
+        if before is not None:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
