@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Named, Vec, clamp, clamp_speed
+from ..functions.vectors import Named, Vec, clamp_speed
 
 X, V = Named(), Named("v")
 COLUMNS = ("particle_idx", "x", "y", "z", "vx", "vy", "vz", "radius", "inverse_mass", "age")
@@ -205,24 +205,6 @@ def grid_force(particles: DataFrame, grid, mode: str = "attract", target: float
     return sums.select("particle_idx", *a.aliased("a"))
 
 
-def surface_step(particles: DataFrame, surface, dt: float, centre: tuple[float, float, float], cloud_radius: float, surface_radius: float, particle_radius: float = 0.01, refreshed: DataFrame | None = None) -> DataFrame:
-    """Pull to a band about the surface, hold the cloud together, damp, limit, move."""
-    from .distance import closest_surface, outward
-
-    target = max(particle_radius * 0.65, 0.0008)
-    near = refreshed if refreshed is not None else outward(closest_surface(particles.withColumnRenamed("particle_idx", "point_idx"), surface)).select(F.col("point_idx").alias("particle_idx"), "distance", "ox", "oy", "oz")
-    out = particles.select(*COLUMNS).join(near, "particle_idx", "left")
-    hit = F.col("distance").isNotNull()
-    a = Vec.of("o").times(-(F.col("distance") - target) * 19.0)
-    away = X.minus(Vec.lit(*centre))
-    n = away.length()
-    hold = away.times(F.when(n > 1.12 * cloud_radius, -(n - cloud_radius) * 7.0 / F.when(n > 0, n).otherwise(1.0)).otherwise(0.0))
-    v = V.plus(a.plus(hold).times(dt)).times(clamp(F.lit(1 - 1.55 * dt), 0, 1))
-    v = clamp_speed(v, 1.9 * surface_radius)
-    out = out.withColumns({f"v{k}": F.when(hit, c).otherwise(F.col(f"v{k}")) for k, c in zip("xyz", v, strict=True)})
-    return out.withColumns({k: F.when(hit, F.col(k) + F.col(f"v{k}") * dt).otherwise(F.col(k)) for k in "xyz"} | {"age": F.col("age") + dt}).select(*COLUMNS)
-
-
 def render_payload(particles: DataFrame) -> DataFrame:
     """What a renderer needs of each particle."""
     return particles.select("particle_idx", *X.aliased(), "radius", V.length().alias("speed"), "age")
