@@ -416,14 +416,15 @@ class Join:
     def first_pairs(self, listed: DataFrame) -> DataFrame:
         """With the least changed document of each list, and under a document's rarest shingle
         with its neighbour in length."""
-        hubs = listed.groupBy("token").agg(F.min(F.struct("at", "doc_id", "n")).alias("h")).select("token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.at").alias("at2"))
+        hubs = listed.groupBy("token").agg(F.min(F.struct("at", "doc_id", "n")).alias("h"), F.count("*").alias("size"))
+        hubs = written(hubs.select("token", F.col("h.doc_id").alias("doc2"), F.col("h.n").alias("n2"), F.col("h.at").alias("at2"), "size"), "hubs")
         own = ("doc_id", "n", "at", "doc2", "n2", "at2")
-        star = listed.join(hubs, "token").select(*own)
+        joined = listed.join(hubs, "token")
+        star = joined.select(*own)
         rarest = listed.groupBy("doc_id").agg(F.min(F.struct("at", "token")).alias("r")).select("doc_id", F.col("r.token").alias("token"), F.lit(True).alias("first"))
         # A part of a list is as good as the whole: who is nobody's neighbour has the hub.
         order = Window.partitionBy("token", F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / BLOCK) + 1)).orderBy("n", "doc_id")
-        sizes = listed.groupBy("token").agg(F.count("*").alias("size"))
-        rows = listed.join(sizes, "token").join(rarest, ["doc_id", "token"], "left")
+        rows = joined.drop("doc2", "n2", "at2").join(rarest, ["doc_id", "token"], "left")
         before = rows.select("doc_id", "n", "at", "first", *[F.lag(c).over(order).alias(f"{'doc' if c == 'doc_id' else c}2") for c in ("doc_id", "n", "at")])
         near = before.filter("first and doc2 is not null").select(*own)
         return star.union(near).transform(mapped, _pairs_of(self.percent), "a bigint, b bigint")
