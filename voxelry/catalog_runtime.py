@@ -115,9 +115,9 @@ def _(spark, d):
     return runtime.refresh_plan(frames).select("frame_idx", "status", "refresh", "forced")
 
 
-@query("F48_markers", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'mesh-distance|matter-mesh-distance-sampler|current-mesh-distance' WHEN 1 THEN 'none|none|none' WHEN 2 THEN 'sdf-field|matter-sdf-field-sampler|current-sdf-field' WHEN 3 THEN 'adf-field|matter-adf-field-sampler|current-adf-field' ELSE '' END AS marker FROM events")
+@query("F48_markers", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'mesh-distance' WHEN 1 THEN 'none' WHEN 2 THEN 'sdf-field' WHEN 3 THEN 'adf-field' END AS marker FROM events")
 def _(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", runtime.markers(runtime.named(F.col("event_id") % 5, runtime.SOURCES)).alias("marker"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", runtime.named(F.col("event_id") % 5, runtime.SOURCES).alias("marker"))
 
 
 @query("F47_codes", "SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'baseline' WHEN 1 THEN 'transverse_cut_wound' WHEN 2 THEN 'gap_block' WHEN 3 THEN 'transient_memory' WHEN 4 THEN 'transient_no_memory_control' END AS scenario, CASE event_id % 8 WHEN 1 THEN 'tail' WHEN 2 THEN 'postpharyngeal' WHEN 3 THEN 'pharyngeal' WHEN 4 THEN 'prepharyngeal' WHEN 5 THEN 'head' END AS region FROM events")

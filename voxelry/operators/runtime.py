@@ -16,21 +16,14 @@ from ..sources.surfaces import Surface
 from . import particles as P
 from .distance import closest_surface, outward
 
-# Sources of particle forces by code, with what shows in markers.
+# The markers of the sources of particle forces, by code.
 SOURCES = ("mesh-distance", "none", "sdf-field", "adf-field")
-AUTHORITIES = {"mesh-distance": "matter-mesh-distance-sampler", "none": "none", "sdf-field": "matter-sdf-field-sampler", "adf-field": "matter-adf-field-sampler"}
-FIELDS = {"mesh-distance": "current-mesh-distance", "none": "none", "sdf-field": "current-sdf-field", "adf-field": "current-adf-field"}
 
 
 def named(code: Column, names: tuple[str, ...], first: int = 0) -> Column:
     """the name of a code, null beyond the list."""
-    return F.try_element_at(F.array(*[F.lit(n) for n in names]), (code - first + 1).cast("int")) if first == 0 else F.when(code >= first, F.try_element_at(F.array(*[F.lit(n) for n in names]), F.greatest(code - first + 1, F.lit(1)).cast("int")))
-
-
-def markers(source: Column) -> Column:
-    """a force source's sampling authority and field, as one text."""
-    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), source)
-    return F.concat_ws("|", source, of(AUTHORITIES), of(FIELDS))
+    place = F.greatest(code - first + 1, F.lit(1)).cast("int")
+    return F.when(code >= first, F.try_element_at(F.array(*[F.lit(n) for n in names]), place))
 
 
 def update_outcomes(frames: DataFrame, sequence: str = "sequence_id") -> DataFrame:
