@@ -41,6 +41,8 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a Python worker remembers between batches, twice (about 150 bytes each).
 CACHED = 220_000
+#: Text bytes that are tokenised at once.
+TOKENISED = 2 << 20
 
 TOKENS_SCHEMA = "doc_id bigint, ids binary, n_tokens bigint, part bigint, local_start bigint"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -62,7 +64,12 @@ class Encoder:
 
         self.full = Tokenizer.from_file(path)
         self.plain = Tokenizer(self.full.model)  # for chunks of lower-case ASCII letters alone
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # Which ids end a word: many words go in as one text, and are told apart by these.
+        suffix = getattr(self.full.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.full.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[k for t, k in self.full.get_vocab().items() if t.endswith(suffix)]] = True
         self.marks = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.full.get_added_tokens_decoder().values()) or b"(?!)")
         self.kind = np.dtype("<u2") if self.full.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
@@ -78,13 +85,29 @@ class Encoder:
         new = [c for c in missed if c not in former]
         simple = [c for c in new if c.isalpha()]  # of bytes: ASCII letters only
         other = [c for c in new if not c.isalpha()]
-        for own, encoder in ((simple, self.plain), (other, self.full)):
-            for at in range(0, len(own), 20_000):
-                some = own[at : at + 20_000]
-                got = encoder.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-                known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(some, got, strict=True))
+        for at in range(0, len(simple), 1000):
+            some = simple[at : at + 1000]
+            if not self._together(some):
+                other += some
+        for at in range(0, len(other), 20_000):
+            some = other[at : at + 20_000]
+            got = self.full.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
+            known.update((c, np.array(e.ids, self.kind).tobytes()) for c, e in zip(some, got, strict=True))
         return list(map(known.__getitem__, chunks))
 
+    def _together(self, words: list[bytes]) -> bool:
+        """Encodes words as one text; false if their ids can't be told apart."""
+        got = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(got[0].ids, self.kind)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize
+        if len(cuts) != len(words):
+            return False
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(words, cuts.tolist(), strict=True):
+            self.known[word] = raw[at:end]
+            at = end
+        return True
+
     def ids(self, text: W.Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows back to back, and how many each row has."""
         rows = len(text.offsets) - 1
@@ -148,7 +171,7 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab
         part, sent = TaskContext.get().partitionId(), 0
         encode = encoder(path)
         for batch in batches:
-            for some in W.chunks(batch.column(1)):
+            for some in W.chunks(batch.column(1), TOKENISED):
                 ids, counts = encode.ids(some)
                 at = np.concatenate(([0], np.cumsum(counts)))
                 if end_id is not None:
