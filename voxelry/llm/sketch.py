@@ -37,8 +37,9 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint64)
             sums[k] = sums[k] + own if k in sums else own
+    press = zstandard.ZstdCompressor(level=1)
     for k, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([press.compress(own.tobytes())], pa.binary())], ["slice", "counts"])
 
 
 def sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], counters: int) -> np.ndarray:
@@ -47,6 +48,6 @@ def sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
     slices = df.transform(mapped, _counted(hashes, counters), schema).repartition("slice")
     out = np.zeros(counters, np.uint64)
     for r in slices.transform(mapped, _summed, schema).collect():  # as many numbers as counters
-        own = np.frombuffer(r["counts"], np.uint64)
+        own = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint64)
         out[r["slice"] * SLICE : r["slice"] * SLICE + len(own)] = own
     return out
