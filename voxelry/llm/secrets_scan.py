@@ -70,11 +70,23 @@ ENCODINGS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20),
 )
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Matches that are added up together, and characters for which the spans in them are listed.
+GROUP, REACH = 256, 4096
 SPAN = "array<struct<start: bigint, end: bigint, kind: int>>"
+CANDIDATE = "array<struct<start: bigint, end: bigint, encoding: int, size: int, bin: int>>"
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _spans(text: Column, pattern: str, kind: int, fits: Column | None = None) -> Column:
-    """start, end and kind of each match, from the lengths of the matches and of what lies between."""
+    """start, end and kind of each match, from the lengths of the matches and of what lies between.
+
+    Places are added up in groups of ``GROUP`` matches, and the groups' lengths then: adding
+    to one long array would copy it for each match.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     ok = fits if fits is not None else F.transform(hits, lambda x: F.lit(True))
@@ -87,7 +99,15 @@ def _spans(text: Column, pattern: str, kind: int, fits: Column | None = None) ->
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
         return F.struct(end.alias("at"), F.when(F.coalesce(x["ok"], F.lit(False)), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    found = F.aggregate(rows, empty, add, lambda a: a["out"])
+    def grouped(x):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / GROUP).cast("int")), lambda k: F.aggregate(F.slice(x, k * GROUP + 1, GROUP), empty, add))
+
+    def placed(groups):
+        none = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("before"))
+        before = F.aggregate(groups, none, lambda a, g: F.struct((a["at"] + g["at"]).alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")), lambda a: a["before"])
+        return F.flatten(F.zip_with(groups, before, lambda g, o: F.transform(g["out"], lambda x: F.struct((x["start"] + o).alias("start"), (x["end"] + o).alias("end"), x["kind"].alias("kind")))))
+
+    found = _let(_let(rows, grouped), placed)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -105,11 +125,6 @@ def erfc(x: Column) -> Column:
     return F.when(x >= 0, tail).otherwise(2 - tail)
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _battery(values: Column, size: int) -> Column:
     """The combined p-value of the three tests, for symbols 0 to ``size`` - 1."""
     names = ("n", "upper", "changes", "last", "first", "sum", "squares", "lag")
@@ -192,12 +207,17 @@ def _candidates(text: Column, base: Column) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["encoding"].alias("encoding"), _size(s["token"]).alias("size"), _bin(s["token"], s["encoding"]).alias("bin"))
 
     def found(z):
-        apart = F.filter(z["spans"], lambda s: ~F.exists(z["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        # Base spans by stretch of the text, so that each token meets only those near it.
+        near = lambda s: F.slice(z["by_stretch"], F.floor(s["start"] / REACH).cast("int") + 1, (F.floor((s["end"] - 1) / REACH) - F.floor(s["start"] / REACH) + 1).cast("int"))
+        apart = F.filter(z["spans"], lambda s: ~F.exists(near(s), lambda g: F.exists(g, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
         told = F.transform(apart, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")).alias("token")))
         coded = F.transform(told, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token"), _encoding(s["token"]).alias("encoding")))
         return F.transform(F.filter(coded, lambda s: s["encoding"].isNotNull()), tested)
 
-    return _let(F.struct(_spans(text, TOKEN, 3).alias("spans"), base.alias("base")), found)
+    stretches = F.sequence(F.lit(0), F.floor(F.length(text) / REACH).cast("int"))
+    listed = F.transform(stretches, lambda k: F.filter(base, lambda b: (b["start"] < (k + 1) * REACH) & (k * REACH < b["end"])))
+    spans = _spans(text, TOKEN, 3)
+    return F.when(text.rlike(TOKEN), _let(F.struct(spans.alias("spans"), listed.alias("by_stretch")), found)).otherwise(F.array().cast(CANDIDATE))
 
 
 def decoys(each: int = DECOYS) -> list[str]:
