@@ -374,23 +374,41 @@ def _bit(ids: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return (W.mixed(ids.astype(np.uint64) ^ W.mixed(keys.astype(np.uint64))) % np.uint64(bits)).astype(np.int64)
 
 
+#: Bytes of the bit set that travel together.
+_SLICE = 1 << 16
+
+
 def _marked(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n // 8, np.uint8)
         for batch in batches:
             at = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy(), n)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(bits.tobytes())], pa.binary())], ["bits"])
+        press = zstandard.ZstdCompressor(level=1)
+        own = [(k, press.compress(part.tobytes())) for k in range(0, len(bits), _SLICE) if (part := bits[k : k + _SLICE]).any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k // _SLICE for k, _ in own], pa.int32()), pa.array([x for _, x in own], pa.binary())], ["slice", "bits"])
 
     return run
 
 
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+            bits[k] = bits[k] | own if k in bits else own
+    press = zstandard.ZstdCompressor(level=1)
+    yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([press.compress(x.tobytes()) for x in bits.values()], pa.binary())], ["slice", "bits"])
+
+
 def _with_repeats(runs: DataFrame) -> np.ndarray:
     """A bit for each document that has repeats; a few others may share one."""
+    schema = "slice int, bits binary"
     bits = np.zeros(BITS // 8, np.uint8)
-    for r in runs.select("doc_id", "key").transform(mapped, _marked(BITS), "bits binary").toLocalIterator():  # 4 MB a task at most, one at a time
-        bits |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
+    marked = runs.select("doc_id", "key").transform(mapped, _marked(BITS), schema).repartition("slice")
+    for r in marked.transform(mapped, _joined, schema).collect():  # BITS at most
+        own = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
+        bits[r["slice"] * _SLICE : r["slice"] * _SLICE + len(own)] = own
     return bits
 
 
