@@ -25,7 +25,6 @@ repeated row is scanned again; columns other than the id and the text are never
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
