@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import Vec, rounded
-from .operators import adf, circuit, coordinates, distance, edits, fields, geometry, particles, runs, sampling, scenario, sdf, skinning, walk
+from .operators import circuit, coordinates, distance, edits, fields, geometry, particles, runs, sampling, scenario, sdf, skinning
 from .plans import rules
 from .sources import surfaces
 
@@ -610,12 +610,6 @@ def _(spark, d):
 # Frames, walks and exports.
 
 
-@query("J06_J07_walk_tiers")
-def _(spark, d):
-    square = surfaces.unit_square(spark)
-    return told(walk.tiers(square, sampling.samples(square, 12, 48161, sampling.LOW_DISCREPANCY), 3, 3), "from_node", "to_node", "rank", "tier")
-
-
 @query("S25_region_lists", f"WITH {_REGION}, c AS (SELECT region::BIGINT AS region, count(*) AS n FROM rg GROUP BY region) SELECT region, n, (sum(n) OVER (ORDER BY region) - n)::BIGINT AS first FROM c")
 def _(spark, d):
     return told(coordinates.region_lists(_body(spark)[0].select("region", "node_idx")), "region", "n", "first")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .catalog import _PART, _REGION, _RING, _VOX, _body, _ring, _scenario_of, _stacked, _V, closest_sql, points_sql, query, told, wavy, wavy_sql
+from .catalog_runtime import _quasi_sql
 from .functions import vectors
 from .functions.vectors import Vec
-from .operators import circuit, coordinates, geometry, particles, runs, runtime, scenario, sdf
+from .operators import circuit, coordinates, geometry, particles, runs, runtime, sampling, scenario, sdf, walk
 from .sources import surfaces
 
 # Pairs of vectors: a from one part of an embedding, b from another.
@@ -156,3 +157,30 @@ def _(spark, d):
     nodes, edges, terms = (number(_stacked(f)) for f in (lambda k: scenario.initial_state(mapped, k), lambda k: scenario.scenario_edges(_ring(spark), mapped, k), lambda k: scenario.scenario_terms(mapped, k)))
     frames = runs.run(nodes, edges, terms, STEPS, STRIDE, circuit.Gate(*scenario.GATE), circuit.Memory(*scenario.MEMORY)).withColumn("scenario", _scenario_of(F.col("circuit_id")))
     return told(scenario.trace_set(frames, mapped, edges), "scenario", "step", "posterior_memory", "posterior_head", "head_at_head", "tail_at_tail", "cut_voltage", "cut_conductance")
+
+
+# Neighbours by the way along a square of two triangles: its graph has 31 nodes, so the
+# shortest ways are found by joining ways to ways five times.
+
+SEED = 48161
+
+
+def _walk_sql(n: int = 12) -> str:
+    inverse = " + ".join(f"((i + 2) // {2**k} % 2) / {2 ** (k + 1)}.0::DOUBLE" for k in range(5))  # the seed is odd, so counting begins at 2
+    corner = "CASE {0} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS x, CASE {0} WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 1 END AS y"
+    out = f"""vt AS (SELECT v, {corner.format('v')} FROM range(4) r(v)), tri AS (SELECT * FROM (VALUES (0, 0, 1, 2), (1, 0, 2, 3)) r(t, a, b, c)),
+s0 AS (SELECT i, least(greatest({inverse}, 1e-6), 0.999999) AS f FROM range({n}) r(i)), s1 AS (SELECT i, CASE WHEN f <= 0.5 THEN 0 ELSE 1 END AS t FROM s0), s2 AS (SELECT i, t, row_number() OVER (PARTITION BY t ORDER BY i) - 1 AS l FROM s1),
+s3 AS (SELECT i, t, sqrt({_quasi_sql('l', 't', SEED, 0)}) AS r, {_quasi_sql('l', 't', SEED, 1)} AS w FROM s2),
+smp AS (SELECT i, s3.t, (1-r)*p.x+r*(1-w)*q.x+r*w*o.x AS x, (1-r)*p.y+r*(1-w)*q.y+r*w*o.y AS y FROM s3 JOIN tri ON tri.t = s3.t JOIN vt p ON p.v = a JOIN vt q ON q.v = b JOIN vt o ON o.v = c),
+ends AS (SELECT t, least(u, w) AS lo, greatest(u, w) AS hi FROM (SELECT t, unnest([a, b, c]) AS u, unnest([b, c, a]) AS w FROM tri)),
+nod AS (SELECT t, 'v' || v AS n, x, y FROM (SELECT t, unnest([a, b, c]) AS v FROM tri) JOIN vt USING (v) UNION ALL SELECT t, 'e' || lo || '_' || hi || '_' || k, p.x + (q.x-p.x)*k/4.0::DOUBLE, p.y + (q.y-p.y)*k/4.0::DOUBLE FROM ends JOIN vt p ON p.v = lo JOIN vt q ON q.v = hi, range(1, 4) r(k) UNION ALL SELECT t, 's' || i, x, y FROM smp),
+w0 AS (SELECT a.n AS a, b.n AS b, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM nod a JOIN nod b ON a.t = b.t GROUP BY a.n, b.n)"""
+    for k in range(5):
+        out += f", w{k + 1} AS (SELECT p.a, q.b, min(p.d + q.d) AS d FROM w{k} p JOIN w{k} q ON p.b = q.a GROUP BY p.a, q.b)"
+    return out + ", rk AS (SELECT substr(a, 2)::BIGINT AS f, substr(b, 2)::BIGINT AS g, d FROM w5 WHERE a <> b AND a LIKE 's%' AND b LIKE 's%')"
+
+
+@query("J06_J07_O02_walk_tiers", f"WITH {_walk_sql()}, o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d, g) AS rank FROM rk) SELECT f AS from_node, g AS to_node, rank, CASE WHEN rank <= 3 THEN 1 ELSE 2 END::BIGINT AS tier FROM o WHERE rank <= 6")
+def _(spark, d):
+    square = surfaces.unit_square(spark)
+    return told(walk.tiers(square, sampling.samples(square, 12, SEED, sampling.LOW_DISCREPANCY), 3, 3), "from_node", "to_node", "rank", "tier")
