@@ -89,7 +89,7 @@ def shingle_counts(docs: DataFrame, gram: int = GRAM) -> np.ndarray:
             if all_:
                 yield np.concatenate(all_)
 
-    return np.minimum(sketch(docs.select("text"), shingles, COUNTERS), np.iinfo(np.uint32).max).astype(np.uint32)
+    return sketch(docs.select("text"), shingles, COUNTERS, np.uint32)
 
 
 def _least(n, percent: int):
