@@ -183,3 +183,23 @@ def test_far_points_look_only_at_near_boxes(spark):
     a = {r.point_idx: (r.distance, r.tests) for r in distance.closest_surface(points, surface).collect()}
     b = {r.point_idx: (r.distance, r.tests) for r in distance.closest_surface(points, surface, cell=0.1).collect()}
     assert all(close(a[k][0], b[k][0], 1e-9) and b[k][1] < a[k][1] for k in a)
+
+
+@pytest.mark.parametrize("name", ["J18_F22_adaptive_gradients", "J13_J14_F49_adaptive_samples"])
+def test_adaptive_queries_on_gentle_slopes_and_walls_equal_sql(spark, tmp_path, name):
+    """Points where the field hardly rises, on walls between cells, outside, and without a place."""
+    import duckdb
+
+    from voxelry import catalog, catalog_adaptive  # noqa: F401
+
+    gentle = [(0.16996657848358154, 0.07210586220026016, 0.33448776602745056), (0.1067551001906395, 0.03286849707365036, 0.2808570861816406), (-0.07591184973736716, 0.05863611400127411, 0.31893056631088257)]
+    walls = [(x, y, z) for x in (-0.5, -0.375, 0.0, 0.375) for y in (-0.25, 0.0, 0.375) for z in (0.0625, 0.125)]
+    odd = [(9.0, 0.0, 0.0), (math.nan, 0.1, 0.02), (math.inf, 0.1, -math.inf), (None, 0.1, 0.02)]
+    rows = list(enumerate([list(p) for p in gentle + walls + odd]))
+    at = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(at)
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/*.parquet'")
+        want = db.execute(catalog.ORACLES[name]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -90,14 +90,25 @@ def index(field: Field) -> DataFrame:
 
 
 def sample(points: DataFrame, field: Field) -> DataFrame:
-    """The leaf that contains each point (half open), or null outside."""
+    """The leaf that contains each point (half open), or null outside.
+
+    The quotient of a point on a wall may round to the cube before or after it, so the cube is
+    settled by the walls themselves, which are the leaves' corners to the last bit.
+    """
     step = field.extent / 2**field.max_depth
-    keys = {f"k{k}": F.floor((F.col(k) - F.lit(o)) / step) for k, o in zip("xyz", field.origin, strict=True)}
-    return points.withColumns(keys).join(small(index(field)), ["kx", "ky", "kz"], "left").drop("kx", "ky", "kz")
+    near, keys = {}, {}
+    for k, o in zip("xyz", field.origin, strict=True):
+        at, cube = F.col(k), F.col(f"k{k}")
+        near[f"k{k}"] = F.when((at >= o) & (at < o + field.extent), F.floor((at - F.lit(o)) / step))
+        keys[f"k{k}"] = F.when(at < F.lit(o) + cube * step, cube - 1).when(at >= F.lit(o) + (cube + 1) * step, cube + 1).otherwise(cube)
+    return points.withColumns(near).withColumns(keys).join(small(index(field)), ["kx", "ky", "kz"], "left").drop("kx", "ky", "kz")
 
 
 def gradient(points: DataFrame, field: Field) -> DataFrame:
-    """Central differences at the finest step, samples held inside the field."""
+    """Central differences at the finest step, samples held inside the field.
+
+    Unit vectors or zero, and the length ``rise`` that the differences had.
+    """
     step = field.extent / 2**field.max_depth
     rim = max(1e-6 * field.extent, 1e-6)
     stencil = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(float(s)).alias("sign")) for a in range(3) for s in (1, -1)])
@@ -105,4 +116,4 @@ def gradient(points: DataFrame, field: Field) -> DataFrame:
     moved = {k: F.least(F.greatest(F.col(k) + F.when(F.col("s.axis") == a, F.col("s.sign") * step).otherwise(0.0), F.lit(o)), F.lit(o + field.extent - rim)) for a, (k, o) in enumerate(zip("xyz", field.origin, strict=True))}
     got = sample(at.withColumns(moved), field)
     sums = got.groupBy("point_idx").agg(*[F.sum(F.when(F.col("s.axis") == a, F.col("s.sign") * F.col("center_distance")).otherwise(0.0)).alias(f"g{k}") for a, k in enumerate("xyz")])
-    return sums.select("point_idx", *Vec.of("g").normalized_or(Vec.lit(0, 0, 0)).aliased("g"))
+    return sums.select("point_idx", *Vec.of("g").normalized_or(Vec.lit(0, 0, 0)).aliased("g"), Vec.of("g").length().alias("rise"))
